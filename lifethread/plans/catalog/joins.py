@@ -138,7 +138,9 @@ def _(t: Tables) -> DataFrame:
     return parts[0].unionByName(parts[1]).select("recording_id", "a_label", "v_label", r6("overlap").alias("overlap"), "rule")
 
 
-@query("J11_score_trials", "SELECT enrol, test, target, round(score, 6) AS score FROM m_scored")
+@query("J11_score_trials", """
+    SELECT t.enrol, t.test, t.target, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
+    FROM m_trial t JOIN embeddings a ON a.vec_id = t.enrol JOIN embeddings b ON b.vec_id = t.test""")
 def _(t: Tables) -> DataFrame:
     return similarity.score_trials(t.trial, t.vectors, t.vectors).select("enrol", "test", "target", r6("score").alias("score"))
 
