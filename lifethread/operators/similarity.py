@@ -180,7 +180,7 @@ def score_trials(trials: DataFrame, enrol: DataFrame, test: DataFrame) -> DataFr
 
 def match_entities(
     objects: DataFrame, descriptions: DataFrame, tracks: DataFrame, detections: DataFrame,
-    match_threshold: float = MATCH_THRESHOLD, frames: int = SAMPLE_FRAMES, **how,
+    match_threshold: float = MATCH_THRESHOLD, frames: int = SAMPLE_FRAMES, text_threshold: float = TEXT_THRESHOLD, **how,
 ) -> tuple[DataFrame, DataFrame]:
     """Match decision per object, and the candidates that lost with their scores.
 
@@ -191,7 +191,7 @@ def match_entities(
     candidate with the highest mean overlap above 0 is the best; it matches from ``match_threshold`` on.
     """
     usable = objects.where("has_crops")
-    text = text_candidates(usable.select("qid", "vec"), descriptions, **how)
+    text = text_candidates(usable.select("qid", "vec"), descriptions, text_threshold, **how)
     latest = last_n(descriptions, 1, ["entity"], ["t_sec", "pos"]).select("entity", F.col("text").alias("desc_text"))
     sampled = sample_uniform(tracks, frames, ["qid"])
     asked = text.join(latest, "entity").select("qid", F.col("entity").alias("candidate"), "desc_text")

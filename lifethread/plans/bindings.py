@@ -45,6 +45,35 @@ VIEWS = {
     "m_mention": """
         SELECT o.global_name AS entity, o.event_id, o.pos, e.t_sec, e.caption AS description, v.vec
         FROM m_object o JOIN m_event e ON e.event_id = o.event_id JOIN m_vec v ON v.event_id = o.event_id""",
+    "m_known": """
+        SELECT n.global_name, n.label, d.vec FROM m_entity n JOIN (SELECT entity, last(vec ORDER BY t_sec, event_id, pos) AS vec FROM m_mention GROUP BY 1) d ON d.entity = n.global_name""",
+    "m_ties": """
+        SELECT DISTINCT CONCAT('e', CAST(o.event_id AS VARCHAR)) AS src, o.global_name AS dst FROM m_object o JOIN m_entity n ON n.global_name = o.global_name""",
+    "m_question": """
+        SELECT CONCAT('e', CAST(v.event_id AS VARCHAR)) AS qid, v.vec, e.t_sec AS query_t, e.k % 3 <> 0 AS want_event, e.k % 2 = 0 AS want_object, e.k % 5 = 0 AS want_person, e.event_type, e.k, e.value
+        FROM m_vec v JOIN m_event e ON e.event_id = v.event_id""",
+    "m_core": """
+        WITH es AS (SELECT q.qid, CONCAT('e', CAST(c.event_id AS VARCHAR)) AS id, q.query_t, round(list_cosine_similarity(q.vec, c.vec), 9) AS sim FROM m_question q JOIN m_vec c ON q.want_event),
+        et AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS rn FROM es WHERE sim >= 0),
+        hits AS (SELECT et.qid, et.id AS event_id, e.t_sec, et.sim FROM et JOIN m_event e ON CONCAT('e', CAST(e.event_id AS VARCHAR)) = et.id WHERE rn <= 6 AND e.t_sec <= et.query_t),
+        ns AS (SELECT q.qid, n.global_name AS id, n.label, round(list_cosine_similarity(q.vec, n.vec), 9) AS sim FROM m_question q JOIN m_known n ON (n.label = 'Object' AND q.want_object) OR (n.label = 'Person' AND q.want_person)),
+        found AS (SELECT qid, id AS entity FROM (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY sim DESC, id) AS rn FROM ns WHERE sim >= 0) WHERE rn <= 6),
+        touch AS (SELECT h.qid, h.event_id FROM hits h JOIN m_ties t ON t.src = h.event_id JOIN found f ON f.qid = h.qid AND f.entity = t.dst),
+        direct AS (SELECT * FROM hits WHERE (qid, event_id) IN (SELECT (qid, event_id) FROM touch) OR qid NOT IN (SELECT qid FROM touch)),
+        thru AS (SELECT DISTINCT f.qid, t.src AS event_id, e.t_sec FROM found f JOIN m_ties t ON t.dst = f.entity JOIN m_event e ON CONCAT('e', CAST(e.event_id AS VARCHAR)) = t.src JOIN m_question q ON q.qid = f.qid
+          WHERE f.qid NOT IN (SELECT qid FROM hits) AND e.t_sec <= q.query_t),
+        both_ways AS (SELECT qid, event_id, t_sec, sim FROM direct UNION ALL SELECT qid, event_id, t_sec, NULL FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY t_sec DESC, event_id DESC) AS rn FROM thru) WHERE rn <= 10)
+        SELECT qid, event_id, t_sec, sim AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY t_sec DESC, event_id DESC) AS rn FROM both_ways) WHERE rn <= 20""",
+    "m_hits": """
+        WITH ev AS (SELECT CONCAT('e', CAST(event_id AS VARCHAR)) AS id, t_sec, clip_ts, caption FROM m_event),
+        adj AS (SELECT src AS a, dst AS b, type FROM m_edge UNION ALL SELECT dst, src, type FROM m_edge),
+        one AS (SELECT c.qid, c.event_id AS core, c.t_sec AS core_t, a.b AS node, a.type AS rel FROM m_core c JOIN adj a ON a.a = c.event_id),
+        reach AS (SELECT qid, core, core_t, rel, node AS nb FROM one UNION SELECT o.qid, o.core, o.core_t, o.rel, a.b FROM one o JOIN adj a ON a.a = o.node),
+        near AS (SELECT r.*, e.t_sec FROM reach r JOIN ev e ON e.id = r.nb WHERE e.t_sec <> r.core_t),
+        wide AS (SELECT DISTINCT qid, nb AS event_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY t_sec DESC, nb, rel, core) AS rn FROM near) WHERE rn <= 10),
+        core AS (SELECT c.qid, c.event_id, e.t_sec, e.clip_ts AS timestamp, e.caption, c.similarity, true AS is_core FROM m_core c JOIN ev e ON e.id = c.event_id),
+        more AS (SELECT w.qid, w.event_id, e.t_sec, e.clip_ts AS timestamp, e.caption FROM wide w JOIN ev e ON e.id = w.event_id)
+        SELECT * FROM core UNION ALL SELECT qid, event_id, t_sec, timestamp, caption, NULL, false FROM more m WHERE NOT EXISTS (SELECT 1 FROM core c WHERE c.qid = m.qid AND c.timestamp = m.timestamp)""",
     "m_speech": """
         SELECT conv_id AS event_id, turn AS pos, CASE WHEN role = 'system' THEN NULL ELSE role END AS speaker, text,
           CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS DOUBLE)/16.0 - turn*0.25 AS start_time,
@@ -187,6 +216,26 @@ class Tables:
             self.vec.select("event_id", "vec"), "event_id"
         )
 
+    @cached_property
+    def question(self) -> DataFrame:
+        k = F.col("k")
+        e = self.event.select("event_id", F.col("t_sec").alias("query_t"), "event_type", "k", "value")
+        return self.vec.select("event_id", "vec").join(e, "event_id").select(
+            self.eid("event_id").alias("qid"), "vec", "query_t", (k % 3 != 0).alias("want_event"), (k % 2 == 0).alias("want_object"),
+            (k % 5 == 0).alias("want_person"), "event_type", "k", "value",
+        )
+
+    @cached_property
+    def graph(self):
+        from lifethread.plans.retrieval import Graph
+
+        events = self.event.select("event_id", F.col("clip_ts").alias("timestamp"), "t_sec", "caption").join(
+            self.vec.select("event_id", "vec"), "event_id", "left"
+        ).withColumn("event_id", self.eid("event_id"))
+        last = self.mention.groupBy("entity").agg(F.max_by("vec", F.struct("t_sec", "event_id", "pos")).alias("vec"))
+        entities = self.entity.join(last.withColumnRenamed("entity", "global_name"), "global_name", "left")
+        return Graph(events, entities, self.edge)
+
     @cached_property
     def speech(self) -> DataFrame:
         w = Window.partitionBy("conv_id").orderBy("turn")
