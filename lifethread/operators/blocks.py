@@ -20,10 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lifethread.runtime import rows_up_to
-
 # A side may be sent to all tasks when it has at most this many vector elements (64 MB as doubles).
 SENT_ELEMENTS = 8_000_000
+SENT_ROWS = 200_000
 BLOCK_ROWS = 8192
 RANK_DIGITS = 9
 
@@ -91,10 +90,10 @@ def tie_codes(ids: np.ndarray) -> np.ndarray:
 Kernel = Callable[[Side, Side], dict[str, np.ndarray]]
 
 
-def sent_rows(df: DataFrame, vec: str) -> int:
-    """How many rows of this width may be sent to all tasks."""
-    width = df.where(F.col(vec).isNotNull()).select(F.size(vec).alias("n")).first()
-    return SENT_ELEMENTS // max(1, width["n"] if width else 1)
+def may_be_sent(df: DataFrame, vec: str) -> bool:
+    """Whether the vectors of ``df`` are few and short enough to go to every task; looks no further than needed."""
+    probe = df.select(F.size(vec).alias("n")).limit(SENT_ROWS + 1).agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("width")).first()
+    return probe["rows"] <= SENT_ROWS and probe["rows"] * (probe["width"] or 0) <= SENT_ELEMENTS
 
 
 def block_apply(
@@ -122,10 +121,9 @@ def block_apply(
         return kernel(a, b)
 
     if way is None and not by:
-        most = sent_rows(c, vec)
-        if rows_up_to(c, most) is not None:
+        if may_be_sent(c, vec):
             way = "corpus"
-        elif unit is None and rows_up_to(q, most) is not None:
+        elif unit is None and may_be_sent(q, vec):
             way = "queries"
     if way == "corpus" and not by:
         sent = q.sparkSession.sparkContext.broadcast(side(c.toArrow(), cid, vec, c_more))
@@ -158,6 +156,7 @@ def block_apply(
     c_cells = c_sized["rows"].withColumnRenamed("_block", "_cb")
     q_cells = _against(q_cells, c_sized["sizes"], by, "_cb")
     c_cells = _against(c_cells, q_sized["sizes"], by, "_qb")
+    c_cells = c_cells.select(*[F.col(n).alias(n) for n in c_cells.columns])  # both sides may stem from one table
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:

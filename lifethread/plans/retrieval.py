@@ -13,6 +13,7 @@ from lifethread.operators.intervals import time_hits
 from lifethread.operators.links import asof_filter, entities_of_events, merge_hits, validate_connected
 from lifethread.operators.metrics import recall_report
 from lifethread.operators.similarity import cosine_topk
+from lifethread.runtime import materialize
 
 RULER = "=" * 60
 
@@ -88,8 +89,9 @@ def retrieve_core(questions: DataFrame, graph: Graph, cfg: Config = Config()) ->
     first, those tied to a found entity if there are any; a question without events takes the newest
     events of its entities. At most ``core_limit`` newest per question.
     """
-    events = _event_hits(questions, graph, cfg)
-    found = _entity_hits(questions, graph, cfg)
+    # Each is used several times below, and holds at most top_k rows per question.
+    events = materialize(_event_hits(questions, graph, cfg), "hits")
+    found = materialize(_entity_hits(questions, graph, cfg), "hits")
     direct, _ = validate_connected(events, found, graph.involves)
     direct = direct.select("qid", "event_id", "t_sec", "similarity")
     idle = found.join(direct.select("qid").distinct(), "qid", "left_anti")
@@ -103,11 +105,11 @@ def retrieve(questions: DataFrame, graph: Graph, cfg: Config = Config(), core: D
 
     Expanded events whose clip time is already in the core are left out; their similarity is null.
     """
-    core = retrieve_core(questions, graph, cfg) if core is None else core
+    core = materialize(retrieve_core(questions, graph, cfg), "core") if core is None else core
     info = graph.events.select("event_id", "timestamp", "caption")
     wide = expand(core.select("qid", "event_id"), graph.events, graph.edges, cfg.hops, cfg.expansion_limit, cfg.limit_scope)
     more = wide.select("qid", F.col("neighbour").alias("event_id"), "t_sec").distinct().join(info, "event_id")
-    return merge_hits(core.join(info, "event_id"), more)
+    return materialize(merge_hits(core.join(info, "event_id"), more), "retrieved")
 
 
 def snippets(

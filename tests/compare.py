@@ -17,6 +17,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+LAST = {"ours": 0.0}
+
+
 def plain(v):
     if v is None:
         return (0, "")
@@ -48,6 +51,7 @@ def compare(spark, con, sf_dir, query, sql):
     """Empty text when equal, else what differs."""
     got_df = query(spark, sf_dir)
     got = rows_of(got_df.columns, [tuple(r) for r in got_df.collect()])
+    LAST["ours"] = time.time()
     cur = con.execute(sql)
     want = rows_of([d[0] for d in cur.description], cur.fetchall())
     if got[0] != want[0]:
@@ -90,7 +94,7 @@ def main(argv):
         except Exception as e:  # report and go on
             text, n, mark = f"{type(e).__name__}: {str(e)[:1500]}", -1, "FAILED"
         bad += mark in ("DIFFERS", "FAILED")
-        print(f"{mark:8} {name:28} rows={n:7d} {time.time() - start:6.2f}s {text[:1800]}", flush=True)
+        print(f"{mark:8} {name:28} rows={n:7d} {(LAST["ours"] if name in sql else time.time()) - start:6.2f}s of {time.time() - start:6.2f}s {text[:1800]}", flush=True)
     print("bad:", bad)
 
 
