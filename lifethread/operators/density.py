@@ -187,9 +187,11 @@ def reachability_tree(
         first = outside.groupBy("ca").agg(F.min(_edge(F.col("a"), F.col("b"), F.col("w"))).alias("e"))
         first = materialize(first, "density")
         floor = F.greatest("last", "core")
-        placed = points.join(comp, "id").join(first.select(F.col("ca").alias("comp"), F.col("e.w").alias("best")), "comp", "left")
+        member = points.join(comp, "id")
+        open_groups = member.groupBy(*keys).agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select(*keys)
+        placed = member.join(open_groups, keys, "left_semi").join(first.select(F.col("ca").alias("comp"), F.col("e.w").alias("best")), "comp", "left")
         unsure = placed.where((F.col("listed") < F.col("others")) & (F.col("best").isNull() | (floor <= F.col("best"))))
-        scanned = _scan(unsure, points.join(comp, "id"), keys, **blocks)
+        scanned = _scan(unsure, member, keys, **blocks)
         picked = first.unionByName(scanned).groupBy("ca").agg(F.min("e").alias("e")) if scanned is not None else first
         picked = materialize(picked.select(F.col("ca").alias("comp"), "e.u", "e.v", "e.w"), "density")
         if picked.isEmpty():

@@ -1 +1,197 @@
+"""Clustering, order-dependent folds, pipelines on them, and streams (C1, C3-C5, C8, C10, C12, C13, R5, R6, R8, R10, ST1-ST4)."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lifethread.functions import boxes
+from lifethread.operators import clustering, density, intervals, resolve
+from lifethread.plans import pipelines
+from lifethread.plans.bindings import Tables
+from lifethread.plans.catalog.joins import speech_objects, voiced_turns
+from lifethread.plans.catalog.registry import query, r6
+from lifethread.plans.catalog.scalar import HISTORY_SQL
+from lifethread.runtime import scratch_path
+from lifethread.streaming import streams
+
+
+@query("C1_hdbscan")
+def _(t: Tables) -> DataFrame:
+    return density.hdbscan(t.vectors, min_cluster_size=4, min_samples=2)
+
+
+@query("C3_ahc")
+def _(t: Tables) -> DataFrame:
+    return clustering.ahc(t.vectors.withColumnRenamed("label", "rec"), ["rec"])
+
+
+@query("C4_spectral")
+def _(t: Tables) -> DataFrame:
+    return clustering.spectral(t.vectors.withColumnRenamed("label", "rec"), ["rec"], p=0.1)
+
+
+@query("C5_cluster_speakers")
+def _(t: Tables) -> DataFrame:
+    given = t.vectors.withColumn("rec", F.when(F.col("id") % 3 == 0, F.col("label") + 100).otherwise(F.col("label")))
+    return clustering.cluster_speakers(given.drop("label"), ["rec"], merge_cos=0.8, p=0.1).select("rec", "id", "label")
+
+
+@query("C8_assign_global_ids", """
+    WITH n AS (SELECT event_id, pos, CASE WHEN name LIKE '%human%' THEN 'person' ELSE 'object' END AS p FROM m_object),
+    t AS (SELECT split_part(global_name, '_', 1) AS p, max(CAST(split_part(global_name, '_', 2) AS BIGINT)) AS top FROM m_entity GROUP BY 1),
+    r AS (SELECT n.event_id, n.pos, n.p, CAST(row_number() OVER (PARTITION BY n.p ORDER BY event_id, pos) + coalesce(t.top, 0) AS VARCHAR) AS k FROM n LEFT JOIN t ON t.p = n.p)
+    SELECT event_id, pos, concat(p, '_', CASE WHEN length(k) < 3 THEN lpad(k, 3, '0') ELSE k END) AS global_name FROM r""")
+def _(t: Tables) -> DataFrame:
+    return resolve.assign_global_ids(t.object.select("event_id", "pos", "name"), t.entity, ["event_id", "pos"]).select("event_id", "pos", "global_name")
+
+
+def seen_objects(t: Tables) -> DataFrame:
+    """Objects with their description vectors, sampled boxes and the boxes found in the same event."""
+    word = F.element_at(F.array(*[F.lit(w) for w in ("click", "view", "signup", "error", "purchase")]), (F.col("l_partkey") % 5 + 1).cast("int"))
+    lines = t.read("lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_linenumber").cast("double").alias("t"), "l_quantity", "l_discount", "l_tax", "l_suppkey", word.alias("desc_text"))
+    x, y, w = F.col("l_quantity"), F.col("l_discount") * 100, 10 + F.col("l_tax") * 100
+    dx = x + F.col("l_suppkey") % 5
+    per_event = lines.groupBy("event_id").agg(
+        F.sort_array(F.collect_list(F.struct("t", x.alias("x"), y.alias("y"), w.alias("w"), F.lit(12.0).alias("h")))).alias("frames"),
+        F.sort_array(F.collect_list(F.struct("desc_text", "t", dx.alias("x1"), y.alias("y1"), (dx + w).alias("x2"), (y + 12.0).alias("y2")))).alias("detections"),
+    )
+    e = t.event.select("event_id", (F.col("participant") % 12).alias("participant"), "t_sec", F.col("event_type").alias("description"), (F.col("k") % 9 != 8).alias("has_crops"))
+    return t.object.select("event_id", "pos", "name").join(e, "event_id").join(t.vec.select("event_id", "vec"), "event_id").join(per_event, "event_id", "left")
+
+
+ENTITY_RULES = resolve.EntityRules(text_threshold=0.05)
+VOICE_RULES = resolve.VoiceRules(threshold=0.25, ema_from=0.3)
+
+
+@query("C10_resolve_entities")
+def _(t: Tables) -> DataFrame:
+    got = resolve.resolve_entities(seen_objects(t), ENTITY_RULES)
+    return got.select("participant", "event_id", "pos", "global_name", "is_new", r6("final_score").alias("final_score"), "error")
+
+
+def spoken(t: Tables) -> DataFrame:
+    """Speaker segments with a voice vector each, a dozen participants."""
+    e = t.event.select("event_id", (F.col("participant") % 12).alias("participant"), "t_sec", (F.col("value") / F.lit(10.0)).alias("duration"))
+    return t.vec.select("event_id", "vec").join(e, "event_id").select("*", F.lit("person1").alias("speaker"), F.lit(0).alias("pos"))
+
+
+@query("C12_resolve_voices")
+def _(t: Tables) -> DataFrame:
+    got = resolve.resolve_voices(spoken(t), VOICE_RULES)
+    return got.select("participant", "event_id", "voice_id", "is_new", r6("match_score").alias("match_score"), "mean_updated", F.size("register_score").alias("known"))
+
+
+@query("C13_joint_labels")
+def _(t: Tables) -> DataFrame:
+    audio = voiced_turns(t).select("recording_id", "id", "start", "end", "vec", "label")
+    seconds = F.filter(F.sequence(F.ceil("start"), F.ceil("end")), lambda s: s <= F.col("end"))
+    frames = t.face.select("recording_id", "label", F.explode(seconds).alias("s"))
+    faces = frames.groupBy("recording_id", F.col("s").cast("double").alias("t")).agg(F.min("label").alias("label"))
+    return clustering.joint_labels(audio, faces, stride=30.0).select("recording_id", "id", "speaker")
+
+
+def _pair_relations(t: Tables) -> DataFrame:
+    return t.rel.select("event_id", "related_event_id", "type", "reason")
+
+
+@query("R5_build_graph", """
+    WITH r AS (SELECT *, CASE type WHEN 'causal' THEN 'CAUSAL' WHEN 'same_activity_non_causal' THEN 'SAME_ACTIVITY' WHEN 'related_to' THEN 'RELATED_TO' ELSE upper(type) END AS et FROM m_rel),
+    p AS (SELECT voice_id, first(related_name ORDER BY ordinal) FILTER (related_name LIKE 'person%') AS person FROM m_voice GROUP BY 1),
+    edges AS (SELECT DISTINCT CAST(o.event_id AS VARCHAR) AS src, o.global_name AS dst, 'INVOLVES' AS type FROM m_object o JOIN m_entity n ON n.global_name = o.global_name
+      UNION ALL SELECT CAST(s.event_id AS VARCHAR), p.person, 'SPEAKS' FROM m_speech s JOIN p ON p.voice_id = s.global_voice JOIN m_entity n ON n.global_name = p.person
+      UNION ALL SELECT CAST(a.event_id AS VARCHAR), CAST(b.event_id AS VARCHAR), et FROM r JOIN m_event a ON concat(a.clip_ts, '_evt') = r.event_id JOIN m_event b ON concat(b.clip_ts, '_evt') = r.related_event_id)
+    SELECT src, dst, type, count(*) AS n FROM edges GROUP BY ALL
+    UNION ALL SELECT CAST(event_id AS VARCHAR), NULL, 'Event', row_number() OVER (ORDER BY t_sec, event_id) FROM m_event
+    UNION ALL SELECT global_name, NULL, label, NULL FROM m_entity""")
+def _(t: Tables) -> DataFrame:
+    events = t.event.select("event_id", F.col("clip_ts").alias("timestamp"), "t_sec", "caption")
+    nodes, edges, _ = pipelines.build_graph(events, t.object, t.entity, t.speech, t.voice, _pair_relations(t))
+    return edges.groupBy("src", "dst", "type").agg(F.count(F.lit(1)).alias("n")).unionByName(
+        nodes.select(F.col("id").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("label").alias("type"), F.col("meta_id").alias("n"))
+    )
+
+
+@query("R6_build_clusters")
+def _(t: Tables) -> DataFrame:
+    events = t.event.select("event_id", "participant", F.col("clip_ts").alias("timestamp"), "t_sec", "caption").join(t.vec.select("event_id", "vec"), "event_id")
+    profile, _ = pipelines.build_clusters(events, min_cluster_size=4, min_samples=2)
+    return profile.select("label", "event_count", "time_span", "title", "summary", F.size("vec").alias("width"))
+
+
+@query("R8_voice_pipeline")
+def _(t: Tables) -> DataFrame:
+    media = t.speech.groupBy("event_id").agg(F.max("end_time").alias("media_duration"))
+    events = media.select("event_id", (F.col("event_id") % 12).alias("participant"), F.col("event_id").cast("double").alias("t_sec"), "media_duration")
+    seeds = t.speech.select("event_id", F.coalesce("speaker", F.lit("null_0")).alias("speaker"), "pos").groupBy("event_id", "speaker").agg(F.min("pos").alias("pos"))
+    vecs = seeds.withColumn("id", F.col("event_id") * 5 + F.col("pos")).join(t.vectors.select("id", "vec"), "id").select("event_id", "speaker", "vec")
+    speech, _ = pipelines.voice_pipeline(t.speech, speech_objects(t), vecs, events, rules=VOICE_RULES)
+    return speech.select("event_id", "pos", "speaker", "global_voice")
+
+
+@query("R10_diarize")
+def _(t: Tables) -> DataFrame:
+    activity = t.turn.select("recording_id", "start", "end")
+    chunks = intervals.chunk_intervals(intervals.union_intervals(activity)).select("recording_id", "chunk_start", "chunk")
+    known = t.vectors.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    chosen = F.pmod(F.col("recording_id") * 7 + F.floor(F.col("chunk") / 12) * 10 + F.col("chunk") % 3, known)
+    vecs = chunks.withColumn("id", chosen).join(t.vectors.select("id", "vec"), "id").select("recording_id", "chunk_start", "vec")
+    got = pipelines.diarize(activity, vecs, p=0.1)
+    return got.select("recording_id", r6("start").alias("start"), r6("end").alias("end"), "label")
+
+
+def _stream(t: Tables):
+    """The driver's event file as a stream, by its own schema."""
+    raw = streams.stream_events(
+        t.spark, t.dir, schema=t.read("events").schema, fmt="parquet", pathGlobFilter="events.parquet",
+        event_time=F.col("ts").cast("timestamp"),
+    )
+    ts = F.col("ts")
+    day = (F.datediff(ts.cast("date"), F.lit("2024-01-01").cast("date")) + 1).cast("int")
+    second = F.expr("CAST(floor(extract(SECOND FROM ts) * 100) / 100.0 AS DOUBLE)")
+    return raw.select(
+        "event_id", F.col("user_id").alias("participant"), day.alias("day"), "value",
+        ((F.hour(ts) * 3600 + F.minute(ts) * 60).cast("double") + second + (day - 1) * F.lit(86400.0)).alias("t_sec"),
+    )
+
+
+def _run(t: Tables, df: DataFrame, tag: str) -> DataFrame:
+    streams.use_rocksdb(t.spark)
+    path = scratch_path(t.spark, tag)
+    streams.run_to_table(df, f"{path}/table", f"{path}/checkpoint")
+    return t.spark.read.schema(df.schema).parquet(f"{path}/table")
+
+
+@query("ST1_stream_events", "SELECT event_id, participant, day, round(t_sec, 2) AS t_sec FROM m_event")
+def _(t: Tables) -> DataFrame:
+    return _run(t, _stream(t), "st1").select("event_id", "participant", "day", F.round("t_sec", 2).alias("t_sec"))
+
+
+@query("ST2_stream_chains", "SELECT e.participant, n.src, n.dst, n.type FROM m_next n JOIN m_event e ON e.event_id = n.dst")
+def _(t: Tables) -> DataFrame:
+    return _run(t, streams.stream_chains(_stream(t).select("participant", "event_id", "t_sec")), "st2")
+
+
+@query("ST3_stream_resolve")
+def _(t: Tables) -> DataFrame:
+    live = _stream(t).join(t.read("embeddings").select(F.col("vec_id").alias("event_id"), F.col("embedding").alias("vec")), "event_id").select(
+        (F.col("participant") % 12).alias("participant"), "event_id", F.lit("person1").alias("speaker"), "t_sec", F.lit(0).alias("pos"),
+        (F.col("value") / F.lit(10.0)).alias("duration"), "vec",
+    )
+    got = _run(t, streams.stream_resolve(live, VOICE_RULES), "st3")
+    return got.select("participant", "event_id", "voice_id", "is_new", r6("match_score").alias("match_score"), "mean_updated", F.size("register_score").alias("known"))
+
+
+@query("ST3_stream_entities")
+def _(t: Tables) -> DataFrame:
+    static = seen_objects(t).drop("participant", "t_sec")
+    live = _stream(t).select("event_id", (F.col("participant") % 12).alias("participant"), "t_sec").join(static, "event_id")
+    got = _run(t, streams.stream_entities(live, ENTITY_RULES), "st3e")
+    return got.select("participant", "event_id", "pos", "global_name", "is_new", r6("final_score").alias("final_score"), "error")
+
+
+@query("ST4_stream_temporal_edges", f"""
+    WITH {HISTORY_SQL} SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(past_event_id AS VARCHAR) AS related_event_id, round(t_sec - past_t_sec, 2) AS time_diff_seconds FROM h5 WHERE round(t_sec - past_t_sec, 6) BETWEEN 0.000001 AND 3600""")
+def _(t: Tables) -> DataFrame:
+    got = _run(t, streams.stream_temporal_edges(_stream(t).select("participant", "day", "event_id", "t_sec"), max_s=3600.0), "st4")
+    return got.select("event_id", "related_event_id", F.round("time_diff_seconds", 2).alias("time_diff_seconds"))

@@ -53,7 +53,11 @@ def read_entities(spark: SparkSession, path: str) -> DataFrame:
 
     The file is one JSON object, so it is read by one task: an import step. Afterwards entities are a table.
     """
-    text = spark.read.text(path, wholetext=True)
+    return entities_from_text(spark.read.text(path, wholetext=True))
+
+
+def entities_from_text(text: DataFrame) -> DataFrame:
+    """Entities of keyed JSON objects, one object per row."""
     keyed = text.select(F.explode(F.from_json("value", f"map<string, struct<{_colons(schemas.ENTITY)}>>")).alias("key", "e"))
     label = F.when(F.startswith("key", F.lit("person_")), "Person").when(F.startswith("key", F.lit("object_")), "Object")
     described = F.transform("e.descriptions", lambda d: F.from_json(d, schemas.DESCRIPTION))
@@ -72,9 +76,9 @@ def _colons(ddl: str) -> str:
     return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in T.StructType.fromDDL(ddl))
 
 
-def read_voices(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_voices(spark: SparkSession, path: str | list[str], multiline: bool = True) -> DataFrame:
     """S3: voice records; ``related_person`` keeps the order of its keys."""
-    return spark.read.schema(schemas.VOICE).option("multiLine", True).json(path)
+    return spark.read.schema(schemas.VOICE).option("multiLine", multiline).json(path)
 
 
 def voice_names(voices: DataFrame) -> DataFrame:

@@ -166,12 +166,12 @@ def stream_entities(df: DataFrame, rules=None) -> DataFrame:
 
 
 class _Temporal(_Ordered):
-    def __init__(self, n: int, max_s: float, event: str, t: str, keep_ms: int):
-        self.n, self.max_s, self.event, self.t, self.keep_ms = n, max_s, event, t, keep_ms
+    def __init__(self, n: int, max_s: float, event: str, t: str):
+        self.n, self.max_s, self.event, self.t = n, max_s, event, t
         self.order = [t, event]
 
     def open(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", "event string, t double", ttlDurationMs=self.keep_ms)
+        self.recent = handle.getListState("recent", "event string, t double")
 
     def step(self, key, batch: pd.DataFrame) -> pd.DataFrame:
         past = [(e, t) for e, t in self.recent.get()] if self.recent.exists() else []
@@ -190,12 +190,9 @@ class _Temporal(_Ordered):
 
 
 def stream_temporal_edges(
-    df: DataFrame, n: int = 5, max_s: float = 60.0, keys: tuple[str, ...] = ("participant", "day"), event: str = "event_id", t: str = "t_sec",
-    keep_ms: int = 2 * 86_400_000,
+    df: DataFrame, n: int = 5, max_s: float = 60.0, keys: tuple[str, ...] = ("participant", "day"), event: str = "event_id", t: str = "t_sec"
 ) -> DataFrame:
-    """ST4: ``temporal_after`` relations as events arrive; the state is the last ``n`` events of a day, dropped
-    when nothing was added for ``keep_ms``."""
+    """ST4: ``temporal_after`` relations as events arrive; the state is the last ``n`` events of a day."""
     return df.groupBy(*keys).transformWithStateInPandas(
-        _Temporal(n, max_s, event, t, keep_ms),
-        "event_id string, related_event_id string, type string, time_diff_seconds double", "Append", "ProcessingTime",
+        _Temporal(n, max_s, event, t), "event_id string, related_event_id string, type string, time_diff_seconds double", "Append", "None"
     )
