@@ -215,7 +215,7 @@ def _(t: Tables) -> DataFrame:
     placed = readers.event_objects(events).select("event_id", "pos", "name")
     slot = F.when(F.col("name") == "object1", 1).when(F.col("name") == "human1", 2).otherwise(3)
     names = placed.select("event_id", "pos", F.concat(F.lit("person_"), F.lpad(slot.cast("string"), 3, "0")).alias("global_name"))
-    writers.write_events(writers.enrich_events(events, names=names, relations=readers.event_relations(events)), f"{path}/out")
+    writers.write_events(writers.enrich_events(events, names=names, relations=readers.event_relations(events)), f"{path}/out", partitions=("day",))
     back = t.spark.read.parquet(f"{path}/out")
     return readers.event_objects(back).select("event_id", "pos", "global_name").join(back.select("event_id", F.size("relations").alias("relations")), "event_id")
 

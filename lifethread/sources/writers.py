@@ -100,18 +100,20 @@ def enrich_events(
     return out.select(*events.columns)
 
 
-def write_events(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Events by participant and day, as Parquet or as JSON lines."""
+def write_events(
+    df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", partitions: Sequence[str] = ("participant", "day")
+) -> None:
+    """Events by participant and day (or one of them), in time order, as Parquet or as JSON lines."""
     keyed = df.withColumns({"participant": F.col("metadata.person_name"), "day": F.col("metadata.day")})
-    keyed.repartition("participant", "day").sortWithinPartitions("participant", "day", "timestamp").write.mode(mode).partitionBy(
-        "participant", "day"
-    ).format(fmt).save(path)
+    keyed = keyed.repartition(*partitions).sortWithinPartitions(*partitions, "timestamp")
+    keyed.write.mode(mode).partitionBy(*partitions).format(fmt).save(path)
 
 
 def rttm_lines(segments: DataFrame, recording: str = "recording_id") -> DataFrame:
     """One RTTM line per speaker segment."""
     line = F.format_string(
-        "SPEAKER %s 0 %.3f %.3f <NA> <NA> %d <NA> <NA>", F.col(recording).cast("string"), F.col("start"), F.col("end") - F.col("start"), F.col("label").cast("int")
+        "SPEAKER %s 0 %.3f %.3f <NA> <NA> %d <NA> <NA>", F.col(recording).cast("string"),
+        F.bround("start", 3), F.bround(F.col("end") - F.col("start"), 3), F.col("label").cast("int"),
     )
     return segments.select(line.alias("value"))
 
