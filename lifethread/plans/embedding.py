@@ -11,6 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lifethread.runtime import spread
+
 BATCH_TEXTS = 32
 DIMENSIONS = 256
 
@@ -35,7 +37,7 @@ def embed(
     maps a list of texts to vectors; it is called in batches inside the tasks and may build its model once
     per task on first use.
     """
-    rows = df.select(id_col, text)
+    rows = spread(df.select(id_col, text))
     if embedder is None:
         grams = rows.withColumn("_grams", F.coalesce(_grams(F.col(text)), F.array().cast("array<string>")))
         counted = HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=dimensions).transform(grams)

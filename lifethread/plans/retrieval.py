@@ -89,7 +89,8 @@ def retrieve_core(questions: DataFrame, graph: Graph, cfg: Config = Config()) ->
     first, those tied to a found entity if there are any; a question without events takes the newest
     events of its entities. At most ``core_limit`` newest per question.
     """
-    # Each is used several times below, and holds at most top_k rows per question.
+    # Each is used several times below; the hits hold at most top_k rows per question.
+    questions = materialize(questions, "questions")
     events = materialize(_event_hits(questions, graph, cfg), "hits")
     found = materialize(_entity_hits(questions, graph, cfg), "hits")
     direct, _ = validate_connected(events, found, graph.involves)

@@ -42,7 +42,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rows_up_to(df: DataFrame, bound: int) -> int | None:
-    """Row count when it is at most ``bound``, else None; stops reading once the bound is passed."""
-    n = df.limit(bound + 1).count()
-    return n if n <= bound else None
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of few large files over all cores, for work that costs more than moving the rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
