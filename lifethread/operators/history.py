@@ -59,9 +59,15 @@ def temporal_edges(
 
 def with_reason(edges: DataFrame, base: str = "2024-01-01") -> DataFrame:
     """Reason text ``earlier -> later`` of temporal relations, in calendar time."""
-    start = F.unix_micros(F.lit(f"{base} 00:00:00+00:00").cast("timestamp"))
-    when = lambda c: F.date_format(F.timestamp_micros(start + F.round(c * 1000000).cast("long")), "yyyy-MM-dd HH:mm:ss.SS")
-    return edges.withColumn("reason", F.concat(when(F.col("from_t")), F.lit(" -> "), when(F.col("to_t"))))
+    def when(c: Column) -> Column:
+        hundredths = F.round(c * 100).cast("long")
+        date = F.date_add(F.lit(base).cast("date"), F.floor(hundredths / 8640000).cast("int"))
+        rest = hundredths % 8640000
+        part = lambda unit, top: (F.floor(rest / unit) % top).cast("int")
+        clock = F.format_string("%02d:%02d:%02d.%02d", part(360000, 24), part(6000, 60), part(100, 60), part(1, 100))
+        return F.concat_ws(" ", date.cast("string"), clock)
+
+    return edges.withColumn("reason", F.concat_ws(" -> ", when(F.col("from_t")), when(F.col("to_t"))))
 
 
 def last_n(df: DataFrame, n: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
