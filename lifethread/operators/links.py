@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lifethread.functions.clip_time import event_stem
 from lifethread.functions.text import with_edge_type
+from lifethread.runtime import materialize
 
 CAMERA_WEARER = ("I", "person1")
 
@@ -102,10 +103,11 @@ def validate_connected(hits: DataFrame, found: DataFrame, edges: DataFrame) -> t
     The join runs from the events, whose degree is small, never from a popular entity.
     ``hits`` has qid, event_id; ``found`` has qid, entity; ``edges`` has src (event), dst (entity).
     """
-    touch = (
+    met = (
         hits.select("qid", F.col("event_id").alias("src")).join(edges.select("src", "dst"), "src")
         .join(found.select("qid", F.col("entity").alias("dst")).distinct(), ["qid", "dst"], "left_semi")
     )
+    touch = materialize(met, "connected")  # read three times below
     tied = touch.select("qid", F.col("src").alias("event_id")).distinct().withColumn("_tied", F.lit(True))
     alive = tied.select("qid").distinct().withColumn("_alive", F.lit(True))
     events = (
