@@ -10,7 +10,6 @@ from lifethread.operators import clustering, history, ordered, similarity
 from lifethread.plans import embedding, pipelines, retrieval
 from lifethread.plans.bindings import Tables
 from lifethread.plans.catalog.groups import MEDOID_SQL, scored
-from lifethread.plans.catalog.joins import CENTRE_SQL
 from lifethread.plans.catalog.registry import query, r6
 from lifethread.plans.catalog.scalar import HISTORY_SQL, IOU_SQL
 
