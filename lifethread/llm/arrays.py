@@ -15,6 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from lifethread.runtime import ship
 
 PIECE = 1 << 21
 #: The bytes that separate words.
@@ -25,6 +29,8 @@ LOWER[65:91] += 32
 #: The same class as a pattern, and the characters for trim().
 WORD = "[^\\x20\\x09-\\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
+#: Bytes below 0x80 that are neither letters nor digits.
+MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BASE = 0x9E3779B97F4A7C55
 _UNBASE = pow(_BASE, -1, 1 << 64)
 
@@ -56,12 +62,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+class Rolling:
+    """Rabin-Karp hashes (modulo 2^64) of slices of ``values``; equal slices have equal hashes wherever they stand."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        power, self.inverse = _tables(len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * power[: len(values)], out=self.sums[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+
+
 def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Rabin-Karp hashes (modulo 2^64) of the slices ``values[start:end]``; equal slices have equal hashes wherever they stand."""
-    power, inverse = _tables(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * power[: len(values)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    return Rolling(values)(start, end)
 
 
 @dataclass
@@ -85,6 +99,15 @@ class Words:
     def hashes(self, lower: bool = False) -> np.ndarray:
         return span_hashes(LOWER[self.data] if lower else self.data, self.start, self.end)
 
+    def cores(self) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the words without marks at both ends; a word of marks only stays as it is."""
+        solid = np.flatnonzero(~MARK[self.data])
+        a, b = np.searchsorted(solid, self.start), np.searchsorted(solid, self.end) - 1
+        full = a <= b
+        start, end = self.start.copy(), self.end.copy()
+        start[full], end[full] = solid[a[full]], solid[b[full]] + 1
+        return start, end
+
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """First words of all windows of ``size`` words of one document, and the number of windows of each document."""
         n = np.maximum(self.counts - size + 1, 0)
@@ -124,17 +147,38 @@ def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = PIECE) -> Ite
         lo = hi
 
 
-def map_pieces(df: DataFrame, f: Callable, schema: str, text: str = "text") -> DataFrame:
-    """``f(rows, words)`` for every piece; gives a dict of columns, an Arrow batch, or an iterator of them."""
+def as_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
+    """A batch with the columns, order and types of ``schema``."""
+
+    def column(v, kind: pa.DataType) -> pa.Array:
+        v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v if isinstance(v, pa.Array) else pa.array(v) if isinstance(v, np.ndarray) else pa.array(v, kind)
+        return v if v.type == kind else v.cast(kind)
+
+    return pa.RecordBatch.from_arrays([column(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], ddl: str) -> DataFrame:
+    """``mapInArrow`` for functions that give dicts of columns."""
+    ship(df.sparkSession)
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in f(batches):
+            yield as_batch(x, schema)
+
+    return df.mapInArrow(run, ddl)
+
+
+def map_pieces(df: DataFrame, f: Callable, ddl: str, text: str = "text") -> DataFrame:
+    """``f(rows, words)`` for every piece; gives a dict of columns or an iterator of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for lo, hi, data, offsets in pieces(batch, text):
                 out = f(batch.slice(lo, hi - lo), split_words(data, offsets))
-                for x in [out] if isinstance(out, (dict, pa.RecordBatch)) else out:
-                    yield pa.RecordBatch.from_pydict(x) if isinstance(x, dict) else x
+                yield from [out] if isinstance(out, dict) else out
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, ddl)
 
 
 def runs(sorted_values: np.ndarray) -> np.ndarray:

@@ -111,7 +111,7 @@ def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
     Lines whose key has at least ``min_chars`` code points and is in at least ``min_docs`` documents go, except in the largest id that holds it.
     """
     records, index = index_lines(docs, min_chars, batches, fanout)
-    common = index.totals().filter(F.col("docs") >= min_docs).select("h", "last")
+    common = materialize(index.totals().filter(F.col("docs") >= min_docs).select("h", "last"), "lines-common")  # a plain table, so that Spark can split a very common line
     doomed = records.join(common, "h").filter(~F.col("doc_id").eqNullSafe(F.col("last"))).groupBy("doc_id").agg(F.collect_set("h").alias("__drop"))
     doomed = doomed.withColumnRenamed("doc_id", "__id")
     rows = docs.select(*keep, F.col("doc_id").cast("long").alias("__doc"), lines_of(F.col("text")).alias("__lines"))
