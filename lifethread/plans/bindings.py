@@ -8,6 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lifethread.runtime import ship
+
 _DAY = "CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS INT)"
 
 VIEWS = {
@@ -138,6 +140,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
+        ship(spark)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")

@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that Python workers can import it from any working directory."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="lifethread-package-"), "lifethread.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(path)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder shared by all executors, from ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests on one machine) a folder of our own is set.
+    Only where the session names none and the master is local (tests on one machine) a folder of our own is set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -20,6 +42,8 @@ def scratch_root(spark: SparkSession) -> str:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lifethread-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
