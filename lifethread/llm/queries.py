@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lifethread.llm import line_dedup, quality, toxicity
+from lifethread.llm import line_dedup, mixing, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_digest(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(table(spark, sf_dir, "documents"), share=1.5, weights=(3, 1, 2), most=2.0)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.quality(docs, quality.train(docs, table(spark, sf_dir, "labels"), max_rows=6_000), threshold=0.5)
@@ -28,7 +32,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_line_dedup": op10_line_dedup,
+    "op1_mixing": op1_mixing, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_line_dedup": op10_line_dedup,
 }
 SQL: dict[str, str] = {"op10_line_dedup": line_dedup.ORACLE}
 
