@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lifethread.llm import line_dedup, mixing, quality, toxicity
+from lifethread.llm import jaccard, line_dedup, mixing, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"), share=1.5, weights=(3, 1, 2), most=2.0)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"), size=3, least=Fraction(9, 10)).select("doc_id", "n_shingles", "component_id", "links")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.quality(docs, quality.train(docs, table(spark, sf_dir, "labels"), max_rows=6_000), threshold=0.5)
@@ -32,7 +37,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_mixing": op1_mixing, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_line_dedup": op10_line_dedup,
+    "op1_mixing": op1_mixing, "op6_jaccard_join": op6_jaccard_join, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_line_dedup": op10_line_dedup,
 }
 SQL: dict[str, str] = {"op10_line_dedup": line_dedup.ORACLE}
 
