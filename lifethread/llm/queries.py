@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lifethread.llm import decontaminate, jaccard, line_dedup, mixing, pii, quality, substring, toxicity
+from lifethread.llm import decontaminate, jaccard, line_dedup, mixing, pii, quality, substring, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"), size=3, least=Fraction(9, 10)).select("doc_id", "n_shingles", "component_id", "links")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_counts(table(spark, sf_dir, "documents"), token_counts.vocabulary())
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.quality(docs, quality.train(docs, table(spark, sf_dir, "labels"), max_rows=6_000), threshold=0.5)
@@ -50,7 +54,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_mixing": op1_mixing, "op2_decontaminate": op2_decontaminate, "op3_substring_dedup": op3_substring_dedup, "op5_pii": op5_pii, "op6_jaccard_join": op6_jaccard_join, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_line_dedup": op10_line_dedup,
+    "op1_mixing": op1_mixing, "op2_decontaminate": op2_decontaminate, "op3_substring_dedup": op3_substring_dedup, "op5_pii": op5_pii, "op6_jaccard_join": op6_jaccard_join, "op7_token_counts": op7_token_counts, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_line_dedup": op10_line_dedup,
 }
 SQL: dict[str, str] = {"op10_line_dedup": line_dedup.ORACLE}
 
