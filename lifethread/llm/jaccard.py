@@ -3,13 +3,13 @@
 1. A document's set is its distinct shingles as 64-bit hashes. Equal sets are one node (their hash), however many copies there are.
 2. Shingles are ordered rare first by counts over all documents in a table of ``2 ** SKETCH`` hashed places; the order only has to be the same
    everywhere, so hashed counts give exact results. Two sets that reach the similarity share a shingle of their prefixes in this order.
-3. Prefix shingles with two nodes or more chain their nodes to clusters (edges to the smallest node, so a shingle in m prefixes makes m - 1 edges).
-   Sets of different clusters cannot be linked.
+3. Nodes that share a prefix shingle are compared by the length, positional and suffix filters (the last bounds the overlap by counts of hashed
+   parts of the sets, a fixed number for each set). Pairs that pass chain nodes to clusters; sets of different clusters cannot be linked.
 4. Each clustered node's set is sent to its cluster once. Large clusters are cut into bands of set size, so that only the same or adjacent bands can
-   be linked, and bands into blocks of about ``BLOCK`` nodes; each pair of blocks is a unit of work of its own.
-5. In a unit, pairs that share a prefix shingle pass the length and positional filters, then the suffix filter (bounds from counts of hashed parts
-   of the sets), and those left are verified by their whole sets, once. A unit returns links to its components' smallest nodes and the
-   number of links of every node, never the list of pairs.
+   be linked, and bands into blocks of about ``BLOCK`` nodes; each pair of blocks is a unit of work of its own. So are those of a shingle that many
+   prefixes hold.
+5. In a unit, pairs that share a prefix shingle pass the same filters, and those left are verified by their whole sets, once. A unit returns links to
+   its components' smallest nodes and the number of links of every node, never the list of pairs.
 
 Defined results: null and empty texts and texts without words have size 0 and no link; texts with fewer words than a shingle are one shingle; rows
 with the same set are linked at any similarity; rows that repeat an id are rows of their own and share a component only if linked; null ids never
@@ -23,7 +23,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lifethread.llm.arrays import Rolling, Words, map_arrow, map_pieces, mix, runs
@@ -114,6 +114,76 @@ def _rare_first(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, counts[_place(s)]))]
 
 
+def _parts(s: np.ndarray) -> np.ndarray:
+    """Counts of the hashed parts of a set: the sum of the smaller counts of two sets bounds their overlap."""
+    return np.bincount((s >> np.uint64(20)).astype(np.int64) % _PARTS, minlength=_PARTS).astype(np.int32)
+
+
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
+    """The smallest member of each one's component."""
+    head = list(range(n))
+
+    def find(k: int) -> int:
+        while head[k] != k:
+            head[k] = head[head[k]]
+            k = head[k]
+        return k
+
+    for a, b in zip(i.tolist(), j.tolist()):
+        a, b = find(a), find(b)
+        head[max(a, b)] = min(a, b)
+    return [find(k) for k in range(n)]
+
+
+def _candidates(sim: Similarity):
+    """Edges between nodes of a unit (sharing one prefix shingle) that pass the filters; rows come sorted by unit."""
+
+    def passes(n, m, pi, pj, a, b):  # noqa: ANN001
+        small = np.minimum(n, m)
+        keep = sim.fits(small, np.maximum(n, m)) & (np.minimum(pi, pj) + 1 + np.minimum(n - pi - 1, m - pj - 1) >= sim.overlap(n, m))
+        out = np.flatnonzero(keep)
+        return out[np.minimum(a[out], b[out]).sum(1) >= sim.overlap(n[out], m[out])]
+
+    def edges(t: pa.Table) -> dict:
+        unit, node, n, at = (t.column(c).to_numpy() for c in ("unit", "node", "n", "at"))
+        pair, side = t.column("pair").to_numpy(zero_copy_only=False), t.column("side").to_numpy(zero_copy_only=False)
+        parts = np.frombuffer(b"".join(t.column("parts").to_pylist()), np.int32).reshape(-1, _PARTS)
+        edge = runs(unit)
+        lo, size = edge[:-1], np.diff(edge)
+        two = lo[(size == 2)]
+        two = two[(node[two] != node[two + 1]) & (~pair[two] | (side[two] != side[two + 1]))]
+        good = two[passes(n[two], n[two + 1], at[two], at[two + 1], parts[two], parts[two + 1])]
+        a, b = [node[good]], [node[good + 1]]
+        for k, m in zip(lo[size > 2].tolist(), size[size > 2].tolist()):
+            i, j = np.triu_indices(m, 1)
+            if pair[k]:
+                cross = side[k + i] != side[k + j]
+                i, j = i[cross], j[cross]
+            ok = np.concatenate([x + passes(n[k + i[x: x + 4096]], n[k + j[x: x + 4096]], at[k + i[x: x + 4096]], at[k + j[x: x + 4096]], parts[k + i[x: x + 4096]], parts[k + j[x: x + 4096]]) for x in range(0, len(i), 4096)] or [np.zeros(0, np.int64)])
+            if len(ok):
+                root = np.array(_roots(m, i[ok], j[ok]))
+                linked = np.flatnonzero(root != np.arange(m))
+                a.append(node[k + linked])
+                b.append(node[k + root[linked]])
+        return {"a": np.concatenate(a), "b": np.concatenate(b)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            unit = t.column("unit").to_numpy()
+            other = np.flatnonzero(unit != unit[-1])  # the last unit may go on in the next batch
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield edges(t.slice(0, cut))
+            rest = t.slice(cut).combine_chunks()
+        if rest is not None and rest.num_rows:
+            yield edges(rest)
+
+    return run
+
+
 def _unit_links(sets: list[np.ndarray], counts: np.ndarray, sim: Similarity, cross: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs (i, j) of the unit; with ``cross`` (side of each set) only pairs of different sides."""
     size = np.array([len(s) for s in sets])
@@ -142,7 +212,7 @@ def _unit_links(sets: list[np.ndarray], counts: np.ndarray, sim: Similarity, cro
         found.append((np.minimum(i, j) * len(sets) + np.maximum(i, j))[keep])
     pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
     i, j = pairs // len(sets), pairs % len(sets)
-    parts = np.stack([np.bincount((s >> np.uint64(20)).astype(np.int64) % _PARTS, minlength=_PARTS) for s in sets]).astype(np.int32)
+    parts = np.stack([_parts(s) for s in sets])
     good = np.zeros(len(i), bool)
     for lo in range(0, len(i), 4096):
         a, b = i[lo: lo + 4096], j[lo: lo + 4096]
@@ -164,20 +234,10 @@ def _units(counts: np.ndarray, sim: Similarity):
             nodes, side = [x[0] for x in unit], np.array([x[1] for x in unit])
             sets = [np.frombuffer(x[2], np.uint64) for x in unit]
             i, j = _unit_links(sets, counts, sim, side if pair else None)
-            head = list(range(len(nodes)))
-
-            def find(k: int) -> int:
-                while head[k] != k:
-                    head[k] = head[head[k]]
-                    k = head[k]
-                return k
-
-            for a, b in zip(i.tolist(), j.tolist()):
-                a, b = find(a), find(b)
-                head[max(a, b)] = min(a, b)
+            root = _roots(len(nodes), i, j)
             n = np.bincount(i, minlength=len(nodes)) + np.bincount(j, minlength=len(nodes))
             some = np.flatnonzero(n).tolist()
-            return {"node": [nodes[k] for k in some], "head": [nodes[find(k)] for k in some], "links": n[some]}
+            return {"node": [nodes[k] for k in some], "head": [nodes[root[k]] for k in some], "links": n[some]}
 
         held: list[tuple[int, bool, bytes]] = []
         last = None
@@ -195,6 +255,24 @@ def _units(counts: np.ndarray, sim: Similarity):
     return link
 
 
+def _cut(rows: DataFrame, key: str, band: Column, many: Column, below: Column, own: Column, above: Column, most: int) -> DataFrame:
+    """``rows`` with ``units``: where a row is compared. A key of up to ``most`` rows is one unit; else every pair of blocks of the same band (``own``
+    blocks, the row is in block ``mine``) or of adjacent bands (``below``, ``above``) is one."""
+
+    def entry(name: Column, pair: Column, side: Column) -> Column:
+        return F.struct(name.alias("unit"), pair.alias("pair"), side.alias("side"))
+
+    def unit(b1: Column, i: Column, b2: Column, j: Column) -> Column:
+        return F.xxhash64(key, b1, i, b2, j)
+
+    span = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    i, yes, no = F.col("mine"), F.lit(True), F.lit(False)
+    same = F.transform(span(own), lambda j: entry(unit(band, F.least(i, j), band, F.greatest(i, j)), i != j, i > j))
+    up = F.transform(span(above), lambda j: entry(unit(band, i, band + 1, j), yes, no))
+    down = F.transform(span(below), lambda j: entry(unit(band - 1, j, band, i), yes, yes))
+    return rows.withColumn("units", F.when(many <= most, F.array(entry(F.col(key), no, no))).otherwise(F.concat(same, up, down)))
+
+
 def jaccard_join(docs: DataFrame, size: int = 5, least: Fraction = Fraction(4, 5), block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked doc_id), node (name of the set, null if empty), links (other sets that reach ``least``)."""
     sim = Similarity(least)
@@ -202,21 +280,31 @@ def jaccard_join(docs: DataFrame, size: int = 5, least: Fraction = Fraction(4, 5
 
     def name(batch: pa.RecordBatch, words: Words) -> dict:
         sets = shingle_sets(words, size)
-        return {"doc_id": batch.column("doc_id"), "n": [len(s) for s in sets], "node": [_node(s) if len(s) else None for s in sets]}
+        return {"doc_id": batch.column("doc_id"), "n": [len(s) for s in sets], "node": [_node(s) if len(s) else None for s in sets],
+                "parts": [_parts(s).tobytes() if len(s) else None for s in sets]}
 
-    named = materialize(map_pieces(rows, name, "doc_id long, n long, node long"), "jaccard-named")
+    stored = materialize(map_pieces(rows, name, "doc_id long, n long, node long, parts binary"), "jaccard-named")
+    named = stored.select("doc_id", "n", "node")
     counts = rows.sparkSession.sparkContext.broadcast(hashed_counts(rows, size))  # 4 bytes times 2 ** SKETCH
 
     def prefixes(batch: pa.RecordBatch, words: Words) -> dict:
         sets = [s for s in shingle_sets(words, size) if len(s)]
         top = [_rare_first(s, counts.value)[: sim.prefix(len(s))] for s in sets]
-        nodes = np.repeat(np.array([_node(s) for s in sets], np.int64), [len(t) for t in top])
-        return {"shingle": (np.concatenate(top) if top else np.zeros(0, np.uint64)).view(np.int64), "node": nodes}
-
-    prefix = map_pieces(rows, prefixes, "shingle long, node long")
-    shared = prefix.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("shingle", "low")
-    shared = materialize(shared, "jaccard-shared")
-    edges = prefix.join(shared, "shingle").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+        many = [len(t) for t in top]
+        return {"shingle": (np.concatenate(top) if top else np.zeros(0, np.uint64)).view(np.int64), "node": np.repeat(np.array([_node(s) for s in sets], np.int64), many),
+                "at": np.concatenate([np.arange(k) for k in many] or [np.zeros(0, int)])}
+
+    prefix = map_pieces(rows, prefixes, "shingle long, node long, at int")
+    shared = prefix.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("many")).filter("low <> high")
+    shared = materialize(shared.select("shingle", "many"), "jaccard-shared")
+    held = prefix.join(shared, "shingle").dropDuplicates(["shingle", "node"])
+    held = materialize(held.withColumn("blocks", F.ceil(F.col("many") / block).cast("int")), "jaccard-held")
+    info = stored.filter("node IS NOT NULL").groupBy(F.col("node").alias("of_node")).agg(F.first("n").alias("n"), F.first("parts").alias("parts"))
+    info = info.join(held.select(F.col("node").alias("of_node")).distinct(), "of_node", "left_semi")
+    compared = _cut(held.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "shingle", F.lit(0), F.col("many"), F.lit(0), F.col("blocks"), F.lit(0), block)
+    compared = compared.join(info, F.col("node") == F.col("of_node")).select("node", "at", "n", "parts", F.explode("units").alias("u"))
+    compared = compared.select("u.unit", "u.pair", "u.side", "node", "at", "n", "parts").repartition(F.col("unit")).sortWithinPartitions("unit", "node")
+    edges = map_arrow(compared, _candidates(sim), "a long, b long").distinct()
     clusters = materialize(components(edges, "jaccard-clusters").withColumnRenamed("root", "cluster"), "jaccard-cluster")
 
     # One row of documents stands for each clustered set.
@@ -232,20 +320,8 @@ def jaccard_join(docs: DataFrame, size: int = 5, least: Fraction = Fraction(4, 5
     mine = F.pmod(F.xxhash64("node"), F.greatest("blocks1", F.lit(1))).cast("int")
     cut = materialize(cut.withColumn("mine", mine), "jaccard-cut")
 
-    def unit(b1, i, b2, j):  # noqa: ANN001
-        return F.xxhash64("cluster", b1, i, b2, j)
-
-    def entry(name, pair, side):  # noqa: ANN001
-        return F.struct(name.alias("unit"), pair.alias("pair"), side.alias("side"))
-
-    span = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    b, i = F.col("band"), F.col("mine")
-    own = F.transform(span(F.col("blocks1")), lambda j: entry(unit(b, F.least(i, j), b, F.greatest(i, j)), i != j, i > j))
-    up = F.transform(span(F.col("blocks2")), lambda j: entry(unit(b, i, b + 1, j), F.lit(True), F.lit(False)))
-    down = F.transform(span(F.col("blocks0")), lambda j: entry(unit(b - 1, j, b, i), F.lit(True), F.lit(True)))
-    small = F.array(entry(F.col("cluster"), F.lit(False), F.lit(False)))
-    units = F.when(F.col("in_cluster") <= 2 * block, small).otherwise(F.concat(own, up, down))
-    wanted = cut.select("of", F.col("node").alias("node_of"), units.alias("units"))
+    cut = _cut(cut, "cluster", F.col("band"), F.col("in_cluster"), F.col("blocks0"), F.col("blocks1"), F.col("blocks2"), 2 * block)
+    wanted = cut.select("of", F.col("node").alias("node_of"), "units")
 
     def resets(batch: pa.RecordBatch, words: Words) -> dict:
         sets, nodes = shingle_sets(words, size), batch.column("node_of").to_pylist()

@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lifethread.llm import decontaminate, jaccard, line_dedup, mixing, pii, quality, substring, token_counts, toxicity
+from lifethread.llm import decontaminate, jaccard, language_model, line_dedup, mixing, pii, quality, substring, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_digest(table(spark, sf_dir, "documents"), size=20)
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.pii(docs, pii.train(pii.small_table(docs, max_rows=1_500)))
@@ -54,7 +58,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_mixing": op1_mixing, "op2_decontaminate": op2_decontaminate, "op3_substring_dedup": op3_substring_dedup, "op5_pii": op5_pii, "op6_jaccard_join": op6_jaccard_join, "op7_token_counts": op7_token_counts, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_line_dedup": op10_line_dedup,
+    "op1_mixing": op1_mixing, "op2_decontaminate": op2_decontaminate, "op3_substring_dedup": op3_substring_dedup, "op4_lm_score": op4_lm_score, "op5_pii": op5_pii, "op6_jaccard_join": op6_jaccard_join, "op7_token_counts": op7_token_counts, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_line_dedup": op10_line_dedup,
 }
 SQL: dict[str, str] = {"op10_line_dedup": line_dedup.ORACLE}
 

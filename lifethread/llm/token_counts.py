@@ -123,12 +123,11 @@ def count_tokens(spark: SparkSession, path: str, eod: int = EOD, header: int = 0
     # Prefix scan: what is open before a part is the tail since the last part with a separator. Narrow rows, one per part.
     edges = parts.select("stream", "file", "part", "closes", "first", "before", "after", "tail")
     order = Window.partitionBy("stream").orderBy("file", "part")
-    past, ahead = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
     runs = edges.withColumn("run", F.coalesce(F.sum(F.col("closes").cast("int")).over(past), F.lit(0)))  # parts of one open document
     grouped = runs.groupBy("stream", "run").agg(
         F.min_by(F.col("file"), F.struct("file", "part")).alias("file"), F.min("part").alias("part"), F.sum("before").alias("ids"), F.max("closes").alias("closed"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("file", "part", "first"))), lambda x: x.first)).alias("first"))
-    del ahead
     opened = runs.filter("closes").select("stream", (F.col("run") + 1).alias("run"), F.col("after").alias("carried"), F.col("tail").alias("tail"), F.col("file").alias("of_file"), F.col("part").alias("of_part"))
     stitched = grouped.join(opened, ["stream", "run"], "full").select(
         F.coalesce("of_file", "file").alias("file"), F.coalesce("of_part", "part").alias("part"), F.lit(-1).alias("position"),
