@@ -54,7 +54,8 @@ def shingle_sets(words: Words, size: int) -> list[np.ndarray]:
 
 def _node(s: np.ndarray) -> int:
     """A signed 64-bit name of a set."""
-    return int(mix(np.array([np.bitwise_xor.reduce(mix(s)) + np.sum(s * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(len(s))]))[0].view(np.int64))
+    parts = np.array([[np.bitwise_xor.reduce(mix(s)), np.sum(s * np.uint64(0x9E3779B97F4A7C15)), len(s)]], np.uint64)
+    return int(mix(parts.sum(1))[0].view(np.int64))
 
 
 def _place(h: np.ndarray) -> np.ndarray:
@@ -230,7 +231,7 @@ def _units(counts: np.ndarray, sim: Similarity):
         """Rows come sorted by unit; a unit is held at a time."""
 
         def close(unit: list[tuple[int, bool, bytes]], pair: bool) -> dict:
-            unit.sort(key=lambda x: x[:2])
+            unit = sorted({x[0]: x for x in unit}.values(), key=lambda x: x[:2])  # rows that repeat an id send their set again
             nodes, side = [x[0] for x in unit], np.array([x[1] for x in unit])
             sets = [np.frombuffer(x[2], np.uint64) for x in unit]
             i, j = _unit_links(sets, counts, sim, side if pair else None)
