@@ -165,7 +165,7 @@ def build_space(docs: DataFrame, items: Items, rank: int = 128, answer: int = 5)
     # Nystroem: M ~ Z (omega' Z)^-1 Z'
     core = omega.T @ z
     value, vector = np.linalg.eigh((core + core.T) / 2)
-    value = np.maximum(value, value.max() * 1e-9)
+    value = np.maximum(value, max(value.max() * 1e-9, 1e-12))
     left, _, _ = np.linalg.svd(z @ (vector / np.sqrt(value)), full_matrices=False)
     basis = idf[:, None] * left
     vectors = own @ basis
