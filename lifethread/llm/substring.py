@@ -4,7 +4,7 @@ Every window of ``size`` words is judged by a 96-bit rolling hash. Windows are f
 ``gram``-word slices inside. Equal windows have equal representatives and neighbours mostly share one, so a text has about 2 / (size - gram) of them
 per word. A window whose representative stands at one place only stands there only; the hashes of all other windows are counted themselves,
 once per document. A window goes if an equal one is in a document of smaller id or starts earlier in its own; windows that overlap or touch
-merge to maximal removal intervals.
+merge to maximal removal intervals. A document whose whole text a smaller id has goes as a whole, so its windows are not counted again.
 
 The text is shuffled once: the joins that need it have the same exchange. Frequent keys are combined before the shuffle when counted, and joined in
 a form that adaptive execution can split.
@@ -62,15 +62,15 @@ def representatives(words: Words, size: int, gram: int) -> tuple[np.ndarray, np.
     return slices[at], np.searchsorted(words.bounds, at, side="right") - 1, first, least[first]
 
 
-def _removed(words: Words, size: int, doomed: list[np.ndarray]) -> np.ndarray:
-    """True for every word inside a window that goes. ``doomed``: window hashes that smaller ids hold, by document."""
+def _removed(words: Words, size: int, doomed: list[np.ndarray], copy: np.ndarray) -> np.ndarray:
+    """True for every word inside a window that goes. ``doomed``: window hashes that smaller ids hold, by document; ``copy``: a smaller id has the text."""
     _, first, value, doc = _windows(words, size)
     marks = np.zeros(len(words.start) + 1, np.int64)
     if len(first):
         key = mix(value + mix(doc.astype(np.uint64)))
         order = np.argsort(key, kind="stable")
-        gone = np.zeros(len(first), bool)
-        gone[order[1:]] = key[order[1:]] == key[order[:-1]]
+        gone = copy[doc]
+        gone[order[1:]] |= key[order[1:]] == key[order[:-1]]
         edge = np.searchsorted(doc, np.arange(len(words.counts) + 1))
         for d, list_of in enumerate(doomed):
             if len(list_of):
@@ -80,12 +80,13 @@ def _removed(words: Words, size: int, doomed: list[np.ndarray]) -> np.ndarray:
     return np.cumsum(marks)[:-1] > 0
 
 
-def _doomed_lists(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.array(x, np.int64).view(np.uint64) if x else np.zeros(0, np.uint64) for x in batch.column("doomed").to_pylist()]
+def _doomed_lists(batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
+    copy = np.array([bool(x) for x in batch.column("copy").to_pylist()], bool)
+    return [np.array(x, np.int64).view(np.uint64) if x else np.zeros(0, np.uint64) for x in batch.column("doomed").to_pylist()], copy
 
 
 def mark_repeats(docs: DataFrame, size: int = 20, gram: int = 6) -> DataFrame:
-    """The rows of ``docs`` with ``place`` (their id in the order) and ``doomed``: the hashes of the windows that a smaller id holds."""
+    """The rows of ``docs`` with ``place`` (their id in the order), ``doomed`` (hashes of the windows that a smaller id holds) and ``copy``."""
     rows = docs.withColumn("place", F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)))
     texts = rows.select("place", F.col("text").cast("string").alias("text"))
 
@@ -99,7 +100,13 @@ def mark_repeats(docs: DataFrame, size: int = 20, gram: int = 6) -> DataFrame:
 
     shared = map_pieces(texts, counted, "slice long, n long").groupBy("slice").agg(F.sum("n").alias("n")).filter("n > 1").select("slice")
     shared = materialize(shared, "substring-slices")
+    # Later copies of whole texts, of ids that have one row.
+    named = materialize(texts.select("place", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("name")), "substring-names")
+    least = materialize(named.groupBy("name").agg(F.min("place").alias("least"), F.max("place").alias("most")).filter("least < most").select("name", "least"), "substring-texts")
+    single = named.groupBy("place").agg(F.count("*").alias("rows")).filter("rows = 1").select("place")
+    copies = materialize(named.join(least, "name").filter("place > least").select("place").join(single, "place"), "substring-copies")
     held = map_pieces(texts, stand_for, "slice long, place long").join(shared, "slice").groupBy("place").agg(F.collect_set("slice").alias("slices"))
+    held = held.join(copies, "place", "left_anti")
 
     def hashes(batch: pa.RecordBatch, words: Words) -> dict:
         _, _, first, least = representatives(words, size, gram)
@@ -119,11 +126,12 @@ def mark_repeats(docs: DataFrame, size: int = 20, gram: int = 6) -> DataFrame:
         return {"h": value[new].view(np.int64), "g": (second[new] >> np.uint64(32)).astype(np.uint32).view(np.int32), "place": batch.column("place").take(pa.array(doc[new]))}
 
     windows = map_pieces(texts.join(held, "place"), hashes, "h long, g int, place long")
-    first = windows.groupBy("h", "g").agg(F.min("place").alias("least"), F.max("place").alias("most")).filter("least < most")
+    first = windows.groupBy("h", "g").agg(F.min("place").alias("least"), F.count("*").alias("n")).filter("n > 1")
     # The key is written differently from the grouping, so that both sides get an exchange that Spark can split.
-    first = first.select(F.expr("h ^ 1").alias("k"), F.col("g").alias("k2"), "least")
-    later = windows.select(F.expr("h ^ 1").alias("k"), F.col("g").alias("k2"), F.col("h").alias("h"), "place").join(first, ["k", "k2"]).filter("place > least")
-    doomed = later.groupBy("place").agg(F.collect_list("h").alias("doomed"))
+    key = [F.expr("h ^ 1").alias("k"), F.col("g").alias("k2")]
+    later = windows.select(*key, "place").join(first.select(*key, "least"), ["k", "k2"]).filter("place > least").select("place", F.expr("k ^ 1").alias("h"), F.lit(False).alias("copy"))
+    marks = later.unionByName(copies.select("place", F.lit(None).cast("long").alias("h"), F.lit(True).alias("copy")))
+    doomed = marks.groupBy("place").agg(F.collect_list("h").alias("doomed"), F.max("copy").alias("copy"))
     return rows.join(doomed, "place", "left")
 
 
@@ -131,7 +139,7 @@ def substring_digest(docs: DataFrame, size: int = 20, gram: int = 6) -> DataFram
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space)."""
 
     def digest(batch: pa.RecordBatch, words: Words) -> dict:
-        kept = ~_removed(words, size, _doomed_lists(batch))
+        kept = ~_removed(words, size, *_doomed_lists(batch))
         data, offsets = _joined(words, kept)
         sums = np.concatenate(([0], np.cumsum(~kept)))
         return {
@@ -139,7 +147,7 @@ def substring_digest(docs: DataFrame, size: int = 20, gram: int = 6) -> DataFram
             "kept_sha256": [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())],
         }
 
-    rows = mark_repeats(docs.select("doc_id", "text"), size, gram).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "doomed")
+    rows = mark_repeats(docs.select("doc_id", "text"), size, gram).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "doomed", "copy")
     return map_pieces(rows, digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -162,7 +170,7 @@ def removal_spans(docs: DataFrame, size: int = 20, gram: int = 6) -> DataFrame:
     """(doc_id, first_word, last_word): the maximal removal intervals, words counted from 0."""
 
     def spans(batch: pa.RecordBatch, words: Words) -> dict:
-        gone = _removed(words, size, _doomed_lists(batch))
+        gone = _removed(words, size, *_doomed_lists(batch))
         state = gone * (words.doc + 1)
         edge = runs(state)
         lo, hi = edge[:-1], edge[1:]
@@ -170,5 +178,5 @@ def removal_spans(docs: DataFrame, size: int = 20, gram: int = 6) -> DataFrame:
         doc = words.doc[lo[take]] if len(state) else take
         return {"doc_id": batch.column("doc_id").take(pa.array(doc)), "first_word": lo[take] - words.bounds[doc], "last_word": hi[take] - 1 - words.bounds[doc]}
 
-    rows = mark_repeats(docs.select("doc_id", "text"), size, gram).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "doomed")
+    rows = mark_repeats(docs.select("doc_id", "text"), size, gram).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "doomed", "copy")
     return map_pieces(rows, spans, "doc_id long, first_word long, last_word long")
