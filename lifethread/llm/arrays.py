@@ -101,11 +101,18 @@ class Words:
 
     def cores(self) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the words without marks at both ends; a word of marks only stays as it is."""
-        solid = np.flatnonzero(~MARK[self.data])
-        a, b = np.searchsorted(solid, self.start), np.searchsorted(solid, self.end) - 1
-        full = a <= b
         start, end = self.start.copy(), self.end.copy()
-        start[full], end[full] = solid[a[full]], solid[b[full]] + 1
+        live = np.flatnonzero(MARK[self.data[end - 1]]) if len(end) else end
+        while len(live):
+            end[live] -= 1
+            live = live[end[live] > start[live]]
+            live = live[MARK[self.data[end[live] - 1]]]
+        none = end == start
+        end[none] = self.end[none]
+        live = np.flatnonzero(MARK[self.data[start]] & ~none) if len(start) else start
+        while len(live):  # ends at the latest at the solid byte that the word has
+            start[live] += 1
+            live = live[MARK[self.data[start[live]]]]
         return start, end
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:

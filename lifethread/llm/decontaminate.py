@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval, for passages that are copied or paraphrased.
 
 1. Passages are ``2 * STEP`` words, one every ``STEP`` words, over whole texts; terms are the words of the benchmark items (lower-cased, marks at the
-   ends cut).
+   ends cut), without those that many items have.
 2. One pass over all passages gives the document frequencies and W = T'T R, T the passage-by-term counts and R a random matrix: a distributed
    randomised SVD. With the inverse document frequencies as a diagonal D, D W is the sketch of (T D)'(T D) for the test matrix R / D, and
    its Nystroem form gives the leading right singular vectors. The items' own rows are added with the weight of the corpus, so that the
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lifethread.llm.arrays import LOWER, Rolling, Words, map_arrow, map_pieces, pieces, runs, split_words, text_buffers
 from lifethread.runtime import materialize
 
-STEP = 32
+STEP = 16
 _SLICE = 1 << 14
 
 
@@ -39,6 +39,7 @@ class Items:
     ids: list[int]
     terms: np.ndarray
     tokens: list[np.ndarray]
+    tells: np.ndarray  # terms that few items have; the others take no part in the search, only in the checks
 
 
 @dataclass
@@ -53,7 +54,8 @@ def core_hashes(words: Words) -> np.ndarray:
     return Rolling(LOWER[words.data])(*words.cores())
 
 
-def read_items(rows: list) -> Items:
+def read_items(rows: list, most_share: float = 0.04) -> Items:
+    """Terms in more than ``most_share`` of the items (and three of them) do not tell items apart."""
     rows = [r for r in rows if r.text]
     data, offsets = text_buffers(pa.array([r.text for r in rows], pa.string()))
     words = split_words(data, offsets)
@@ -61,7 +63,13 @@ def read_items(rows: list) -> Items:
     terms, at = np.unique(h, return_inverse=True)
     tokens = np.split(at, words.bounds[1:-1]) if rows else []
     keep = [k for k, t in enumerate(tokens) if len(t)]
-    return Items([rows[k].item_id for k in keep], terms, [tokens[k] for k in keep])
+    tokens = [tokens[k] for k in keep]
+    often = np.bincount(np.concatenate([np.unique(t) for t in tokens]), minlength=len(terms)) if tokens else np.zeros(0)
+    tells = often <= max(3, most_share * len(tokens))
+    for t in tokens:  # an item of common words only is searched by all of them
+        if not tells[t].any():
+            tells[t] = True
+    return Items([rows[k].item_id for k in keep], terms, tokens, tells)
 
 
 class Lookup:
@@ -117,7 +125,7 @@ def sketch(docs: DataFrame, items: Items, rank: int, stripe: int = 256) -> tuple
                 words = split_words(data, offsets)
                 term = lookup(words)
                 step, first = _steps(words)
-                has = np.flatnonzero(term >= 0)
+                has = np.flatnonzero((term >= 0) & items.tells[term])
                 term, row = term[has], step[has]
                 steps += int(first[-1])
                 if not len(term):
@@ -151,13 +159,13 @@ def sketch(docs: DataFrame, items: Items, rank: int, stripe: int = 256) -> tuple
     return total, often, steps
 
 
-def build_space(docs: DataFrame, items: Items, rank: int = 128, answer: int = 5) -> Space:
+def build_space(docs: DataFrame, items: Items, rank: int = 96, answer: int = 5) -> Space:
     rank = min(rank, len(items.terms))
     sums, often, steps = sketch(docs, items, rank)
     idf = np.log((steps + 1) / (often + 1)) + 0.05
     own = np.zeros((len(items.ids), len(items.terms)))
     for k, t in enumerate(items.tokens):
-        np.add.at(own[k], t, 1)
+        np.add.at(own[k], t[items.tells[t]], 1)
     test = _random(len(items.terms), rank).astype(np.float64)
     mine = own.T @ (own @ test)
     energy = float(np.abs(idf[:, None] * sums).sum()) / max(float(np.abs(idf[:, None] * mine).sum()), 1e-9)
@@ -192,11 +200,14 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
 def search(docs: DataFrame, space: Space, least_cosine: float, least_share: float, answer_share: float) -> DataFrame:
     """(doc_id, item_id, first_word, lcs, share, cosine): the best place of every item in every document that has it."""
     items, lookup = space.items, Lookup(space.items.terms)
+    has_term = np.zeros((len(items.ids), len(items.terms)), bool)
+    for k, t in enumerate(items.tokens):
+        has_term[k, t] = True
 
     def find(batch: pa.RecordBatch, words: Words) -> dict:
         term = lookup(words)
         step, first = _steps(words)
-        has = np.flatnonzero(term >= 0)
+        has = np.flatnonzero((term >= 0) & items.tells[term])
         single = _row_sums(space.basis, term[has], step[has], int(first[-1]))
         doc = np.repeat(np.arange(len(words.counts)), np.diff(first))
         double = single.copy()  # a passage is a step and the next one of its document
@@ -214,9 +225,11 @@ def search(docs: DataFrame, space: Space, least_cosine: float, least_share: floa
                 a, b = max(words.bounds[d], start - len(t)), min(words.bounds[d + 1], start + 2 * STEP + len(t))
                 near = term[a:b]
                 need = max(-(-least_share * len(t) // 1), min(len(t), 5))
-                if np.isin(t, near).sum() < need or np.isin(space.rare[k], near).sum() < answer_share * len(space.rare[k]):
+                near = near[near >= 0]
+                near = near[has_term[k, near]]  # a common subsequence has no other words
+                if len(near) < need or (near[:, None] == space.rare[k]).any(0).sum() < answer_share * len(space.rare[k]):
                     continue
-                common = lcs(t, near[near >= 0])
+                common = lcs(t, near)
                 if common >= need and common > best.get((d, k), (0,))[0]:
                     best[d, k] = (common, float(cos[p, k] / length[p]), int(start - words.bounds[d]))
         keys = list(best)
@@ -229,7 +242,7 @@ def search(docs: DataFrame, space: Space, least_cosine: float, least_share: floa
     return map_pieces(rows, find, "doc_id long, item_id long, first_word long, lcs long, share double, cosine double")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 128, least_cosine: float = 0.25, least_share: float = 0.6, answer_share: float = 0.6, block_items: int = 5_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 96, least_cosine: float = 0.4, least_share: float = 0.6, answer_share: float = 0.6, block_items: int = 5_000) -> DataFrame:
     """Hits of all items; ``block_items`` bounds what is sent to the tasks at a time."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text"))
