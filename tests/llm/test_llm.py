@@ -201,7 +201,7 @@ def test_pii(odd, plain, documents, rows):
 
 
 def test_pii_field_adds_joined_cards(spark):
-    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    docs = queries.table(spark, "/root/testdata/sf0.1", "documents")
     model = pii.train(pii.small_table(docs))
     asked = spark.createDataFrame([(1, "aa bb 7536784127813050 4845168114407329 cc dd"), (2, "nothing here, 2024 or 17"), (3, None)], "doc_id long, text string")
     out = {r.doc_id: r for r in pii.pii(asked, model).collect()}
