@@ -28,10 +28,12 @@ def fold_sorted(
             if batch.empty:
                 continue
             out: list[tuple] = []
-            change = (batch[key_list] != batch[key_list].shift()).any(axis=1).to_numpy()
+            here, before = batch[key_list], batch[key_list].shift()
+            change = ((here != before) & ~(here.isna() & before.isna())).any(axis=1).to_numpy(copy=True)
+            change[0] = True  # a null key equals the null key before it
             starts = [i for i, c in enumerate(change) if c] + [len(batch)]
             for lo, hi in zip(starts[:-1], starts[1:]):
-                key = tuple(batch[key_list].iloc[lo])
+                key = tuple(None if pd.isna(v) else v for v in batch[key_list].iloc[lo])
                 if key != current:
                     if current is not None and finish is not None:
                         out.extend(finish(state))

@@ -108,18 +108,20 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return whole
 
 
-def all_paths(nodes: DataFrame, edges: DataFrame, max_length: int = 10_000, event: str = "event_id") -> DataFrame:
+def all_paths(nodes: DataFrame, edges: DataFrame, event: str = "event_id") -> DataFrame:
     """G3 on branching input: every head-to-tail path as (path, pos, event).
 
-    The number of paths is a property of the input; ``max_length`` stops on cycles.
+    Paths of any length are followed, one job per hop; a path that comes back to one of its own events raises an error.
     """
     nxt = edges.where(F.col("type") == "NEXT_EVENT").select(F.col("src").alias("_at"), F.col("dst").alias("_to"))
     front = nodes.select(event).join(nxt.select(F.col("_to").alias(event)), event, "left_anti").select(
         F.array(event).alias("path"), F.col(event).alias("_at")
     )
     closed = []
-    for _ in range(max_length):
+    while True:
         front = materialize(front.join(nxt, "_at", "left"), "paths")
+        if not front.where(F.array_contains("path", F.col("_to"))).isEmpty():
+            raise ValueError("NEXT_EVENT edges form a cycle")
         closed.append(front.where("_to IS NULL").select("path"))
         front = front.where("_to IS NOT NULL").select(F.concat("path", F.array("_to")).alias("path"), F.col("_to").alias("_at"))
         if front.isEmpty():

@@ -155,11 +155,10 @@ def with_vectors(events: DataFrame, vecs: DataFrame, kinds: Sequence[str] = ("ca
     return events.join(wide, "event_id", "left")
 
 
-def merge_hits(core: DataFrame, expanded: DataFrame, key: str = "timestamp") -> DataFrame:
-    """Core hits and those expanded ones whose clip time is not in the core, newest first."""
-    extra = expanded.dropDuplicates(["qid", key]).join(core.select("qid", key).distinct(), ["qid", key], "left_anti")
-    both = core.withColumn("is_core", F.lit(True)).unionByName(extra.withColumn("is_core", F.lit(False)), allowMissingColumns=True)
-    return both
+def merge_hits(core: DataFrame, expanded: DataFrame, key: str = "timestamp", event: str = "event_id") -> DataFrame:
+    """Core hits and those expanded ones whose clip time is not in the core; an expanded event comes once, events of equal clip time all stay."""
+    extra = expanded.dropDuplicates(["qid", event]).join(core.select("qid", key).distinct(), ["qid", key], "left_anti")
+    return core.withColumn("is_core", F.lit(True)).unionByName(extra.withColumn("is_core", F.lit(False)), allowMissingColumns=True)
 
 
 def entity_rollup(mentions: DataFrame, t: str = "t_sec") -> DataFrame:

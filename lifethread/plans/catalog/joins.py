@@ -235,13 +235,14 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("U1_merge_hits", """
-    WITH core AS (SELECT participant AS qid, clip_ts AS timestamp FROM m_event WHERE event_type IN ('click', 'view')),
-    more AS (SELECT DISTINCT participant AS qid, clip_ts AS timestamp FROM m_event WHERE event_type <> 'click')
-    SELECT qid, timestamp, true AS is_core FROM core UNION ALL SELECT qid, timestamp, false FROM more WHERE (qid, timestamp) NOT IN (SELECT (qid, timestamp) FROM core)""")
+    WITH core AS (SELECT participant AS qid, event_id, clip_ts AS timestamp FROM m_event WHERE event_type IN ('click', 'view')),
+    more AS (SELECT participant AS qid, event_id, clip_ts AS timestamp FROM m_event WHERE event_type <> 'click')
+    SELECT qid, event_id, timestamp, true AS is_core FROM core UNION ALL
+    SELECT qid, event_id, timestamp, false FROM more WHERE (qid, timestamp) NOT IN (SELECT (qid, timestamp) FROM core)""")
 def _(t: Tables) -> DataFrame:
-    rows = t.event.select(F.col("participant").alias("qid"), F.col("clip_ts").alias("timestamp"), "event_type")
+    rows = t.event.select(F.col("participant").alias("qid"), "event_id", F.col("clip_ts").alias("timestamp"), "event_type")
     core, more = rows.where("event_type IN ('click', 'view')").drop("event_type"), rows.where("event_type <> 'click'").drop("event_type")
-    return links.merge_hits(core, more)
+    return links.merge_hits(core, more.unionByName(more))
 
 
 @query("U2_common_events", f"""

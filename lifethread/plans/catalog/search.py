@@ -181,10 +181,10 @@ def _(t: Tables) -> DataFrame:
     return got.select("qid", "event_id", F.round("t_sec", 2).alias("t_sec"), r6("similarity").alias("similarity"))
 
 
-@query("R2_retrieve", "SELECT qid, timestamp, is_core, round(similarity, 6) AS similarity FROM m_hits")
+@query("R2_retrieve", "SELECT qid, event_id, timestamp, is_core, round(similarity, 6) AS similarity FROM m_hits")
 def _(t: Tables) -> DataFrame:
     got = retrieval.retrieve(t.question, t.graph, CFG)
-    return got.select("qid", "timestamp", "is_core", r6("similarity").alias("similarity"))
+    return got.select("qid", "event_id", "timestamp", "is_core", r6("similarity").alias("similarity"))
 
 
 @query("R3_snippets", """

@@ -56,7 +56,7 @@ def reset_graph(spark: SparkSession, path: str, scope: str = "all") -> None:
     edges = read_edges(spark, path)
     label = "Event" if scope == "events" else "Cluster"
     keep_types = F.col("type").isin(*_CLUSTER_EDGES) if scope == "clusters" else F.lit(True)
-    types = [r["type"] for r in edges.where(keep_types).select("type").distinct().limit(1000).collect()]
+    types = [r["type"] for r in edges.where(keep_types).select("type").distinct().toLocalIterator()]  # one per folder
     _empty_partitions(spark, f"{path}/nodes", "label", [label])
     _empty_partitions(spark, f"{path}/edges", "type", types)
 
