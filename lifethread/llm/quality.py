@@ -77,7 +77,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, bits: int =
                 share.append((c / max(c.sum(), 1)).astype(np.float32))
             yield {"doc_id": [ids[d]], "y": [ys[d]], "at": [np.concatenate(at).tobytes()], "share": [np.concatenate(share).tobytes()]}
 
-    rows = map_pieces(sample, vectors, "doc_id long, y int, at binary, share binary").toPandas().sort_values(["doc_id", "at"], kind="stable")
+    rows = map_pieces(sample, vectors, "doc_id long, y int, at binary, share binary").toPandas().sort_values(["doc_id", "at"], kind="stable", ignore_index=True)
     y = (rows["y"].to_numpy() > 0).astype(np.float32)
     model = QualityModel(bits)
     if len(np.unique(y)) < 2:
@@ -96,21 +96,28 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, bits: int =
 
 def _fit(at: list[np.ndarray], share: list[np.ndarray], y: np.ndarray, width: int, rounds: int) -> tuple[np.ndarray, float]:
     """Logistic regression by Adagrad over all rows at once, classes weighed alike."""
-    size = np.array([len(a) for a in at])
-    col, val, row = np.concatenate(at), np.concatenate(share).astype(np.float64), np.repeat(np.arange(len(y)), size)
-    cut = np.concatenate(([0], np.cumsum(size)[:-1]))
     weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    scale = 1 / np.sqrt(np.bincount(col, val * val, width) / len(y) + 1e-9)  # places of like spread
-    val = val * scale[col]
+    square = np.zeros(width)
+    for a, v in zip(at, share):
+        square[a] += v * v
+    scale = 1 / np.sqrt(square / len(y) + 1e-9)  # places of like spread
+    chunks = []  # of 500 rows, which bounds what a round holds beside the rows
+    for lo in range(0, len(y), 500):
+        size = np.array([len(a) for a in at[lo: lo + 500]])
+        col = np.concatenate(at[lo: lo + 500])
+        chunks.append((lo, col, (np.concatenate(share[lo: lo + 500]) * scale[col]).astype(np.float32), np.concatenate(([0], np.cumsum(size)[:-1])), size))
     w, b, seen, seen_b = np.zeros(width), 0.0, np.full(width, 1e-8), 1e-8
     for _ in range(rounds):
-        p = sigmoid(np.add.reduceat(val * w[col], cut) + b)
-        err = (p - y) * weight
-        g = np.bincount(col, val * err[row], width) + 1e-4 * w
+        g, gb = 1e-4 * w, 0.0
+        for lo, col, val, cut, size in chunks:
+            p = sigmoid(np.add.reduceat(val * w[col], cut) + b)
+            err = (p - y[lo: lo + 500]) * weight[lo: lo + 500]
+            g += np.bincount(col, val * np.repeat(err, size), width)
+            gb += err.sum()
         seen += g * g
-        seen_b += err.sum() ** 2
+        seen_b += gb**2
         w -= 0.1 * g / np.sqrt(seen)
-        b -= 0.1 * err.sum() / np.sqrt(seen_b)
+        b -= 0.1 * gb / np.sqrt(seen_b)
     return w * scale, float(b)
 
 
