@@ -6,7 +6,8 @@ per word. A window whose representative stands at one place only stands there on
 once per document. A window goes if an equal one is in a document of smaller id or starts earlier in its own; windows that overlap or touch
 merge to maximal removal intervals. A document whose whole text a smaller id has goes as a whole, so its windows are not counted again.
 
-The text is shuffled once: the joins that need it have the same exchange. Frequent keys are combined before the shuffle when counted, and joined in
+The text is shuffled once: the joins that need it have the same exchange. So are the windows, whose groups are bounded: those of representatives with
+about ``1 / FREQUENT`` of all places or more (at most ``FREQUENT`` of them) are combined before a shuffle of their own instead, and joined in
 a form that adaptive execution can split.
 
 Defined results: null and empty texts have no words; ids that are null come before all others and count as one document; rows that repeat an id have
@@ -19,12 +20,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lifethread.llm.arrays import Rolling, Words, map_pieces, mix, runs
 from lifethread.runtime import materialize
 
+FREQUENT = 4096
 #: Stands for a null id in the order.
 _FIRST = -(1 << 63)
 
@@ -85,6 +87,15 @@ def _doomed_lists(batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
     return [np.array(x, np.int64).view(np.uint64) if x else np.zeros(0, np.uint64) for x in batch.column("doomed").to_pylist()], copy
 
 
+def _later_by_join(windows: DataFrame) -> DataFrame:
+    """(place, h, copy) of the windows that a smaller place has, for windows that very many places may have."""
+    first = windows.groupBy("h", "g").agg(F.min("place").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    # The key is written differently from the grouping, so that both sides get an exchange that Spark can split.
+    key = [F.expr("h ^ 1").alias("k"), F.col("g").alias("k2")]
+    later = windows.select(*key, "place").join(first.select(*key, "least"), ["k", "k2"]).filter("place > least")
+    return later.select("place", F.expr("k ^ 1").alias("h"), F.lit(False).alias("copy"))
+
+
 def mark_repeats(docs: DataFrame, size: int = 20, gram: int = 6) -> DataFrame:
     """The rows of ``docs`` with ``place`` (their id in the order), ``doomed`` (hashes of the windows that a smaller id holds) and ``copy``."""
     rows = docs.withColumn("place", F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)))
@@ -98,8 +109,11 @@ def mark_repeats(docs: DataFrame, size: int = 20, gram: int = 6) -> DataFrame:
         value, n = np.unique(representatives(words, size, gram)[0], return_counts=True)
         return {"slice": value.view(np.int64), "n": n}
 
-    shared = map_pieces(texts, counted, "slice long, n long").groupBy("slice").agg(F.sum("n").alias("n")).filter("n > 1").select("slice")
+    shared = map_pieces(texts, counted, "slice long, n long").groupBy("slice").agg(F.sum("n").alias("n")).filter("n > 1")
     shared = materialize(shared, "substring-slices")
+    places = shared.agg(F.sum("n")).first()[0] or 0
+    frequent = np.sort(shared.filter(F.col("n") * FREQUENT >= places).select("slice").toPandas()["slice"].to_numpy(np.int64).view(np.uint64))  # at most FREQUENT
+    shared = shared.select("slice")
     # Later copies of whole texts, of ids that have one row.
     named = materialize(texts.select("place", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("name")), "substring-names")
     least = materialize(named.groupBy("name").agg(F.min("place").alias("least"), F.max("place").alias("most")).filter("least < most").select("name", "least"), "substring-texts")
@@ -116,20 +130,22 @@ def mark_repeats(docs: DataFrame, size: int = 20, gram: int = 6) -> DataFrame:
         keep = np.zeros(len(first), bool)
         for d, slices in enumerate(batch.column("slices")):
             keep[edge[d]: edge[d + 1]] = np.isin(least[edge[d]: edge[d + 1]], slices.values.to_numpy().view(np.uint64))
+        often = np.isin(least[keep], frequent)
         first, doc = first[keep], doc[keep]
         value = Rolling(h)(first, first + size)
         second = Rolling(mix(h))(first, first + size)
         order = np.lexsort((value, doc))
-        value, second, doc = value[order], second[order], doc[order]
+        value, second, doc, often = value[order], second[order], doc[order], often[order]
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
-        return {"h": value[new].view(np.int64), "g": (second[new] >> np.uint64(32)).astype(np.uint32).view(np.int32), "place": batch.column("place").take(pa.array(doc[new]))}
-
-    windows = map_pieces(texts.join(held, "place"), hashes, "h long, g int, place long")
-    first = windows.groupBy("h", "g").agg(F.min("place").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    # The key is written differently from the grouping, so that both sides get an exchange that Spark can split.
-    key = [F.expr("h ^ 1").alias("k"), F.col("g").alias("k2")]
-    later = windows.select(*key, "place").join(first.select(*key, "least"), ["k", "k2"]).filter("place > least").select("place", F.expr("k ^ 1").alias("h"), F.lit(False).alias("copy"))
+        return {"h": value[new].view(np.int64), "g": (second[new] >> np.uint64(32)).astype(np.uint32).view(np.int32),
+                "place": batch.column("place").take(pa.array(doc[new])), "often": often[new]}
+
+    windows = map_pieces(texts.join(held, "place"), hashes, "h long, g int, place long, often boolean")
+    least_place = F.min("place").over(Window.partitionBy("h", "g"))
+    later = windows.filter("NOT often").select("h", "g", "place").withColumn("least", least_place).filter("place > least").select("place", "h", F.lit(False).alias("copy"))
+    if len(frequent):
+        later = later.unionByName(_later_by_join(windows.filter("often").drop("often")))
     marks = later.unionByName(copies.select("place", F.lit(None).cast("long").alias("h"), F.lit(True).alias("copy")))
     doomed = marks.groupBy("place").agg(F.collect_list("h").alias("doomed"), F.max("copy").alias("copy"))
     return rows.join(doomed, "place", "left")
