@@ -29,7 +29,7 @@ from lifethread.llm.arrays import LOWER, Rolling, Words, map_arrow, map_pieces,
 from lifethread.runtime import materialize
 
 STEP = 16
-_SLICE = 1 << 14
+_SLICE = 1 << 11
 
 
 @dataclass
