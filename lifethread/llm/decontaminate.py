@@ -7,7 +7,8 @@
    its Nystroem form gives the leading right singular vectors. The items' own rows are added with the weight of the corpus, so that the
    space keeps what tells items apart.
 3. A second pass projects every passage and takes items of a cosine of at least ``least_cosine``. A candidate's neighbourhood must then hold a longest
-   common subsequence of at least ``least_share`` of the item's words, and of its answer (the rarest words of the item) at least ``answer_share``.
+   common subsequence of at least ``least_share`` of the item's words, and of its answer (the words of the item that are rarest in the corpus,
+   of equally rare ones those that the fewest items have) at least ``answer_share``.
 
 Only the benchmark goes to all tasks, in blocks of ``block_items`` items, each with passes of its own; a task returns sums of fixed size, or hits.
 
@@ -29,6 +30,8 @@ from lifethread.llm.arrays import LOWER, Rolling, Words, map_arrow, map_pieces,
 from lifethread.runtime import materialize
 
 STEP = 16
+#: Terms in up to so many steps, or in this share of them, are equally rare: below, copies of the item itself decide the count.
+RARE_STEPS, RARE_SHARE = 8, 1e-4
 _SLICE = 1 << 11
 
 
@@ -40,6 +43,7 @@ class Items:
     terms: np.ndarray
     tokens: list[np.ndarray]
     tells: np.ndarray  # terms that few items have; the others take no part in the search, only in the checks
+    shared: np.ndarray  # number of items that have the term
 
 
 @dataclass
@@ -47,7 +51,7 @@ class Space:
     items: Items
     basis: np.ndarray  # terms x rank, with the inverse document frequencies
     vectors: np.ndarray  # items x rank, of length 1
-    rare: list[np.ndarray]  # the answer: term numbers
+    rare: list[np.ndarray]  # the answer: numbers of the terms that are rarest in the corpus, of equally rare ones those of the fewest items
 
 
 def core_hashes(words: Words) -> np.ndarray:
@@ -69,7 +73,7 @@ def read_items(rows: list, most_share: float = 0.04) -> Items:
     for t in tokens:  # an item of common words only is searched by all of them
         if not tells[t].any():
             tells[t] = True
-    return Items([rows[k].item_id for k in keep], terms, tokens, tells)
+    return Items([rows[k].item_id for k in keep], terms, tokens, tells, often)
 
 
 class Lookup:
@@ -114,7 +118,7 @@ def _random(terms: int, rank: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, items: Items, rank: int, stripe: int = 256) -> tuple[np.ndarray, np.ndarray, int]:
-    """T'T R, the document frequencies and the number of steps, over all texts. A row that is moved holds ``stripe`` terms' sums of a task."""
+    """T'T R of the telling terms, the document frequencies of all terms and the number of steps, over all texts. A row that is moved holds ``stripe`` terms' sums of a task."""
     lookup, width = Lookup(items.terms), len(items.terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -125,18 +129,20 @@ def sketch(docs: DataFrame, items: Items, rank: int, stripe: int = 256) -> tuple
                 words = split_words(data, offsets)
                 term = lookup(words)
                 step, first = _steps(words)
-                has = np.flatnonzero((term >= 0) & items.tells[term])
+                has = np.flatnonzero(term >= 0)
                 term, row = term[has], step[has]
                 steps += int(first[-1])
                 if not len(term):
                     continue
-                sums = _row_sums(table, term, row, int(first[-1]))
+                tells = items.tells[term]
+                sums = _row_sums(table, term[tells], row[tells], int(first[-1]))
                 order = np.argsort(term.astype(np.uint16) if width < 1 << 16 else term, kind="stable")
                 term, row = term[order], row[order]
-                total += _row_sums(sums, row, term, width)
                 new = np.ones(len(term), bool)
                 new[1:] = (term[1:] != term[:-1]) | (row[1:] != row[:-1])
                 often += np.bincount(term[new], minlength=width)
+                tells = items.tells[term]
+                total += _row_sums(sums, row[tells], term[tells], width)
         if steps:
             for lo in range(0, width, stripe):
                 yield {"stripe": [lo], "sums": [total[lo: lo + stripe].tobytes()], "often": [often[lo: lo + stripe].tobytes()], "steps": [steps]}
@@ -178,7 +184,8 @@ def build_space(docs: DataFrame, items: Items, rank: int = 96, answer: int = 5)
     basis = idf[:, None] * left
     vectors = own @ basis
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    rare = [(u := np.unique(t))[np.argsort(-idf[u], kind="stable")][:answer] for t in items.tokens]
+    level = np.maximum(often, max(RARE_STEPS, RARE_SHARE * steps))
+    rare = [(u := np.unique(t))[np.lexsort((items.shared[u], level[u]))][:answer] for t in items.tokens]
     return Space(items, basis.astype(np.float32), vectors.astype(np.float32), rare)
 
 

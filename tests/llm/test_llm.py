@@ -312,6 +312,22 @@ def test_decontaminate(spark, odd):
     assert {(1000 + k, k) for k in long} | {(2000 + k, k) for k in long} <= few
 
 
+def test_answer_is_of_rare_words(spark):
+    """Function words may change, the rare words may not."""
+    r = random.Random(6)
+    common, fill = [f"common{k}" for k in range(7)], lambda n: [f"filler{r.randrange(10_000)}" for _ in range(n)]
+    own = {i: [f"own{i}x{j}" for j in range(9)] for i in range(8)}
+    item = lambda i, c, o: " ".join(w for k in range(9) for w in ([c[k], o[k]] if k < 7 else [o[k]]))
+    bench = spark.createDataFrame([(i, item(i, common, own[i])) for i in own], "item_id long, text string")
+    often = [(900 + k, " ".join(w for _ in range(20) for w in [*r.sample(common, 4), *own[0][4:], *fill(5)])) for k in range(30)]
+    changed = ["changed", "words", *common[2:4], "of", "another", "kind"]
+    other = ["not", "that", "answer", "here", *own[0][4:]]
+    planted = [(1, item(1, changed, own[1])), (2, item(0, common, other)), (3, item(0, common, own[0]))]
+    docs = spark.createDataFrame(often + [(d, " ".join([*fill(60), t, *fill(60)])) for d, t in planted], "doc_id long, text string")
+    hits = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs, bench, answer_share=0.8).collect() if x.doc_id < 900}
+    assert hits == {(1, 1), (3, 0)}
+
+
 def test_lcs():
     r = random.Random(3)
     for _ in range(100):
