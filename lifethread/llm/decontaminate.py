@@ -6,11 +6,14 @@
    randomised SVD. With the inverse document frequencies as a diagonal D, D W is the sketch of (T D)'(T D) for the test matrix R / D, and
    its Nystroem form gives the leading right singular vectors. The items' own rows are added with the weight of the corpus, so that the
    space keeps what tells items apart.
-3. A second pass projects every passage and takes items of a cosine of at least ``least_cosine``. A candidate's neighbourhood must then hold a longest
+3. A second pass projects every passage and takes items of a cosine of at least ``least_cosine``, and besides, whatever the cosine, every item enough of
+   whose answer stands near the passage, found by the places of its rarest words. A candidate's neighbourhood must then hold a longest
    common subsequence of at least ``least_share`` of the item's words, and of its answer (the words of the item that are rarest in the corpus,
    of equally rare ones those that the fewest items have) at least ``answer_share``.
 
-Only the benchmark goes to all tasks, in blocks of ``block_items`` items, each with passes of its own; a task returns sums of fixed size, or hits.
+Only the benchmark goes to all tasks, in blocks of ``block_items`` items, each with passes of its own; a task returns sums of fixed size, or hits. Which
+terms tell, how many items share a term, its frequency in the corpus and so the answers come from the whole benchmark and corpus, and the cosine
+alone loses nothing, so the hits are the same in any number of blocks (only the reported cosine is of the block's own space).
 
 Defined results: null and empty texts and items have no passage and no hit; items of equal text are reported each; rows that repeat an id are scanned
 by themselves and reported once per (id, item); null ids are reported as null; an empty table gives an empty result; extra columns are not read.
@@ -18,6 +21,7 @@ by themselves and reported once per (id, item); null ids are reported as null; a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +37,7 @@ STEP = 16
 #: Terms in up to so many steps, or in this share of them, are equally rare: below, copies of the item itself decide the count.
 RARE_STEPS, RARE_SHARE = 8, 1e-4
 _SLICE = 1 << 11
+_PAIRS = 1 << 18
 
 
 @dataclass
@@ -43,7 +48,7 @@ class Items:
     terms: np.ndarray
     tokens: list[np.ndarray]
     tells: np.ndarray  # terms that few items have; the others take no part in the search, only in the checks
-    shared: np.ndarray  # number of items that have the term
+    shared: np.ndarray  # number of items of the whole benchmark that have the term
 
 
 @dataclass
@@ -58,8 +63,45 @@ def core_hashes(words: Words) -> np.ndarray:
     return Rolling(LOWER[words.data])(*words.cores())
 
 
-def read_items(rows: list, most_share: float = 0.04) -> Items:
-    """Terms in more than ``most_share`` of the items (and three of them) do not tell items apart."""
+@dataclass
+class Shares:
+    """What the whole benchmark says of terms. ``shared``: (hash, number of items) of terms that several items have, sorted; ``common``: sorted hashes
+    of those that do not tell items apart."""
+
+    terms: np.ndarray
+    shared: np.ndarray
+    common: np.ndarray
+
+
+def read_shares(shared: list, common: np.ndarray) -> Shares:
+    h = np.array([r.h for r in shared], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return Shares(h[order], np.array([r.n for r in shared], np.int64)[order], common)
+
+
+def benchmark_terms(items: DataFrame, most_share: float = 0.04) -> tuple[DataFrame, np.ndarray]:
+    """(block, h, n) of terms that n > 1 items of the whole benchmark have, for every block with one, and the hashes of common terms: in more than ``most_share``
+    of all items and in more than three; but those of an item of common words only tell, else nothing would search it."""
+
+    def each(rows: pa.RecordBatch, words: Words) -> dict:
+        key = np.unique(np.stack([words.doc.astype(np.uint64), core_hashes(words)], 1), axis=0)
+        return {"block": rows.column("block").take(pa.array(key[:, 0].astype(np.int64))), "h": key[:, 1].view(np.int64), "lead": np.diff(key[:, 0], prepend=np.uint64(1 << 63)) != 0}
+
+    of = materialize(map_pieces(items.select("block", "text"), each, "block int, h long, lead boolean"), "benchmark-terms")
+    many = of.filter("lead").count()
+    counts = materialize(of.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "benchmark-counts")
+    common = np.sort(np.array([r.h for r in counts.filter(F.col("n") > max(3, most_share * many)).collect()], np.int64).view(np.uint64))
+
+    def lone(rows: pa.RecordBatch, words: Words) -> dict:
+        h = core_hashes(words)
+        other = np.bincount(words.doc[~np.isin(h, common)], minlength=len(words.counts))
+        return {"h": np.unique(h[other[words.doc] == 0]).view(np.int64)}
+
+    alone = [r.h for r in map_pieces(items.select("text"), lone, "h long").distinct().collect()] if len(common) else []
+    return of.select("block", "h").distinct().join(counts, "h"), np.setdiff1d(common, np.array(alone, np.int64).view(np.uint64))
+
+
+def read_items(rows: list, shares: Shares) -> Items:
     rows = [r for r in rows if r.text]
     data, offsets = text_buffers(pa.array([r.text for r in rows], pa.string()))
     words = split_words(data, offsets)
@@ -67,13 +109,10 @@ def read_items(rows: list, most_share: float = 0.04) -> Items:
     terms, at = np.unique(h, return_inverse=True)
     tokens = np.split(at, words.bounds[1:-1]) if rows else []
     keep = [k for k, t in enumerate(tokens) if len(t)]
-    tokens = [tokens[k] for k in keep]
-    often = np.bincount(np.concatenate([np.unique(t) for t in tokens]), minlength=len(terms)) if tokens else np.zeros(0)
-    tells = often <= max(3, most_share * len(tokens))
-    for t in tokens:  # an item of common words only is searched by all of them
-        if not tells[t].any():
-            tells[t] = True
-    return Items([rows[k].item_id for k in keep], terms, tokens, tells, often)
+    often = np.ones(len(terms), np.int64)
+    _, mine, its = np.intersect1d(terms, shares.terms, assume_unique=True, return_indices=True)
+    often[mine] = shares.shared[its]
+    return Items([rows[k].item_id for k in keep], terms, [tokens[k] for k in keep], ~np.isin(terms, shares.common), often)
 
 
 class Lookup:
@@ -204,6 +243,51 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
+def answer_places(term: np.ndarray, words: Words, first: np.ndarray, space: Space, answer_share: float) -> np.ndarray:
+    """(passage, item) as passage * items + item: every passage whose neighbourhood can hold ``answer_share`` of the item's answer, whatever its cosine."""
+    items, tokens = space.items, space.items.tokens
+    need = [max(1, math.ceil(answer_share * len(r) - 1e-9)) for r in space.rare]
+    # So many of the answer's terms stand there only if one of the first len - need + 1 does.
+    heads = [r[: max(1, len(r) - n + 1)] for r, n in zip(space.rare, need)]
+    head, owner = np.concatenate(heads), np.repeat(np.arange(len(heads)), [len(x) for x in heads])
+    order = np.argsort(head, kind="stable")
+    head, owner = head[order], owner[order]
+    fan = np.bincount(head, minlength=len(items.terms))
+    begin = np.cumsum(fan) - fan
+    lead = np.flatnonzero((term >= 0) & (fan[term] > 0))
+    if not len(lead):
+        return np.zeros(0, np.int64)
+    has = np.flatnonzero(term >= 0)
+    size = len(term) + 1
+    key = np.sort(term[has] * size + has)  # places of every term, in order
+    most = max(len(r) for r in space.rare)
+    table = np.full((len(tokens), most), -1, np.int64)
+    for k, r in enumerate(space.rare):
+        table[k, : len(r)] = r
+    needs, length = np.array(need), np.array([len(t) for t in tokens])
+    doc = words.doc
+    out = []
+    for part in np.split(lead, np.flatnonzero(np.diff(np.cumsum(fan[term[lead]]) // _PAIRS)) + 1):
+        f = fan[term[part]]
+        at = np.repeat(part, f)
+        item = owner[np.repeat(begin[term[part]] - np.cumsum(f) + f, f) + np.arange(len(at))]
+        d, reach = doc[at], length[item]
+        lo, hi = np.maximum(words.bounds[d], at - 2 * (STEP + reach)), np.minimum(words.bounds[d + 1], at + 2 * (STEP + reach) + 1)
+        there = np.zeros(len(at), np.int64)
+        for c in range(most):
+            t = table[item, c]
+            there += (t >= 0) & (np.searchsorted(key, t * size + lo) < np.searchsorted(key, t * size + hi))
+        ok = there >= needs[item]
+        at, item, d, reach = at[ok], item[ok], d[ok], reach[ok]
+        inside = at - words.bounds[d]
+        low = np.maximum((inside - 2 * STEP - reach) // STEP + 1, 0)  # passages with start - reach <= place < start + 2 * STEP + reach
+        high = np.minimum((inside + reach) // STEP, np.diff(first)[d] - 1)
+        n = np.maximum(high - low + 1, 0)
+        p = np.repeat(first[d] + low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out.append(np.unique(p * len(tokens) + np.repeat(item, n)))
+    return np.unique(np.concatenate(out))
+
+
 def search(docs: DataFrame, space: Space, least_cosine: float, least_share: float, answer_share: float) -> DataFrame:
     """(doc_id, item_id, first_word, lcs, share, cosine): the best place of every item in every document that has it."""
     items, lookup = space.items, Lookup(space.items.terms)
@@ -221,24 +305,24 @@ def search(docs: DataFrame, space: Space, least_cosine: float, least_share: floa
         more = np.flatnonzero(doc[1:] == doc[:-1])
         double[more] += single[more + 1]
         best: dict[tuple[int, int], tuple[int, float, int]] = {}
+        length = np.maximum(np.linalg.norm(double, axis=1), 1e-9)
+        found = [answer_places(term, words, first, space, answer_share)]
         for lo in range(0, len(double), 4096):
-            part = double[lo: lo + 4096]
-            cos = part @ space.vectors.T
-            length = np.linalg.norm(part, axis=1)
-            at, item = np.nonzero(cos >= least_cosine * np.maximum(length, 1e-9)[:, None])
-            for p, k in zip(at.tolist(), item.tolist()):
-                d, t = int(doc[lo + p]), items.tokens[k]
-                start = words.bounds[d] + (lo + p - first[d]) * STEP
-                a, b = max(words.bounds[d], start - len(t)), min(words.bounds[d + 1], start + 2 * STEP + len(t))
-                near = term[a:b]
-                need = max(-(-least_share * len(t) // 1), min(len(t), 5))
-                near = near[near >= 0]
-                near = near[has_term[k, near]]  # a common subsequence has no other words
-                if len(near) < need or (near[:, None] == space.rare[k]).any(0).sum() < answer_share * len(space.rare[k]):
-                    continue
-                common = lcs(t, near)
-                if common >= need and common > best.get((d, k), (0,))[0]:
-                    best[d, k] = (common, float(cos[p, k] / length[p]), int(start - words.bounds[d]))
+            at, item = np.nonzero(double[lo: lo + 4096] @ space.vectors.T >= least_cosine * length[lo: lo + 4096, None])
+            found.append((lo + at) * len(items.ids) + item)
+        for p, k in zip(*(x.tolist() for x in np.divmod(np.unique(np.concatenate(found)), len(items.ids)))):
+            d, t = int(doc[p]), items.tokens[k]
+            start = words.bounds[d] + (p - first[d]) * STEP
+            a, b = max(words.bounds[d], start - len(t)), min(words.bounds[d + 1], start + 2 * STEP + len(t))
+            near = term[a:b]
+            need = max(-(-least_share * len(t) // 1), min(len(t), 5))
+            near = near[near >= 0]
+            near = near[has_term[k, near]]  # a common subsequence has no other words
+            if len(near) < need or (near[:, None] == space.rare[k]).any(0).sum() < answer_share * len(space.rare[k]):
+                continue
+            common = lcs(t, near)
+            if common >= need and common > best.get((d, k), (0,))[0]:
+                best[d, k] = (common, float(double[p] @ space.vectors[k] / length[p]), int(start - words.bounds[d]))
         keys = list(best)
         return {
             "doc_id": batch.column("doc_id").take(pa.array([d for d, _ in keys], pa.int64())), "item_id": [items.ids[k] for _, k in keys], "first_word": [best[x][2] for x in keys],
@@ -254,11 +338,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 96, least_co
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text"))
     blocks = -(-items.count() // block_items)
-    if blocks > 1:
-        items = materialize(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * blocks))), "benchmark")
+    parts = 2 * blocks if blocks > 1 else blocks
+    items = materialize(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(parts, 1))).cast("int")), "benchmark")
+    shared, common = benchmark_terms(items)
+    shared = materialize(shared, "benchmark-shared") if parts > 1 else shared
     found = []
-    for b in range(2 * blocks if blocks > 1 else blocks):
-        block = read_items((items.filter(F.col("block") == b) if blocks > 1 else items).collect())
+    for b in range(parts):
+        block = read_items(items.filter(F.col("block") == b).collect(), read_shares(shared.filter(F.col("block") == b).collect(), common))
         if block.ids:
             found.append(search(docs, build_space(docs, block, rank), least_cosine, least_share, answer_share))
     if not found:

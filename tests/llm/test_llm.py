@@ -328,6 +328,14 @@ def test_answer_is_of_rare_words(spark):
     assert hits == {(1, 1), (3, 0)}
 
 
+def test_blocks_of_items_give_the_same_hits(spark):
+    docs, bench = (queries.table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "benchmark"))
+    texts = [r.text for r in bench.orderBy("item_id").collect()]
+    docs = docs.select("doc_id", "text").filter("doc_id < 300").union(spark.createDataFrame([(5000 + k, f"{t} " * 2) for k, t in enumerate(texts)], "doc_id long, text string"))
+    one, many, far = (got(decontaminate.contaminated(docs, bench, **o), "doc_id", "item_id", "first_word", "lcs") for o in ({}, {"block_items": 7}, {"least_cosine": 1.1}))
+    assert one == many == far and {(5000 + k, k) for k in range(len(texts))} <= {x[:2] for x in one}
+
+
 def test_lcs():
     r = random.Random(3)
     for _ in range(100):
