@@ -38,6 +38,8 @@ STEP = 16
 RARE_STEPS, RARE_SHARE = 8, 1e-4
 _SLICE = 1 << 11
 _PAIRS = 1 << 18
+_TEXT_HASH = "xxhash64(CAST(text AS STRING))"
+_HIT = "doc_id long, item_id long, first_word long, lcs long, share double, cosine double, text_hash long"
 
 
 @dataclass
@@ -289,7 +291,7 @@ def answer_places(term: np.ndarray, words: Words, first: np.ndarray, space: Spac
 
 
 def search(docs: DataFrame, space: Space, least_cosine: float, least_share: float, answer_share: float) -> DataFrame:
-    """(doc_id, item_id, first_word, lcs, share, cosine): the best place of every item in every document that has it."""
+    """(doc_id, item_id, first_word, lcs, share, cosine, text_hash): the best place of every item in every row that has it."""
     items, lookup = space.items, Lookup(space.items.terms)
     has_term = np.zeros((len(items.ids), len(items.terms)), bool)
     for k, t in enumerate(items.tokens):
@@ -327,14 +329,15 @@ def search(docs: DataFrame, space: Space, least_cosine: float, least_share: floa
         return {
             "doc_id": batch.column("doc_id").take(pa.array([d for d, _ in keys], pa.int64())), "item_id": [items.ids[k] for _, k in keys], "first_word": [best[x][2] for x in keys],
             "lcs": [best[x][0] for x in keys], "share": [best[x][0] / len(items.tokens[x[1]]) for x in keys], "cosine": [best[x][1] for x in keys],
+            "text_hash": batch.column("text_hash").take(pa.array([d for d, _ in keys], pa.int64())),
         }
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
-    return map_pieces(rows, find, "doc_id long, item_id long, first_word long, lcs long, share double, cosine double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"), F.expr(_TEXT_HASH).alias("text_hash"))
+    return map_pieces(rows, find, _HIT)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 96, least_cosine: float = 0.4, least_share: float = 0.6, answer_share: float = 0.6, block_items: int = 5_000) -> DataFrame:
-    """Hits of all items; ``block_items`` bounds what is sent to the tasks at a time."""
+def row_hits(docs: DataFrame, benchmark: DataFrame, rank: int = 96, least_cosine: float = 0.4, least_share: float = 0.6, answer_share: float = 0.6, block_items: int = 5_000) -> DataFrame:
+    """Hits of all items, those of every row; ``block_items`` bounds what is sent to the tasks at a time."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text"))
     blocks = -(-items.count() // block_items)
@@ -348,15 +351,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 96, least_co
         if block.ids:
             found.append(search(docs, build_space(docs, block, rank), least_cosine, least_share, answer_share))
     if not found:
-        return spark.createDataFrame([], "doc_id long, item_id long, first_word long, lcs long, share double, cosine double")
+        return spark.createDataFrame([], _HIT)
     hits = found[0]
     for f in found[1:]:
         hits = hits.unionByName(f)
+    return hits
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """Hits of all items, once per (id, item)."""
     order = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("lcs"), "first_word")
+    hits = row_hits(docs, benchmark, **options).drop("text_hash")
     return hits.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without any hit."""
-    bad = materialize(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("of")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("of")), "left_anti")
+    """The rows of ``docs`` without any hit of their own; rows are told apart by id and a 64-bit hash of the text."""
+    bad = row_hits(docs, benchmark, **options).select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_text")).distinct()
+    bad = materialize(bad, "contaminated")
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("of")) & (F.expr(_TEXT_HASH) == F.col("of_text")), "left_anti")

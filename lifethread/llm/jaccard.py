@@ -23,7 +23,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lifethread.llm.arrays import Rolling, Words, map_arrow, map_pieces, mix, runs
@@ -274,18 +274,19 @@ def _cut(rows: DataFrame, key: str, band: Column, many: Column, below: Column, o
     return rows.withColumn("units", F.when(many <= most, F.array(entry(F.col(key), no, no))).otherwise(F.concat(same, up, down)))
 
 
-def jaccard_join(docs: DataFrame, size: int = 5, least: Fraction = Fraction(4, 5), block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest linked doc_id), node (name of the set, null if empty), links (other sets that reach ``least``)."""
+def _classed(docs: DataFrame, size: int, least: Fraction, block: int, key: Column | None = None) -> DataFrame:
+    """doc_id, n, node (name of the set, null if empty), root (name of its component), links, and ``key`` where one is given, of every row."""
     sim = Similarity(least)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([] if key is None else [key.alias("key")]))
+    carried = [] if key is None else ["key"]
 
     def name(batch: pa.RecordBatch, words: Words) -> dict:
         sets = shingle_sets(words, size)
         return {"doc_id": batch.column("doc_id"), "n": [len(s) for s in sets], "node": [_node(s) if len(s) else None for s in sets],
-                "parts": [_parts(s).tobytes() if len(s) else None for s in sets]}
+                "parts": [_parts(s).tobytes() if len(s) else None for s in sets], **{c: batch.column(c) for c in carried}}
 
-    stored = materialize(map_pieces(rows, name, "doc_id long, n long, node long, parts binary"), "jaccard-named")
-    named = stored.select("doc_id", "n", "node")
+    stored = materialize(map_pieces(rows, name, ", ".join(["doc_id long, n long, node long, parts binary", *(f"{c} long" for c in carried)])), "jaccard-named")
+    named = stored.select("doc_id", "n", "node", *carried)
     counts = rows.sparkSession.sparkContext.broadcast(hashed_counts(rows, size))  # 4 bytes times 2 ** SKETCH
 
     def prefixes(batch: pa.RecordBatch, words: Words) -> dict:
@@ -341,21 +342,32 @@ def jaccard_join(docs: DataFrame, size: int = 5, least: Fraction = Fraction(4, 5
     groups = components(linked.select(F.col("node").alias("a"), F.col("head").alias("b")), "jaccard-groups")
     degree = linked.groupBy("node").agg(F.sum("links").alias("links"))
     known = materialize(groups.join(degree, "node", "left").select(F.col("node").alias("node_of"), "root", "links"), "jaccard-known")
-    classed = named.join(known, F.col("node") == F.col("node_of"), "left").select("doc_id", "n", "node", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    classed = materialize(classed, "jaccard-classed")
+    classed = named.join(known, F.col("node") == F.col("node_of"), "left").select("doc_id", "n", "node", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), *carried)
+    return materialize(classed, "jaccard-classed")
+
+
+def jaccard_join(docs: DataFrame, size: int = 5, least: Fraction = Fraction(4, 5), block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest linked doc_id), node (name of the set, null if empty), links (other sets that reach ``least``)."""
+    classed = _classed(docs, size, least, block)
     least_id = materialize(classed.filter("root IS NOT NULL").groupBy(F.col("root").alias("of_root")).agg(F.min("doc_id").alias("component_id")), "jaccard-least")
     return classed.join(least_id, F.col("root") == F.col("of_root"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node", "links")
 
 
 def one_of_each(docs: DataFrame, size: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
-    """The rows of ``docs`` of which no linked row has a smaller id, one row of each group; rows without words all stay."""
-    rest = jaccard_join(docs, size, least).filter("n_shingles > 0 AND NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("of")).distinct()
-    kept = docs.join(rest, F.col("doc_id").cast("long") == F.col("of"), "left_anti")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    repeated = materialize(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("of")), "jaccard-repeated")
-    if repeated.isEmpty():
-        return kept
-    same = F.col("doc_id").eqNullSafe(F.col("of"))
-    twice = kept.join(repeated, same, "left_semi").withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
-    return kept.join(repeated, same, "left_anti").unionByName(twice)
+    """One row of each group of linked rows, that of the smallest id (null last, then by a hash of the text); rows without words all stay.
+
+    Rows are told apart by id and a 64-bit hash of the text, so rows that share an id, or have none, are decided each by itself."""
+    key = F.xxhash64(F.col("text").cast("string"))
+    classed = _classed(docs, size, least, BLOCK, key).filter("root IS NOT NULL")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    first = classed.groupBy(F.col("root").alias("of_root")).agg(F.min(rank).alias("first"))
+    places = classed.groupBy("root", "doc_id", "key").agg(F.count("*").alias("many"))
+    placed = places.join(first, F.col("root") == F.col("of_root")).select(F.col("doc_id").alias("of"), F.col("key").alias("of_key"), "many", (rank == F.col("first")).alias("stays"))
+    placed = materialize(placed.filter("NOT stays OR many > 1"), "jaccard-places")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("of")) & (key == F.col("of_key"))
+    again = placed.filter("stays")
+    if again.isEmpty():
+        return docs.join(placed, same, "left_anti")
+    once = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", key).join(again, same, "left_semi").dropDuplicates(["__id", "__key"])
+    return docs.join(placed, same, "left_anti").unionByName(once.drop("__id", "__key"))

@@ -103,6 +103,35 @@ def test_one_of_each(unique, plain):
     assert kept == {d for d, _, c, _ in brute.jaccard(list(enumerate(t for _, t in plain)), 5, 4, 5) if c == d}
 
 
+def test_one_of_each_decides_by_row(odd, unique, plain):
+    """Repeated and null ids: every group keeps one row, and rows without words all stay."""
+    numbered = brute.jaccard(list(enumerate(t for _, t in plain)), 5, 4, 5)
+    groups, none = {}, Counter()
+    for k, n, c, _ in numbered:
+        if n:
+            groups.setdefault(c, []).append(plain[k])
+        else:
+            none[plain[k]] += 1
+    least = {g: min(((d is None, d or 0) for d, _ in rows)) for g, rows in groups.items()}
+    kept = got(jaccard.one_of_each(odd, 5, Fraction(4, 5)), "doc_id", "text")
+    assert Counter({x: n for x, n in kept.items() if x in none}) == none
+    rest = list((kept - none).elements())
+    assert len(rest) == len(groups)
+    for g, rows in groups.items():
+        (one,) = [x for x in rest if x in rows]
+        assert (one[0] is None, one[0] or 0) == least[g]
+
+
+def test_contaminated_rows_go_by_themselves(spark, odd):
+    bench = queries.table(spark, "/root/testdata/sf0.01", "benchmark")
+    text = max((r.text for r in bench.collect()), key=len)
+    bad = odd.limit(1).selectExpr("explode(array(null, 3L)) AS doc_id", "1 AS z").join(odd.drop("doc_id").limit(1)).drop("z").selectExpr("doc_id", *odd.columns[1:])
+    from pyspark.sql import functions as F
+
+    both = odd.unionByName(bad.withColumn("text", F.lit(text)))
+    assert got(decontaminate.drop_contaminated(both, bench), "doc_id", "text") == got(odd, "doc_id", "text")
+
+
 SUBSTRING = ("n_words", "n_removed", "kept_sha256")
 
 
