@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lifethread.llm import decontaminate, jaccard, language_model, line_dedup, mixing, pii, quality, substring, token_counts, toxicity
+from lifethread.llm import decontaminate, jaccard, language_model, line_dedup, mixing, periodic, pii, quality, substring, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +57,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), max_rows=20_000), threshold=0.3)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.runs_digest(periodic.repeat_some(table(spark, sf_dir, "documents")), least=12)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing, "op2_decontaminate": op2_decontaminate, "op3_substring_dedup": op3_substring_dedup, "op4_lm_score": op4_lm_score, "op5_pii": op5_pii, "op6_jaccard_join": op6_jaccard_join, "op7_token_counts": op7_token_counts, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_line_dedup": op10_line_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 SQL: dict[str, str] = {"op10_line_dedup": line_dedup.ORACLE}
 

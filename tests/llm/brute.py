@@ -136,3 +136,42 @@ def lines(rows, min_chars=40, min_docs=5):
         kept = [x for x in every if len(holders[key(x)]) < min_docs or max(holders[key(x)]) == (-1 << 63 if d is None else d)]
         out.append((d, len(every), len(every) - len(kept), sha("\n".join(kept))))
     return out
+
+
+def repeated_words(doc_id, text):
+    w = words(text)
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 == 0 and w:
+        g = h // 10
+        a = g % len(w)
+        p = 1 + (len(w) - a) // (3 + g % 8)
+        w = [x if i < a else w[a + (i - a) % p] for i, x in enumerate(w)]
+    return w
+
+
+def word_runs(w, least=12):
+    """Every (start, length, period), by trying all periods."""
+    out = []
+    for q in range(1, len(w) // 2 + 1):
+        i = q
+        while i < len(w):
+            j = i
+            while j < len(w) and w[j] == w[j - q]:
+                j += 1
+            start, n = i - q, j - i + q
+            if n >= max(least, 2 * q) and not any(all(w[k] == w[k - r] for k in range(start + r, start + n)) for r in range(1, q)):
+                out.append((start, n, q))
+            i = max(j, i) + 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def periodic(rows, least=12):
+    out = []
+    for d, t in rows:
+        w = repeated_words(d, t)
+        found = word_runs(w, least)
+        gone = {k for s, n, q in found for k in range(s + q, s + n)}
+        best = min(found, key=lambda r: (-r[1], r[0], r[2])) if found else (None, None, None)
+        left = " ".join(x for k, x in enumerate(w) if k not in gone)
+        out.append((d, len(found), *best, 1000 * best[1] // best[2] if found else None, sha("".join(f"{s},{n},{q}\n" for s, n, q in found)), sha(left)))
+    return out
