@@ -134,9 +134,9 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0] if len(texts) else np.zeros(1, np.int64)
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray) -> Words:
+def split_words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> Words:
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~SPACE[data]
+    inside[1:-1] = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     start = np.flatnonzero(inside[1:-1] & (edge[:-1] | ~inside[:-2]))

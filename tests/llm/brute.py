@@ -175,3 +175,24 @@ def periodic(rows, least=12):
         left = " ".join(x for k, x in enumerate(w) if k not in gone)
         out.append((d, len(found), *best, 1000 * best[1] // best[2] if found else None, sha("".join(f"{s},{n},{q}\n" for s, n, q in found)), sha(left)))
     return out
+
+
+def resample_words(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(_DOWN))
+
+
+def resampled(rows, target, percent=25, min_words=20, seed=7):
+    features = lambda t: [*(w := resample_words(t)), *(f"{a} {b}" for a, b in zip(w, w[1:]))]
+    place = lambda f: zlib.crc32(f.encode()) % 10_000
+    s, t = (Counter(place(f) for x in texts for f in features(x)) for texts in ([x for _, x in rows], target))
+    s_all, t_all = float(s.total()), float(t.total())
+    gain = [math.floor(1000 * math.log((t[b] + 1.0) * (s_all + 10000) / ((s[b] + 1.0) * (t_all + 10000)))) for b in range(10_000)]
+    out = []
+    for d, x in rows:
+        f = features(x)
+        weight = sum(gain[place(y)] for y in f) // len(f) if f else 0
+        h = int(sha(f"{seed}:{'' if d is None else d}")[:8], 16)
+        out.append((d, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), len(resample_words(x)) >= min_words))
+    order = sorted((k for k in range(len(out)) if out[k][4]), key=lambda k: (-out[k][3], out[k][0] is None, out[k][0] or 0))
+    drawn = {k: n for n, k in enumerate(order[: percent * len(order) // 100], 1)}
+    return [(*x[:4], drawn.get(k)) for k, x in enumerate(out)]

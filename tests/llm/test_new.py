@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from lifethread.llm import periodic, queries
+from lifethread.llm import periodic, queries, resample
 from tests.llm import brute
 from tests.llm.test_llm import SF_DIR, documents, empty, got, odd, plain, rows  # noqa: F401
 
@@ -44,5 +44,48 @@ def test_periodic_general_output(spark):
     assert out == [(1, 18, [(1, 16, 2)], "a x y b"), (2, 0, [], ""), (2, 0, [], "")]
 
 
+DRAWN = ("doc_id", "n_features", "weight", "score", "rank")
+
+
+def test_resample(spark, odd, plain, documents, rows):  # noqa: F811
+    bench = queries.table(spark, SF_DIR, "benchmark")
+    items = [r.text for r in bench.collect()]
+    for df, texts, options in ((documents, rows, {}), (odd, plain, {"chunk": 4, "last": 2, "percent": 60, "min_words": 2}), (documents, rows, {"chunk": 16, "last": 1})):
+        want = Counter(brute.resampled(texts, items, options.get("percent", 25), options.get("min_words", 20)))
+        assert got(resample.importance_resample(df, bench, **options), *DRAWN) == want
+    kept = resample.draw_documents(odd, bench)
+    assert kept.columns == odd.columns and kept.count() == sum(1 for _, t in plain if len(brute.resample_words(t)) >= 20) * 25 // 100
+    assert resample.importance_resample(odd, bench.limit(0)).count() == odd.count()
+
+
+def test_resample_of_one_group_of_copies(spark):
+    """Rows that differ in nothing: each has a rank of its own."""
+    docs = spark.range(4000).selectExpr("CAST(NULL AS long) AS doc_id", "repeat('a b c ', 10) AS text", "id AS score", "'k' AS k_place").repartition(7)
+    out = resample.importance_resample(docs, docs.limit(1), chunk=64, last=10, keep=("k_place", "score"))
+    assert sorted(r["rank"] for r in out.filter("rank IS NOT NULL").collect()) == list(range(1, 1001)) and out.count() == 4000
+
+
+def test_cutoff_key(spark):
+    r = random.Random(9)
+    keys = [(r.randrange(3), 0, r.randrange(40), 0, k) for k in range(5000)]
+    df = spark.createDataFrame(keys, ", ".join(f"{k} long" for k in resample.KEY)).repartition(5)
+    for k in (1, 2, 1250, 4999, 5000):
+        assert resample.cutoff_key(df, k, chunk=100, last=1 if k == 1250 else 50) == sorted(keys)[k - 1]
+
+
+def test_crc_of_long_words():
+    import zlib
+
+    import numpy as np
+
+    words = [b"a", b"x" * 47, b"y" * 48, b"z" * 49, "über".encode() * 60]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    split = resample._split(data, np.array([0, len(data)]))
+    one, two = (place for place, _ in resample.feature_buckets(split, 2, 10_000))
+    assert one.tolist() == [zlib.crc32(w) % 10_000 for w in words]
+    assert two.tolist() == [zlib.crc32(a + b" " + b) % 10_000 for a, b in zip(words, words[1:])]
+
+
 def test_new_operators_on_empty_tables(empty):  # noqa: F811
+    assert resample.importance_resample(empty, empty).count() == 0 and resample.draw_documents(empty, empty).count() == 0
     assert periodic.runs_digest(periodic.repeat_some(empty)).count() == 0
