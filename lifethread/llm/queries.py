@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lifethread.llm import decontaminate, jaccard, language_model, line_dedup, mixing, periodic, pii, quality, resample, substring, token_counts, toxicity
+from lifethread.llm import decontaminate, jaccard, language_id, language_model, line_dedup, mixing, periodic, pii, quality, resample, substring, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), max_rows=20_000), threshold=0.3)
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.languages(docs, language_id.train(docs, max_rows=2_000))
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resample.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, min_words=20, n=2, buckets=10_000, seed=7)
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -68,7 +73,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing, "op2_decontaminate": op2_decontaminate, "op3_substring_dedup": op3_substring_dedup, "op4_lm_score": op4_lm_score, "op5_pii": op5_pii, "op6_jaccard_join": op6_jaccard_join, "op7_token_counts": op7_token_counts, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_line_dedup": op10_line_dedup,
-    "op12_resample": op12_resample, "op13_periodic_runs": op13_periodic_runs,
+    "op11_language_id": op11_language_id, "op12_resample": op12_resample, "op13_periodic_runs": op13_periodic_runs,
 }
 SQL: dict[str, str] = {"op10_line_dedup": line_dedup.ORACLE, "op12_resample": resample.ORACLE}
 

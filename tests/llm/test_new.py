@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from lifethread.llm import periodic, queries, resample
+from lifethread.llm import language_id, periodic, queries, resample
 from tests.llm import brute
 from tests.llm.test_llm import SF_DIR, documents, empty, got, odd, plain, rows  # noqa: F401
 
@@ -86,6 +86,73 @@ def test_crc_of_long_words():
     assert two.tolist() == [zlib.crc32(a + b" " + b) % 10_000 for a, b in zip(words, words[1:])]
 
 
+def test_language_id(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    model = language_id.train(docs, max_rows=400)
+    assert model.languages == ["de", "en", "es", "fr"] and sorted(sum(model.family, [])) == [0, 1, 2, 3] and len(model.family) == 2
+    out = language_id.languages(docs, model).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    held = out[out["held_out"]]
+    assert len(out) == docs.count() and out["score"].between(0, 1).all() and 150 < len(held) < 350
+    assert (held["lang"] == held["lang_pred"]).mean() >= 0.97
+    again = language_id.languages(docs.repartition(5), language_id.train(docs.repartition(3), max_rows=400)).toPandas()
+    assert again.sort_values("doc_id")["lang_pred"].tolist() == out.sort_values("doc_id")["lang_pred"].tolist()
+
+
+def test_language_id_learns_from_the_named_rows_only(spark):
+    """Held-out rows, null ids and null languages teach nothing: their labels are words that no prediction may give."""
+    from zlib import crc32
+
+    kept = [k for k in range(200) if crc32(str(k).encode()) % 4 != 2]
+    held = [k for k in range(200) if crc32(str(k).encode()) % 4 == 2]
+    docs = [(k, "der die das und nicht" if k % 2 else "the cat and of not", "de" if k % 2 else "en") for k in kept]
+    docs += [(k, "der die das und nicht", "never") for k in held] + [(None, "das nicht", "no"), (kept[0], "das der", None), (kept[1], "1234 !!", "digits"), (kept[2], None, "void")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = language_id.train(df)
+    assert model.languages == ["de", "en"]
+    out = language_id.languages(df, model).collect()
+    assert {r.lang_pred for r in out if r.held_out} == {"de"} and sum(r.lang_pred == "und" and r.score == 0 for r in out) == 2
+
+
+def test_language_id_odd_rows(spark, odd, empty):  # noqa: F811
+    model = language_id.train(odd)
+    assert model.languages == ["en"]
+    out = language_id.languages(odd, model).collect()
+    assert len(out) == odd.count() and {r.lang_pred for r in out} == {"en", "und"}
+    none = language_id.languages(odd, language_id.train(empty)).collect()
+    assert {(r.lang_pred, r.score) for r in none} == {("und", 0.0)}
+    assert language_id.languages(empty, model).count() == 0
+
+
+def test_many_languages_in_families(spark):
+    """Six made-up languages of three scripts: families follow the letters, close languages are told apart inside them."""
+    r = random.Random(2)
+    letters = {"a1": "abcdeab", "a2": "abcdecd", "b1": "лмноплм", "b2": "лмнопно", "c1": "αβγδεαβ", "c2": "αβγδεγδ"}
+    say = lambda v: " ".join("".join(r.choice(v) for _ in range(r.randrange(2, 7))) for _ in range(40))
+    rows = [(k, say(v), lang) for k in range(360) for lang, v in [list(letters.items())[k % 6]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language_id.train(docs, families=3)
+    assert model.family == [[0, 1], [2, 3], [4, 5]] and model.pairs == [(0, 1), (2, 3), (4, 5)]
+    out = {x.doc_id: x for x in language_id.languages(docs, model).collect()}
+    held = [(out[k].lang_pred, lang) for k, _, lang in rows if out[k].held_out]
+    assert len(held) > 60 and sum(a == b for a, b in held) >= 0.95 * len(held)
+
+
+def test_blocks_of_a_long_text_give_the_same_margins(spark, monkeypatch):
+    import numpy as np
+
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    model = language_id.train(docs, max_rows=100)
+    texts = [r.text for r in docs.limit(20).collect()]
+    data = [f" {t} ".encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, data)])
+    flat = np.frombuffer(b"".join(data), np.uint8)
+    one = language_id._margins(flat, offsets, model)
+    monkeypatch.setattr(language_id, "BLOCK", 1000)
+    assert np.allclose(language_id._margins(flat, offsets, model), one, atol=1e-9)
+    alone = [language_id._margins(np.frombuffer(x, np.uint8), np.array([0, len(x)]), model)[0] for x in data]
+    assert np.allclose(alone, one, atol=1e-9)
+
+
 def test_new_operators_on_empty_tables(empty):  # noqa: F811
     assert resample.importance_resample(empty, empty).count() == 0 and resample.draw_documents(empty, empty).count() == 0
     assert periodic.runs_digest(periodic.repeat_some(empty)).count() == 0
