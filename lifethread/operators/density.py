@@ -1,7 +1,8 @@
 """Density clustering of event vectors (C1): HDBSCAN with cosine distance and excess-of-mass selection.
 
 Distances are rounded to nine decimals and edges are ordered by (weight, lower id, higher id), so the
-result does not depend on how rows are spread.
+result does not depend on how rows are spread. Groups up to ``TASK_ROWS`` events are clustered inside a task, a bounded block; larger ones by
+joins over the whole table (``condensed``), with the same order of edges and the same labels.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lifethread.operators.blocks import RANK_DIGITS, Side, best_per_row, block_apply, similarity, tie_codes
+from lifethread.operators.condensed import EQUAL, LEAST, Rounds, cluster_points, tops
+from lifethread.operators.ordered import number_rows
 from lifethread.operators.similarity import cosine_topk
-from lifethread.runtime import materialize
+from lifethread.runtime import materialize, ship
 
 NOISE = -1
 # Groups up to this many events are clustered inside one task.
 TASK_ROWS = 3000
-_LEAST = 1e-10  # identical vectors are this far apart when densities are compared
 
 
 def mutual_reachability(x: np.ndarray, min_samples: int) -> np.ndarray:
@@ -34,17 +36,20 @@ def mutual_reachability(x: np.ndarray, min_samples: int) -> np.ndarray:
 
 
 def spanning_tree(w: np.ndarray) -> np.ndarray:
-    """Edges (u, v, weight) of a lightest tree over a dense weight matrix."""
+    """Edges (u, v, weight) of the lightest tree over a dense weight matrix, edges in order of (weight, lower point, higher point)."""
     n = len(w)
-    inside = np.zeros(n, dtype=bool)
-    best, origin = np.full(n, np.inf), np.zeros(n, dtype=int)
+    inside, points = np.zeros(n, dtype=bool), np.arange(n)
+    best, code = np.full(n, np.inf), np.full(n, np.iinfo(np.int64).max)
     at, edges = 0, []
     for _ in range(n - 1):
         inside[at] = True
-        nearer = ~inside & (w[at] < best)
-        best[nearer], origin[nearer] = w[at][nearer], at
-        at = int(np.argmin(np.where(inside, np.inf, best)))
-        edges.append((min(at, origin[at]), max(at, origin[at]), best[at]))
+        here = np.minimum(points, at) * n + np.maximum(points, at)
+        nearer = ~inside & ((w[at] < best) | ((w[at] == best) & (here < code)))
+        best[nearer], code[nearer] = w[at][nearer], here[nearer]
+        open_ = np.where(inside, np.inf, best)
+        ties = np.flatnonzero(open_ == open_.min())
+        at = int(ties[np.argmin(code[ties])])
+        edges.append((code[at] // n, code[at] % n, best[at]))
     return np.array(edges, dtype=float).reshape(-1, 3)
 
 
@@ -67,7 +72,7 @@ def tree_labels(edges: np.ndarray, n: int, min_cluster_size: int) -> np.ndarray:
         link[b] = a
         top[a] = n + i
 
-    density = 1.0 / np.maximum(edges[:, 2], _LEAST)
+    density = 1.0 / np.maximum(edges[:, 2], LEAST)
     cluster_of = np.zeros(2 * n - 1, dtype=int)  # of every merge and point, the cluster it is or falls out of
     parent, born, mass = [-1], [0.0], [0.0]
     for i in range(n - 2, -1, -1):
@@ -89,7 +94,7 @@ def tree_labels(edges: np.ndarray, n: int, min_cluster_size: int) -> np.ndarray:
 
     below, chosen = np.zeros(len(parent)), np.zeros(len(parent), dtype=bool)
     for c in range(len(parent) - 1, 0, -1):
-        chosen[c] = mass[c] >= below[c]
+        chosen[c] = mass[c] >= below[c] * (1 - EQUAL)
         below[parent[c]] += max(mass[c], below[c])
     owner = np.full(len(parent), NOISE)
     for c in range(1, len(parent)):
@@ -111,13 +116,13 @@ def hdbscan(
 ) -> DataFrame:
     """(by..., id, label); -1 is noise. Groups with fewer events than a cluster are noise as a whole.
 
-    Small groups are clustered inside a task. For others the spanning tree of the mutual reachability graph
-    is found by rounds over the whole table, and a task only gets the finished tree of its group, three
-    numbers per event.
+    An id may occur in several groups; rows of one group with the same id are different events. Rows without a vector are left out.
     """
+    ship(df.sparkSession)
     ms = max(2, min_cluster_size - 1) if min_samples is None else min_samples
     keys = list(by) or ["_all"]
-    rows = df.select(*by, id_col, vec) if by else df.select(id_col, vec).withColumn("_all", F.lit(0))
+    rows = df.where(F.col(vec).isNotNull())
+    rows = rows.select(*by, id_col, vec) if by else rows.select(id_col, vec).withColumn("_all", F.lit(0))
     sizes = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "density")
     n = F.col("_n")
     few = rows.join(sizes.where(n < min_cluster_size), keys, "left_semi").select(*keys, id_col, F.lit(NOISE).alias("label"))
@@ -129,34 +134,24 @@ def hdbscan(
         return pdf[[*keys, id_col]].assign(label=tree_labels(spanning_tree(w), len(pdf), min_cluster_size))
 
     done = few.unionByName(small.groupBy(*keys).applyInPandas(one, _schema(rows, keys, id_col)))
-    large = sizes.where(n > task_rows)
+    large = sizes.where((n >= min_cluster_size) & (n > task_rows))
     if not large.isEmpty():
-        many = rows.join(large, keys, "left_semi")
-        edges = reachability_tree(many, keys, id_col, vec, ms, **blocks)
-        done = done.unionByName(_cut_trees(many, edges, keys, id_col, min_cluster_size))
+        many = rows.join(large, keys, "left_semi").select(*keys, F.col(id_col).alias("_id"), F.col(vec).alias("vec"))
+        many = materialize(number_rows(many, [*keys, "_id"], "id"), "density")
+        tree, rounds = reachability_tree(many, keys, "id", "vec", ms, **blocks)
+        labels = cluster_points(many.select(*keys, "id"), tree, rounds, keys, min_cluster_size, NOISE).select("id", "label")
+        done = done.unionByName(many.drop("vec").join(labels, "id").select(*keys, F.col("_id"), "label").toDF(*keys, id_col, "label"))
     return done.select(*by, id_col, "label")
 
 
-def _cut_trees(rows: DataFrame, edges: DataFrame, keys: list[str], id_col: str, min_cluster_size: int) -> DataFrame:
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(np.r_[pdf["u"].to_numpy(), pdf["v"].to_numpy()])
-        tree = np.c_[np.searchsorted(ids, pdf["u"]), np.searchsorted(ids, pdf["v"]), pdf["w"]].astype(float)
-        out = pd.DataFrame({id_col: ids, "label": tree_labels(tree, len(ids), min_cluster_size)})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, id_col, "label"]]
-
-    return edges.select(*keys, "u", "v", "w").groupBy(*keys).applyInPandas(cut, _schema(rows, keys, id_col))
-
-
 def _edge(a: Column, b: Column, w: Column) -> Column:
     return F.struct(w.alias("w"), F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
 
 
 def reachability_tree(
     rows: DataFrame, keys: list[str], id_col: str, vec: str, min_samples: int, neighbours: int | None = None, **blocks: int
-) -> DataFrame:
-    """Lightest spanning tree of the mutual reachability graph of each group: (keys..., u, v, w).
+) -> tuple[DataFrame, Rounds]:
+    """Lightest spanning tree of the mutual reachability graphs of all groups, (u, v, w), and the rounds that found it.
 
     Each round every component takes its lightest edge to another one. A point first looks among its
     nearest neighbours; an edge it does not list weighs at least the distance of the last one listed, so only
@@ -179,7 +174,8 @@ def reachability_tree(
         near.join(core.toDF("a", "core_a"), "a").join(core.toDF("b", "core_b"), "b").select("a", "b", F.greatest("d", "core_a", "core_b").alias("w")), "density"
     )
     comp = points.select("id", F.col("id").alias("comp"))
-    tree: DataFrame | None = None
+    tree = points.select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(0.0).alias("w")).limit(0)
+    rounds: Rounds = []
     while True:
         here = comp.select(F.col("id").alias("a"), F.col("comp").alias("ca"))
         there = comp.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
@@ -195,12 +191,11 @@ def reachability_tree(
         picked = first.unionByName(scanned).groupBy("ca").agg(F.min("e").alias("e")) if scanned is not None else first
         picked = materialize(picked.select(F.col("ca").alias("comp"), "e.u", "e.v", "e.w"), "density")
         if picked.isEmpty():
-            return points.select(*keys, F.col("id").alias("u")).join(tree, "u").select(*keys, "u", "v", "w") if tree is not None else (
-                points.select(*keys, F.col("id").alias("u"), F.col("id").alias("v"), F.lit(0.0).alias("w")).limit(0)
-            )
-        new = picked.select("u", "v", "w").distinct()
-        tree = materialize(new if tree is None else tree.unionByName(new), "density")
-        comp = _contract(comp, picked)
+            return tree, rounds
+        tree = materialize(tree.unionByName(picked.select("u", "v", "w").distinct()), "density")
+        hook = _contract(comp, picked)
+        rounds.append((picked.select("comp", "u", "v"), hook))
+        comp = materialize(comp.join(hook, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), "density")
 
 
 def _scan(unsure: DataFrame, everyone: DataFrame, keys: list[str], **blocks: int) -> DataFrame | None:
@@ -225,22 +220,13 @@ def _scan(unsure: DataFrame, everyone: DataFrame, keys: list[str], **blocks: int
 
 
 def _contract(comp: DataFrame, picked: DataFrame) -> DataFrame:
-    """Join the components along the picked edges; a joined component is named by one of its own."""
+    """Join the components along the picked edges: (comp, to); a joined component is named by one of its own."""
     at = comp.select(F.col("id").alias("_p"), F.col("comp").alias("_c"))
     ends = picked.join(at.toDF("u", "cu"), "u").join(at.toDF("v", "cv"), "v")
     other = ends.select("comp", F.when(F.col("cu") == F.col("comp"), F.col("cv")).otherwise(F.col("cu")).alias("to"))
     # Edges are totally ordered, so picks form trees whose only cycles are two components picking each other.
     mutual = other.select(F.col("to").alias("comp"), F.col("comp").alias("to")).withColumn("_back", F.lit(True))
     hook = other.join(mutual, ["comp", "to"], "left").select(
-        "comp", F.when(F.col("_back") & (F.col("comp") < F.col("to")), F.col("comp")).otherwise(F.col("to")).alias("to")
+        F.col("comp").alias("node"), F.when(F.col("_back") & (F.col("comp") < F.col("to")), F.col("comp")).otherwise(F.col("to")).alias("to")
     )
-    hook = materialize(hook, "density")
-    while True:
-        onward = hook.select(F.col("comp").alias("to"), F.col("to").alias("_next"))
-        jumped = materialize(
-            hook.join(onward, "to").select("comp", F.col("_next").alias("to"), (F.col("_next") != F.col("to")).alias("_moved")), "density"
-        )
-        hook = jumped.drop("_moved")
-        if jumped.where("_moved").isEmpty():
-            break
-    return materialize(comp.join(hook, "comp").select("id", F.col("to").alias("comp")), "density")
+    return tops(hook, "density").withColumnRenamed("node", "comp")

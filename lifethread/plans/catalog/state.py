@@ -16,11 +16,68 @@ from lifethread.runtime import scratch_path
 from lifethread.streaming import streams
 
 
-@query("C1_hdbscan")
+def density_sql(src: str, least: int, samples: int) -> str:
+    """Common tables that end in ``dens`` (g, id, label): density clusters of ``src`` (g, id, x), a point, a merge and a cluster at a time."""
+    return f"""
+    pt AS MATERIALIZED (SELECT g, id, x, row_number() OVER (PARTITION BY g ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM ({src})),
+    dd AS (SELECT a.g, a.n, a.i, b.i AS j, round(1.0 - round(list_cosine_similarity(a.x, b.x), 9), 9) AS d FROM pt a JOIN pt b ON b.g = a.g),
+    core AS (SELECT g, i, d AS core FROM (SELECT *, row_number() OVER (PARTITION BY g, i ORDER BY d) AS rn FROM dd WHERE i <> j) WHERE rn = {samples}),
+    ww AS MATERIALIZED (SELECT d.g, d.n, d.i, list(greatest(d.d, a.core, b.core) ORDER BY d.j) AS w FROM dd d JOIN core a ON a.g = d.g AND a.i = d.i JOIN core b ON b.g = d.g AND b.i = d.j GROUP BY ALL),
+    prim AS MATERIALIZED (
+      SELECT g, n, 0 AS step, 0::BIGINT AS here, list_transform(range(n), lambda j: {{'w': 1e300::DOUBLE, 'c': 0::BIGINT, 'j': j}}) AS best, {{'w': NULL::DOUBLE, 'c': NULL::BIGINT, 'j': NULL::BIGINT}} AS edge FROM (SELECT DISTINCT g, n FROM pt)
+      UNION ALL
+      SELECT g, n, step + 1, list_min(best).j, best, list_min(best) FROM (
+        SELECT p.g, p.n, p.step, list_transform(p.best, lambda o: CASE WHEN o.j = p.here THEN {{'w': 1e301::DOUBLE, 'c': 0::BIGINT, 'j': o.j}} WHEN o.w > 1e300 THEN o
+          WHEN {{'w': ww.w[o.j + 1], 'c': least(p.here, o.j) * p.n + greatest(p.here, o.j), 'j': o.j}} < o THEN {{'w': ww.w[o.j + 1], 'c': least(p.here, o.j) * p.n + greatest(p.here, o.j), 'j': o.j}} ELSE o END) AS best
+        FROM prim p JOIN ww ON ww.g = p.g AND ww.i = p.here WHERE p.step < p.n - 1)),
+    mst AS MATERIALIZED (SELECT g, n, row_number() OVER (PARTITION BY g ORDER BY edge.w, edge.c) AS k, edge.c // n AS u, edge.c % n AS v, edge.w AS w FROM prim WHERE step > 0),
+    krus AS MATERIALIZED (
+      SELECT g, n, 0::BIGINT AS k, range(n) AS top, NULL::BIGINT AS a, NULL::BIGINT AS b, 0::BIGINT AS sa, 0::BIGINT AS sb, 0::DOUBLE AS w FROM (SELECT DISTINCT g, n FROM pt)
+      UNION ALL
+      SELECT s.g, s.n, m.k, list_transform(s.top, lambda t: CASE WHEN t = s.top[m.u + 1] OR t = s.top[m.v + 1] THEN s.n + m.k - 1 ELSE t END), s.top[m.u + 1], s.top[m.v + 1],
+        len(list_filter(s.top, lambda t: t = s.top[m.u + 1])), len(list_filter(s.top, lambda t: t = s.top[m.v + 1])), m.w FROM krus s JOIN mst m ON m.g = s.g AND m.k = s.k + 1),
+    mg AS MATERIALIZED (SELECT g, n, n + k - 1 AS node, a, b, sa, sb, sa + sb AS size, 1.0 / greatest(w, 1e-10) AS den FROM krus WHERE k > 0),
+    cl AS MATERIALIZED (
+      SELECT g, node, node AS c, 0::DOUBLE AS born, NULL::BIGINT AS up FROM mg WHERE node = 2 * n - 2 AND size >= {least}
+      UNION ALL
+      SELECT m.g, kid.node, CASE WHEN least(m.sa, m.sb) >= {least} THEN kid.node ELSE cl.c END, CASE WHEN least(m.sa, m.sb) >= {least} THEN m.den ELSE cl.born END,
+        CASE WHEN least(m.sa, m.sb) >= {least} THEN cl.c ELSE cl.up END
+      FROM cl JOIN mg m ON m.g = cl.g AND m.node = cl.node JOIN mg kid ON kid.g = m.g AND (kid.node = m.a OR kid.node = m.b) WHERE kid.size >= {least}),
+    ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY c) AS k FROM (
+      SELECT cl.g, cl.c, max(cl.up) AS up, sum((m.den - cl.born) * CASE WHEN least(m.sa, m.sb) >= {least} THEN m.size WHEN m.sa >= {least} THEN m.sb WHEN m.sb >= {least} THEN m.sa ELSE m.size END) AS mass
+      FROM cl JOIN mg m ON m.g = cl.g AND m.node = cl.node GROUP BY 1, 2)),
+    eom AS MATERIALIZED (
+      SELECT DISTINCT g, 0::BIGINT AS k, CAST([] AS STRUCT(up BIGINT, best DOUBLE)[]) AS done, NULL::BIGINT AS c, NULL::BIGINT AS up, false AS chosen FROM pt
+      UNION ALL
+      SELECT g, k, list_append(done, {{'up': up, 'best': greatest(mass, below)}}), c, up, up IS NOT NULL AND mass >= below * (1 - 1e-9) FROM (
+        SELECT r.*, s.done, coalesce(list_sum(list_transform(list_filter(s.done, lambda x: x.up = r.c), lambda x: x.best)), 0) AS below FROM eom s JOIN ranked r ON r.g = s.g AND r.k = s.k + 1)),
+    own AS MATERIALIZED (
+      SELECT g, c, NULL::BIGINT AS owner FROM eom WHERE k > 0 AND up IS NULL
+      UNION ALL SELECT e.g, e.c, coalesce(o.owner, CASE WHEN e.chosen THEN e.c END) FROM own o JOIN eom e ON e.g = o.g AND e.up = o.c),
+    climb AS (
+      SELECT g, i, i AS node, 1::BIGINT AS size FROM pt
+      UNION ALL SELECT c.g, c.i, m.node, m.size FROM climb c JOIN mg m ON m.g = c.g AND (m.a = c.node OR m.b = c.node) WHERE c.size < {least}),
+    lab AS MATERIALIZED (SELECT k.g, k.i, o.owner FROM climb k JOIN cl ON cl.g = k.g AND cl.node = k.node JOIN own o ON o.g = cl.g AND o.c = cl.c WHERE k.size >= {least}),
+    num AS MATERIALIZED (SELECT g, owner, CAST(row_number() OVER (PARTITION BY g ORDER BY min(i)) - 1 AS INT) AS label FROM lab WHERE owner IS NOT NULL GROUP BY g, owner),
+    dens AS (SELECT pt.g, pt.id, coalesce(num.label, -1) AS label FROM pt LEFT JOIN lab ON lab.g = pt.g AND lab.i = pt.i LEFT JOIN num ON num.g = lab.g AND num.owner = lab.owner)"""
+
+
+_ALL = "SELECT 0 AS g, vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"
+_BY = "SELECT vec_id % 3 AS g, vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"
+
+
+@query("C1_hdbscan", f"WITH RECURSIVE {density_sql(_ALL, 4, 2)} SELECT id, label FROM dens")
 def _(t: Tables) -> DataFrame:
     return density.hdbscan(t.vectors, min_cluster_size=4, min_samples=2)
 
 
+@query("C1_hdbscan_by", f"WITH RECURSIVE {density_sql(_BY, 3, 2)} SELECT g, id, label FROM dens")
+def _(t: Tables) -> DataFrame:
+    """Groups of more than a block of 100 events: the tree is found and cut by joins."""
+    given = t.vectors.select("id", "vec", (F.col("id") % 3).alias("g"))
+    return density.hdbscan(given, min_cluster_size=3, min_samples=2, by=["g"], task_rows=100)
+
+
 @query("C3_ahc")
 def _(t: Tables) -> DataFrame:
     return clustering.ahc(t.vectors.withColumnRenamed("label", "rec"), ["rec"])
@@ -112,7 +169,11 @@ def _(t: Tables) -> DataFrame:
     )
 
 
-@query("R6_build_clusters")
+@query("R6_build_clusters", f"""
+    WITH RECURSIVE {density_sql("SELECT 0 AS g, event_id AS id, vec AS x FROM m_vec", 4, 2)},
+    m AS (SELECT d.label, e.clip_ts, e.caption, e.t_sec, e.event_id FROM dens d JOIN m_event e ON e.event_id = d.id WHERE d.label >= 0),
+    a AS (SELECT label, count(*) AS event_count, concat(first(clip_ts ORDER BY t_sec, clip_ts), ' - ', last(clip_ts ORDER BY t_sec, clip_ts)) AS time_span, first(caption ORDER BY t_sec, event_id) AS summary FROM m GROUP BY label)
+    SELECT label, event_count, time_span, CASE WHEN length(split_part(summary, '。', 1)) > 50 THEN concat(substr(split_part(summary, '。', 1), 1, 47), '...') ELSE split_part(summary, '。', 1) END AS title, summary, 64 AS width FROM a""")
 def _(t: Tables) -> DataFrame:
     events = t.event.select("event_id", "participant", F.col("clip_ts").alias("timestamp"), "t_sec", "caption").join(t.vec.select("event_id", "vec"), "event_id")
     profile, _ = pipelines.build_clusters(events, min_cluster_size=4, min_samples=2)

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 _SHIPPED: set[str] = set()
@@ -66,6 +66,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_seen(df: DataFrame, tag: str, seen: Column) -> tuple[DataFrame, int]:
+    """``materialize`` and the value of an aggregate over the rows, taken while they are written; 0 if there are none."""
+    watch = Observation()
+    out = materialize(df.observe(watch, seen.alias("seen")), tag)
+    return out, int(watch.get["seen"] or 0)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows of few large files over all cores, for work that costs more than moving the rows."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -56,6 +56,30 @@ def test_density_ways(spark, tables):
     )
 
 
+@pytest.mark.parametrize("kind", ["ties", "repeated ids"])
+def test_density_ways_on_equal_distances(spark, kind):
+    """Many equal weights: both ways take edges in the same order and give the same labels."""
+    rng = np.random.default_rng(3)
+    if kind == "ties":
+        rows = [(i % 2, i, v) for i, v in enumerate(rng.integers(-1, 2, (60, 3)).tolist())]
+    else:
+        near = rng.normal(size=(4, 6))
+        rows = [(i % 2, i // 2, (near[i % 4] + rng.normal(size=6) * 0.1).tolist()) for i in range(64)]
+    given = spark.createDataFrame([(g, i, [float(x) for x in v]) for g, i, v in rows] + [(0, 999, None)], "g int, id bigint, vec array<double>")
+    got = [density.hdbscan(given, min_cluster_size=3, min_samples=2, by=["g"], task_rows=n, **how) for n, how in ((3000, {}), (4, {"block_rows": 25}))]
+    assert got[0].count() == len(rows) and got[0].where("label >= 0").count() > 0
+    same(*got)
+
+
+def test_condensed_tree_of_a_chain(spark):
+    """A hierarchy as deep as it has points: stretches and selection need rounds by the logarithm of the depth only."""
+    n = 400
+    angles = np.cumsum(np.linspace(1e-3, 6e-3, n))
+    rows = [(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(angles)]
+    given = spark.createDataFrame(rows, "id bigint, vec array<double>")
+    same(density.hdbscan(given, min_cluster_size=5, min_samples=1), density.hdbscan(given, min_cluster_size=5, min_samples=1, task_rows=10))
+
+
 def test_linkage_ways(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(3, 8))
