@@ -13,6 +13,7 @@ from lifethread.operators.intervals import time_hits
 from lifethread.operators.links import asof_filter, entities_of_events, merge_hits, validate_connected
 from lifethread.operators.metrics import recall_report
 from lifethread.operators.similarity import cosine_topk
+from lifethread.operators.vector_index import VectorIndex, index_topk
 from lifethread.runtime import materialize
 
 RULER = "=" * 60
@@ -44,13 +45,20 @@ class Config:
     snippets: int = 5
     time_window: float = 300.0
     search: dict = field(default_factory=dict)
+    #: A stored index of the events' vectors (with ``t_sec`` kept for ``asof="pre"``); without it the search compares with all events.
+    index: VectorIndex | None = None
+    probes: int = 8
+    exact: bool = True
 
 
 def _event_hits(questions: DataFrame, graph: Graph, cfg: Config) -> DataFrame:
     asked = questions.where("want_event").select("qid", "vec", "query_t")
     known = graph.events.select(F.col("event_id").alias("id"), "vec", "t_sec")
     before = {"query_t": "query_t", "corpus_t": "t_sec"} if cfg.asof == "pre" else {}
-    top = cosine_topk(asked, known, cfg.top_k, cfg.min_similarity, **before, **cfg.search)
+    if cfg.index is None:
+        top = cosine_topk(asked, known, cfg.top_k, cfg.min_similarity, **before, **cfg.search)
+    else:
+        top = index_topk(asked, cfg.index, cfg.top_k, cfg.min_similarity, probes=cfg.probes, exact=cfg.exact, **before, **cfg.search)
     hits = top.select("qid", F.col("id").alias("event_id"), F.col("sim").alias("similarity"))
     hits = hits.join(graph.events.select("event_id", "t_sec"), "event_id")
     return asof_filter(hits, questions).drop("query_t")

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lifethread.operators import clustering, density, graph, intervals, ordered, resolve, similarity
+from lifethread.operators import clustering, density, graph, intervals, ordered, resolve, similarity, vector_index
+from lifethread.plans import retrieval
 from lifethread.plans.catalog import state
 
 
@@ -56,6 +57,37 @@ def test_density_ways(spark, tables):
     )
 
 
+def test_stored_index(spark, tables, tmp_path):
+    """A few probes find nine of ten of the exact best rows, over all rows; with the second pass all of them, also under a time bound."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 16))
+    rows = [(i, (centres[i % 40] + rng.normal(size=16) * 0.5).tolist(), float(i % 7)) for i in range(2000)] + [(5000, None, 0.0)]
+    corpus = spark.createDataFrame(rows, "id bigint, vec array<double>, t double").repartition(4)
+    queries = corpus.where("vec IS NOT NULL").selectExpr("id AS qid", "vec", "t + 1 AS qt")
+    index = vector_index.build_index(corpus, str(tmp_path / "a"), keep=["t"])
+    assert index.vectors.count() == 2000 and index.centres.agg({"rows": "sum"}).first()[0] == 2000 and index.centres.count() <= 45
+    want = {(r.qid, r.id) for r in similarity.cosine_topk(queries, corpus, 5).collect()}
+    found = vector_index.index_topk(queries, index, 5, probes=6)
+    assert len(want & {(r.qid, r.id) for r in found.collect()}) >= 0.9 * len(want)
+    same(vector_index.index_topk(queries, index, 5, probes=2, exact=True, block_rows=300), similarity.cosine_topk(queries, corpus, 5))
+    timed = {"query_t": "qt", "corpus_t": "t", "exclude_self": True}
+    same(vector_index.index_topk(queries, index, 3, 0.2, probes=1, exact=True, **timed), similarity.cosine_topk(queries, corpus, 3, 0.2, **timed))
+    again = vector_index.read_index(spark, str(tmp_path / "a"))
+    assert again.vectors.count() == 2000
+    none = vector_index.build_index(corpus.limit(0), str(tmp_path / "b"), keep=["t"])
+    assert vector_index.index_topk(queries, none, 5).count() == 0 == vector_index.index_topk(queries, none, 5, exact=True).count()
+
+
+def test_retrieval_with_a_stored_index(spark, tables, tmp_path):
+    graph_, asked = tables.graph, tables.question.where("k % 4 = 0")
+    index = vector_index.build_index(graph_.events, str(tmp_path / "events"), cid="event_id", keep=["t_sec"])
+    for asof in ("post", "pre"):
+        plain, stored = retrieval.Config(asof=asof), retrieval.Config(asof=asof, index=index, probes=3)
+        got = [retrieval.retrieve_core(asked, graph_, c).withColumn("similarity", F.round("similarity", 6)) for c in (plain, stored)]
+        assert got[0].count() > 0
+        same(*got)
+
+
 @pytest.mark.parametrize("kind", ["ties", "repeated ids"])
 def test_density_ways_on_equal_distances(spark, kind):
     """Many equal weights: both ways take edges in the same order and give the same labels."""
