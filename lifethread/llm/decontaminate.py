@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lifethread.llm.arrays import LOWER, Rolling, Words, map_arrow, map_pieces, pieces, runs, split_words, text_buffers
+from lifethread.llm.arrays import LOWER, Rolling, Words, free_names, map_arrow, map_pieces, pieces, runs, split_words, text_buffers
 from lifethread.runtime import materialize
 
 STEP = 16
@@ -367,6 +367,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without any hit of their own; rows are told apart by id and a 64-bit hash of the text."""
-    bad = row_hits(docs, benchmark, **options).select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_text")).distinct()
+    of, of_text = free_names(docs, "of", "of_text")
+    bad = row_hits(docs, benchmark, **options).select(F.col("doc_id").alias(of), F.col("text_hash").alias(of_text)).distinct()
     bad = materialize(bad, "contaminated")
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("of")) & (F.expr(_TEXT_HASH) == F.col("of_text")), "left_anti")
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.expr(_TEXT_HASH) == F.col(of_text)), "left_anti")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lifethread.llm.arrays import Rolling, Words, map_arrow, map_pieces, mix, runs
+from lifethread.llm.arrays import Rolling, Words, free_names, map_arrow, map_pieces, mix, runs
 from lifethread.llm.graph import components
 from lifethread.runtime import materialize
 
@@ -274,19 +274,18 @@ def _cut(rows: DataFrame, key: str, band: Column, many: Column, below: Column, o
     return rows.withColumn("units", F.when(many <= most, F.array(entry(F.col(key), no, no))).otherwise(F.concat(same, up, down)))
 
 
-def _classed(docs: DataFrame, size: int, least: Fraction, block: int, key: Column | None = None) -> DataFrame:
-    """doc_id, n, node (name of the set, null if empty), root (name of its component), links, and ``key`` where one is given, of every row."""
+def _classed(docs: DataFrame, size: int, least: Fraction, block: int) -> DataFrame:
+    """doc_id, n, node (name of the set, null if empty), root (name of its component), links, and ``key`` (a hash of the text) of every row."""
     sim = Similarity(least)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([] if key is None else [key.alias("key")]))
-    carried = [] if key is None else ["key"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("key"))
 
     def name(batch: pa.RecordBatch, words: Words) -> dict:
         sets = shingle_sets(words, size)
         return {"doc_id": batch.column("doc_id"), "n": [len(s) for s in sets], "node": [_node(s) if len(s) else None for s in sets],
-                "parts": [_parts(s).tobytes() if len(s) else None for s in sets], **{c: batch.column(c) for c in carried}}
+                "parts": [_parts(s).tobytes() if len(s) else None for s in sets], "key": batch.column("key")}
 
-    stored = materialize(map_pieces(rows, name, ", ".join(["doc_id long, n long, node long, parts binary", *(f"{c} long" for c in carried)])), "jaccard-named")
-    named = stored.select("doc_id", "n", "node", *carried)
+    stored = materialize(map_pieces(rows, name, "doc_id long, n long, node long, parts binary, key long"), "jaccard-named")
+    named = stored.select("doc_id", "n", "node", "key")
     counts = rows.sparkSession.sparkContext.broadcast(hashed_counts(rows, size))  # 4 bytes times 2 ** SKETCH
 
     def prefixes(batch: pa.RecordBatch, words: Words) -> dict:
@@ -309,29 +308,35 @@ def _classed(docs: DataFrame, size: int, least: Fraction, block: int, key: Colum
     edges = map_arrow(compared, _candidates(sim), "a long, b long").distinct()
     clusters = materialize(components(edges, "jaccard-clusters").withColumnRenamed("root", "cluster"), "jaccard-cluster")
 
-    # One row of documents stands for each clustered set.
-    chosen = named.groupBy("node").agg(F.min(F.struct("doc_id", "n")).alias("x")).select("node", "x.doc_id", "x.n")
-    chosen = chosen.join(clusters, "node").select("cluster", "node", "n", F.col("doc_id").alias("of"))
+    # One row of documents stands for each clustered set, found again by its id and text; if possible one that no other row equals in both.
+    chosen = named.join(clusters, "node").groupBy("cluster", "node", "doc_id", "key").agg(F.first("n").alias("n"), F.count("*").alias("rows"))
+    best = F.struct((F.col("rows") > 1).alias("again"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "n")
+    chosen = chosen.groupBy("cluster", "node").agg(F.min(best).alias("x")).select("cluster", "node", "x.n", F.col("x.doc_id").alias("of"), F.col("x.key").alias("of_key"), "x.again")
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(sim.q / sim.p)) + 1e-9).cast("int") if sim.p < sim.q else F.col("n").cast("int")
     chosen = materialize(chosen.withColumn("band", band), "jaccard-chosen")
     bands = chosen.groupBy("cluster", "band").agg(F.count("*").alias("in_band"))
     total = bands.groupBy("cluster").agg(F.sum("in_band").alias("in_cluster"), F.map_from_entries(F.collect_list(F.struct("band", "in_band"))).alias("bands"))
     total = materialize(total.withColumnRenamed("cluster", "at"), "jaccard-bands")
-    cut = chosen.join(total, F.col("cluster") == F.col("at")).select("of", "node", "cluster", "band", "in_cluster", *(
+    cut = chosen.join(total, F.col("cluster") == F.col("at")).select("of", "of_key", "again", "node", "cluster", "band", "in_cluster", *(
         F.ceil(F.coalesce(F.try_element_at("bands", F.col("band") + k), F.lit(0)) / block).cast("int").alias(f"blocks{k + 1}") for k in (-1, 0, 1)))
     mine = F.pmod(F.xxhash64("node"), F.greatest("blocks1", F.lit(1))).cast("int")
     cut = materialize(cut.withColumn("mine", mine), "jaccard-cut")
 
     cut = _cut(cut, "cluster", F.col("band"), F.col("in_cluster"), F.col("blocks0"), F.col("blocks1"), F.col("blocks2"), 2 * block)
-    wanted = cut.select("of", F.col("node").alias("node_of"), "units")
+    wanted = cut.select("of", "of_key", "again", F.col("node").alias("node_of"), "units")
 
     def resets(batch: pa.RecordBatch, words: Words) -> dict:
         sets, nodes = shingle_sets(words, size), batch.column("node_of").to_pylist()
-        keep = [k for k, s in enumerate(sets) if len(s) and _node(s) == nodes[k]]  # another row may have the same id
-        return {"node": [nodes[k] for k in keep], "shingles": [sets[k].tobytes() for k in keep], "units": batch.column("units").take(keep)}
+        keep = [k for k, s in enumerate(sets) if len(s) and _node(s) == nodes[k]]  # texts of equal hash may differ
+        return {"node": [nodes[k] for k in keep], "shingles": [sets[k].tobytes() for k in keep], "units": batch.column("units").take(pa.array(keep, pa.int64()))}
 
     kind = "array<struct<unit:bigint,pair:boolean,side:boolean>>"
-    full = map_pieces(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("of"))).select("text", "node_of", "units"), resets, f"node long, shingles binary, units {kind}")
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key"))
+    found = rows.join(wanted.filter("NOT again"), same).select("text", "node_of", "units")
+    repeated = wanted.filter("again").drop("again")
+    if not repeated.isEmpty():  # equal rows: one of each
+        found = found.unionByName(rows.join(repeated, same).dropDuplicates(["node_of"]).select("text", "node_of", "units"))
+    full = map_pieces(found, resets, f"node long, shingles binary, units {kind}")
     sent = full.select("node", "shingles", F.explode("units").alias("u")).select("node", "shingles", "u.unit", "u.pair", "u.side")
     ready = sent.repartition(F.col("unit")).sortWithinPartitions("unit", "node")
 
@@ -342,7 +347,7 @@ def _classed(docs: DataFrame, size: int, least: Fraction, block: int, key: Colum
     groups = components(linked.select(F.col("node").alias("a"), F.col("head").alias("b")), "jaccard-groups")
     degree = linked.groupBy("node").agg(F.sum("links").alias("links"))
     known = materialize(groups.join(degree, "node", "left").select(F.col("node").alias("node_of"), "root", "links"), "jaccard-known")
-    classed = named.join(known, F.col("node") == F.col("node_of"), "left").select("doc_id", "n", "node", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), *carried)
+    classed = named.join(known, F.col("node") == F.col("node_of"), "left").select("doc_id", "n", "node", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), "key")
     return materialize(classed, "jaccard-classed")
 
 
@@ -359,15 +364,16 @@ def one_of_each(docs: DataFrame, size: int = 5, least: Fraction = Fraction(4, 5)
 
     Rows are told apart by id and a 64-bit hash of the text, so rows that share an id, or have none, are decided each by itself."""
     key = F.xxhash64(F.col("text").cast("string"))
-    classed = _classed(docs, size, least, BLOCK, key).filter("root IS NOT NULL")
+    of, of_key = free_names(docs, "of", "of_key")
+    classed = _classed(docs, size, least, BLOCK).filter("root IS NOT NULL")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     first = classed.groupBy(F.col("root").alias("of_root")).agg(F.min(rank).alias("first"))
     places = classed.groupBy("root", "doc_id", "key").agg(F.count("*").alias("many"))
-    placed = places.join(first, F.col("root") == F.col("of_root")).select(F.col("doc_id").alias("of"), F.col("key").alias("of_key"), "many", (rank == F.col("first")).alias("stays"))
+    placed = places.join(first, F.col("root") == F.col("of_root")).select(F.col("doc_id").alias(of), F.col("key").alias(of_key), (rank == F.col("first")).alias("stays"), "many")
     placed = materialize(placed.filter("NOT stays OR many > 1"), "jaccard-places")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("of")) & (key == F.col("of_key"))
-    again = placed.filter("stays")
+    again, placed = placed.filter("stays").select(of, of_key), placed.select(of, of_key)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (key == F.col(of_key))
     if again.isEmpty():
         return docs.join(placed, same, "left_anti")
-    once = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", key).join(again, same, "left_semi").dropDuplicates(["__id", "__key"])
-    return docs.join(placed, same, "left_anti").unionByName(once.drop("__id", "__key"))
+    once = docs.join(again, same, "left_semi").withColumn(of, F.col("doc_id").cast("long")).withColumn(of_key, key).dropDuplicates([of, of_key])
+    return docs.join(placed, same, "left_anti").unionByName(once.drop(of, of_key))

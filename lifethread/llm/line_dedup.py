@@ -106,33 +106,35 @@ def index_lines(docs: DataFrame, min_chars: int = 40, batches: int = 4, fanout:
 
 
 def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` of every row with ``__lines`` (before) and ``__kept`` (after), both arrays.
+    """Columns ``keep`` of every row as ``keep_<name>``, with ``had_text``, and the arrays ``lines`` (before) and ``kept`` (after).
 
     Lines whose key has at least ``min_chars`` code points and is in at least ``min_docs`` documents go, except in the largest id that holds it.
     """
     records, index = index_lines(docs, min_chars, batches, fanout)
     common = materialize(index.totals().filter(F.col("docs") >= min_docs).select("h", "last"), "lines-common")  # a plain table, so that Spark can split a very common line
-    doomed = records.join(common, "h").filter(~F.col("doc_id").eqNullSafe(F.col("last"))).groupBy("doc_id").agg(F.collect_set("h").alias("__drop"))
-    doomed = doomed.withColumnRenamed("doc_id", "__id")
-    rows = docs.select(*keep, F.col("doc_id").cast("long").alias("__doc"), lines_of(F.col("text")).alias("__lines"))
-    both = rows.join(doomed, F.col("__doc").eqNullSafe(F.col("__id")), "left")
-    kept = F.filter("__lines", lambda x: ~F.array_contains(F.col("__drop"), _hash(line_key(x))))
-    return both.select(*keep, "__lines", F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(kept).alias("__kept"))
+    doomed = records.join(common, "h").filter(~F.col("doc_id").eqNullSafe(F.col("last"))).groupBy("doc_id").agg(F.collect_set("h").alias("drop"))
+    doomed = doomed.withColumnRenamed("doc_id", "of")
+    kept_as = [f"`keep_{k}`" for k in keep]
+    rows = docs.select(*(F.col(f"`{k}`").alias(f"keep_{k}") for k in keep), F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("body"))
+    both = rows.join(doomed, F.col("doc").eqNullSafe(F.col("of")), "left").select(*kept_as, lines_of(F.col("body")).alias("lines"), F.col("body").isNotNull().alias("had_text"), "drop")
+    kept = F.filter("lines", lambda x: ~F.array_contains(F.col("drop"), _hash(line_key(x))))
+    return both.select(*kept_as, "had_text", "lines", F.when(F.col("drop").isNull(), F.col("lines")).otherwise(kept).alias("kept"))
 
 
 def line_dedup_digest(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of ``drop_lines``."""
     size = lambda c: F.size(c).cast("long")
     return drop_lines(docs, **options).select(
-        "doc_id", size("__lines").alias("n_lines"), (size("__lines") - size("__kept")).alias("n_dropped"),
-        F.sha2(F.array_join("__kept", "\n").cast("binary"), 256).alias("kept_sha256"))
+        F.col("keep_doc_id").alias("doc_id"), size("lines").alias("n_lines"), (size("lines") - size("kept")).alias("n_dropped"),
+        F.sha2(F.array_join("kept", "\n").cast("binary"), 256).alias("kept_sha256"))
 
 
 def line_dedup(docs: DataFrame, **options) -> DataFrame:
     """The documents with the columns they came with; ``text`` holds the kept lines, ``n_chars`` (if there) its new length."""
-    out = drop_lines(docs, keep=tuple(docs.columns), **options).withColumn("__text", F.when(F.col("text").isNotNull(), F.array_join("__kept", "\n")))
-    new = {"text": F.col("__text"), "n_chars": F.char_length("__text").cast("long")}
-    return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+    out = drop_lines(docs, keep=tuple(c for c in docs.columns if c != "text"), **options)
+    text = F.when(F.col("had_text"), F.array_join("kept", "\n"))
+    new = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return out.select(*((new[c] if c in new else F.col(f"`keep_{c}`")).alias(c) for c in docs.columns))
 
 
 ORACLE = """

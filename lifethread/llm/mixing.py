@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lifethread.llm.arrays import BLANKS
+from lifethread.llm.arrays import BLANKS, free_names
 from lifethread.runtime import materialize
 
 WEIGHTS = (3, 1, 2)
@@ -164,15 +164,18 @@ def mix_digest(docs: DataFrame, **options) -> DataFrame:
 
 def mix_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     """The mixed corpus: the columns of ``docs`` once per copy, with ``mix_copy``, ``mix_words`` (words of the text that the copy uses, from its
-    start), ``mix_shard`` and ``mix_order`` (its place inside the shard, ascending)."""
+    start), ``mix_shard`` and ``mix_order`` (its place inside the shard, ascending). Columns of these names that ``docs`` has are replaced."""
+    docs = docs.drop("mix_copy", "mix_words", "mix_shard", "mix_order")
+    of_id, of_source, of_size, held, many, at = free_names(docs, "of_id", "of_source", "of_size", "held", "many", "at")
     drawn = mix(docs, seed=seed, **options).select(
-        F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), "passes", "rest", "shards").filter(F.size("shards") > 0)
-    drawn = drawn.groupBy("mix_id", "mix_source", "mix_size").agg(F.flatten(F.collect_list(F.transform("shards", lambda s, i: F.struct(
-        s.alias("shard"), F.when(i < F.col("passes"), F.col("mix_size")).otherwise(F.col("rest")).alias("words"))))).alias("mix_copies"), F.count("*").alias("mix_rows"))
-    same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (word_count(F.col("text")) == F.col("mix_size"))
-    number = Window.partitionBy("mix_id", "mix_source", "mix_size").orderBy(F.lit(0))
+        F.col("doc_id").alias(of_id), F.col("source").alias(of_source), F.col("size").alias(of_size), "passes", "rest", "shards").filter(F.size("shards") > 0)
+    drawn = drawn.groupBy(of_id, of_source, of_size).agg(F.flatten(F.collect_list(F.transform("shards", lambda s, i: F.struct(
+        s.alias("shard"), F.when(i < F.col("passes"), F.col(of_size)).otherwise(F.col("rest")).alias("words"))))).alias(held), F.count("*").alias(many))
+    same = F.col("doc_id").eqNullSafe(F.col(of_id)) & F.col("source").eqNullSafe(F.col(of_source)) & (word_count(F.col("text")) == F.col(of_size))
+    number = Window.partitionBy(of_id, of_source, of_size).orderBy(F.lit(0))
     rows = docs.join(drawn, same)
-    repeated = rows.filter("mix_rows > 1").withColumn("mix_copies", F.filter("mix_copies", lambda c, i: i % F.col("mix_rows") == F.row_number().over(number) - 1))
-    copies = rows.filter("mix_rows = 1").unionByName(repeated).select(*docs.columns, F.posexplode("mix_copies").alias("mix_copy", "mix_at"))
-    return copies.select(*docs.columns, "mix_copy", F.col("mix_at.words").alias("mix_words"), F.col("mix_at.shard").alias("mix_shard"),
+    repeated = rows.filter(F.col(many) > 1).withColumn(held, F.filter(held, lambda c, i: i % F.col(many) == F.row_number().over(number) - 1))
+    columns = [f"`{c}`" for c in docs.columns]
+    copies = rows.filter(F.col(many) == 1).unionByName(repeated).select(*columns, F.posexplode(held).alias("mix_copy", at))
+    return copies.select(*columns, "mix_copy", F.col(f"{at}.words").alias("mix_words"), F.col(f"{at}.shard").alias("mix_shard"),
                          F.xxhash64(F.lit(seed + 5), "doc_id", "mix_copy").alias("mix_order"))

@@ -8,7 +8,7 @@ any number of parts. Files may be gzip streams (``.gz``). ``write_tokens`` makes
 A document may begin with ``header`` ids that are not counted; the writer puts the document's number there (digits of 13 bits, none of which is
 ``eod``), as the files have no other place for it.
 
-Defined results: null and empty texts are documents of no token; a null number is written as -1 and read as null; a last document without separator is
+Defined results: null and empty texts are documents of no token; a null number has a bit of its own and is read as null; a last document without separator is
 reported with ``closed`` false; repeated ids give a row each; an empty table or folder gives an empty result; extra columns are not read.
 """
 
@@ -64,8 +64,8 @@ def tokenize(text: str, path: str, piece: int = 1 << 16) -> np.ndarray:
 
 
 def _number(doc_id: int | None) -> list[int]:
-    """-1 for null; negative numbers in two's complement."""
-    n = (-1 if doc_id is None else doc_id) & ((1 << (_DIGIT * _DIGITS)) - 1)
+    """64 bits in two's complement, and one bit more that only null has."""
+    n = 1 << 64 if doc_id is None else doc_id & ((1 << 64) - 1)
     return [(n >> (_DIGIT * k)) & ((1 << _DIGIT) - 1) for k in range(_DIGITS)]
 
 
@@ -147,4 +147,5 @@ def document_counts(docs: DataFrame, vocabulary_path: str | None = None) -> Data
     for k in range(1, _DIGITS):
         number = number.bitwiseOR(digit(k))
     found = count_tokens(spark, path, header=_DIGITS)
-    return found.select(F.when(number != -1, number).alias("doc_id"), F.col("n_tokens").cast("long").alias("n_tokens"))
+    null = F.element_at("head", _DIGITS) >= 1 << (64 - _DIGIT * (_DIGITS - 1))
+    return found.select(F.when(~null, number).alias("doc_id"), F.col("n_tokens").cast("long").alias("n_tokens"))

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -198,7 +199,7 @@ def toxic_passages(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
     def find(rows, words: Words) -> dict:
         out = [(d, a, b, s, e) for d, n, segments in scan(words, model) for a, b, s in segments if (e := float(model.excess(max(n, 1), s))) > 0]
-        ids = rows.column("doc_id").take([x[0] for x in out])
+        ids = rows.column("doc_id").take(pa.array([x[0] for x in out], pa.int64()))
         return {"doc_id": ids, **{k: [x[i] for x in out] for i, k in enumerate(("first_word", "last_word", "score", "excess"), 1)}}
 
     return map_pieces(_narrow(docs), find, "doc_id long, first_word long, last_word long, score double, excess double")
