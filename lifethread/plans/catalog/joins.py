@@ -209,11 +209,14 @@ def _(t: Tables) -> DataFrame:
     return events.unionByName(links.voice_pending(t.speech, store).select("event_id", F.lit("voices").alias("step")))
 
 
-_CHUNK_VECS = "chunk AS (SELECT t.*, CAST(v.embedding AS DOUBLE[]) AS vec FROM m_turn t JOIN embeddings v ON v.vec_id = t.recording_id * 5 + t.pos)"
+_CHUNK_VECS = "chunk AS (SELECT t.*, CAST(v.embedding AS DOUBLE[]) AS vec FROM m_turn t JOIN embeddings v ON v.vec_id = (t.recording_id * 5 + t.pos) % (SELECT count(*) FROM embeddings))"
 
 
 def voiced_turns(t: Tables) -> DataFrame:
-    return t.turn.withColumn("id", F.col("recording_id") * 5 + F.col("pos")).join(t.vectors.select("id", "vec"), "id")
+    """All turns with a vector each; the vectors, numbered from 0, are dealt round."""
+    known = t.vectors.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    turns = t.turn.withColumns({"id": F.col("recording_id") * 100 + F.col("pos"), "_at": F.pmod(F.col("recording_id") * 5 + F.col("pos"), known)})
+    return turns.join(t.vectors.select(F.col("id").alias("_at"), "vec"), "_at").drop("_at")
 
 
 @query("J16_visual_speaker_vectors", f"""

@@ -77,12 +77,12 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("W8_union_intervals", """
-    WITH u AS (SELECT recording_id, start, "end" FROM m_turn WHERE label <> 'none' UNION ALL SELECT recording_id, start, "end" FROM m_face WHERE label = 'f1'),
+    WITH u AS (SELECT recording_id, start, "end" FROM m_turn WHERE label <> 'none' UNION ALL SELECT recording_id, start, "end" FROM m_face),
     r AS (SELECT *, max("end") OVER (PARTITION BY recording_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM u),
     i AS (SELECT *, sum(CASE WHEN reach IS NULL OR reach < start THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM r)
     SELECT recording_id, round(min(start), 6) AS start, round(max("end"), 6) AS "end" FROM i GROUP BY recording_id, island""")
 def _(t: Tables) -> DataFrame:
-    got = intervals.union_intervals(t.turn.where("label <> 'none'"), t.face.where("label = 'f1'"))
+    got = intervals.union_intervals(t.turn.where("label <> 'none'"), t.face)
     return got.select("recording_id", r6("start").alias("start"), r6("end").alias("end"))
 
 
@@ -169,14 +169,14 @@ def _(t: Tables) -> DataFrame:
 
 @query("W17_topk_crops", """
     WITH d AS (SELECT participant, day, k AS t, value AS score, event_id, false AS from_tracking FROM m_event WHERE event_type IN ('click', 'view')),
-    f AS (SELECT participant, day, k AS t, value AS score, event_id, true AS from_tracking FROM m_event WHERE event_type IN ('error', 'signup')),
+    f AS (SELECT participant, day, k AS t, value AS score, event_id, true AS from_tracking FROM m_event WHERE event_type NOT IN ('click', 'view')),
     u AS (SELECT * FROM d UNION ALL SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.participant = f.participant AND d.day = f.day AND d.t = f.t)),
     r AS (SELECT *, row_number() OVER (PARTITION BY participant, day ORDER BY from_tracking, score DESC, t, event_id) AS crop_rank FROM u)
     SELECT participant, day, t, event_id, from_tracking, crop_rank FROM r WHERE crop_rank <= 3""")
 def _(t: Tables) -> DataFrame:
     rows = t.event.select("participant", "day", F.col("k").alias("t"), F.col("value").alias("score"), "event_id", "event_type")
     got = history.topk_crops(
-        rows.where("event_type IN ('click', 'view')"), rows.where("event_type IN ('error', 'signup')"), keys=["participant", "day"], order=["event_id"]
+        rows.where("event_type IN ('click', 'view')"), rows.where("event_type NOT IN ('click', 'view')"), keys=["participant", "day"], order=["event_id"]
     )
     return got.select("participant", "day", "t", "event_id", "from_tracking", "crop_rank")
 

@@ -178,10 +178,13 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("E1_embed", """
-    SELECT doc_id, 256 AS dimensions, CASE WHEN lang = 'es' OR NOT regexp_matches(text, '[\\p{L}\\p{N}]') THEN 0.0::DOUBLE ELSE 1.0 END AS norm FROM documents""")
+    SELECT doc_id, 256 AS dimensions, CASE WHEN NOT regexp_matches(text, '[\\p{L}\\p{N}]') THEN 0.0::DOUBLE ELSE 1.0 END AS norm FROM documents
+    UNION ALL SELECT -1 - doc_id, 256, 0.0::DOUBLE FROM documents WHERE lang = 'es'""")
 def _(t: Tables) -> DataFrame:
-    docs = t.read("documents").select("doc_id", F.when(F.col("lang") == "es", " ").otherwise(F.col("text")).alias("text"))
-    got = embedding.embed(docs, "doc_id", "text")
+    """All documents, and blank rows beside them."""
+    docs = t.read("documents").select("doc_id", "text", "lang")
+    blank = docs.where("lang = 'es'").select((-1 - F.col("doc_id")).alias("doc_id"), F.lit(" \n").alias("text"))
+    got = embedding.embed(docs.select("doc_id", "text").unionByName(blank), "doc_id", "text")
     return got.select("doc_id", F.size("vec").alias("dimensions"), F.round(vectors.norm(F.col("vec")), 4).alias("norm"))
 
 

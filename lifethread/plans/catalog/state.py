@@ -185,7 +185,9 @@ def _(t: Tables) -> DataFrame:
     media = t.speech.groupBy("event_id").agg(F.max("end_time").alias("media_duration"))
     events = media.select("event_id", (F.col("event_id") % 12).alias("participant"), F.col("event_id").cast("double").alias("t_sec"), "media_duration")
     seeds = t.speech.select("event_id", F.coalesce("speaker", F.lit("null_0")).alias("speaker"), "pos").groupBy("event_id", "speaker").agg(F.min("pos").alias("pos"))
-    vecs = seeds.withColumn("id", F.col("event_id") * 5 + F.col("pos")).join(t.vectors.select("id", "vec"), "id").select("event_id", "speaker", "vec")
+    known = t.vectors.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    dealt = seeds.withColumn("id", F.pmod(F.col("event_id") * 5 + F.col("pos"), known))
+    vecs = dealt.join(t.vectors.select("id", "vec"), "id").select("event_id", "speaker", "vec")
     speech, _ = pipelines.voice_pipeline(t.speech, speech_objects(t), vecs, events, rules=VOICE_RULES)
     return speech.select("event_id", "pos", "speaker", "global_voice")
 
