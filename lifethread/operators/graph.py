@@ -163,8 +163,11 @@ def expand(
 
     Before the last step each node offers only the events that can still make the limit: with L results
     wanted, one time excluded (the core's) and at most ``hops`` neighbours lost to used edges, the first
-    L + hops + 1 times with L + hops events each. So a popular entity offers a bounded list, whatever its
-    degree, and the result is the same as after walking all pairs.
+    L + hops + 1 times with L + hops events each. With three hops the nodes next to the cores offer what is two
+    steps away, each event with the lowest and the highest edge that leads to it: the one edge used before cannot take
+    more than one neighbour's offers away, so twice the times and events are enough. So a popular entity is looked at
+    once for all questions and offers a bounded list, whatever its degree, and the result is the same as after walking
+    all pairs. Only nodes that a question reaches offer anything. More than three hops are walked.
 
     ``core`` has qid, event_id; ``events`` has event_id, t_sec; ``edges`` has src, dst, type (ids of one kind).
     """
@@ -178,12 +181,7 @@ def expand(
     walk = both_ways(walk)
     time = events.select(F.col("event_id").alias("dst"), F.col("t_sec").alias("dst_t"))
     ending = walk.join(time, "dst")
-
     spare = limit + hops
-    offers = ending.select("src", "dst", "dst_t", *(["_edge"] if trail else [])).distinct()
-    offers = best_rows(offers, ["src", "dst_t"], [F.col("dst")], spare)
-    by_time = F.dense_rank().over(Window.partitionBy("src").orderBy(F.col("dst_t").desc()))
-    offers = offers.withColumn("_time", by_time).where(F.col("_time") <= spare + 1).drop("_time")
 
     start = core.select("qid", F.col("event_id").alias("core")).distinct()
     start = start.join(events.select(F.col("event_id").alias("core"), F.col("t_sec").alias("core_t")), "core")
@@ -191,15 +189,23 @@ def expand(
     first = start.join(walk.withColumnRenamed("src", "core"), "core").select(
         "qid", "core", "core_t", F.col("dst").alias("node"), F.col("type").alias("relation_type"), *used
     ).distinct()
+    if trail:
+        first = materialize(first, "first")
+    asked = first.select(F.col("node").alias("src")).distinct() if hops < 4 else None
+    offers = _offers(ending, asked, spare, ["_edge"] if trail else [])
 
     keep = ["qid", "core", "core_t", "relation_type"]
     near = first.join(time.select(F.col("dst").alias("node"), "dst_t"), "node").select(*keep, F.col("node").alias("neighbour"), "dst_t")
     found, front = [near], first
     for hop in range(2, hops + 1):
         fresh = ~F.array_contains("_used", F.col("_edge")) if trail else F.lit(True)
-        last = front.join(offers.withColumnRenamed("src", "node"), "node").where(fresh)
+        if hops == hop == 3:
+            two = _offers_of_two(walk.join(asked, "src", "left_semi"), ending, spare)
+            last = first.withColumn("_e", F.get("_used", F.lit(0))).join(two, "node").where("_low <> _e OR _high <> _e")
+        else:
+            last = front.join(offers.withColumnRenamed("src", "node"), "node").where(fresh)
         found.append(last.select(*keep, F.col("dst").alias("neighbour"), "dst_t"))
-        if hop < hops:
+        if hop < hops and hops > 3:
             onward = walk.select(F.col("src").alias("node"), F.col("dst").alias("_to"), "_edge")
             front = (
                 front.join(onward, "node").where(~F.array_contains("_used", F.col("_edge")))
@@ -211,6 +217,28 @@ def expand(
     return best_rows(reached, scope, order, limit, rank="rank").drop("core_t").withColumnRenamed("dst_t", "t_sec")
 
 
+def _offers(ending: DataFrame, nodes: DataFrame | None, spare: int, more: Sequence[str] = ()) -> DataFrame:
+    """(src, dst, dst_t): the events next to a node, of its newest ``spare + 1`` times, ``spare`` of each; ``nodes`` (src) are those asked for."""
+    rows = (ending if nodes is None else ending.join(nodes, "src", "left_semi")).select("src", "dst", "dst_t", *more).distinct()
+    rows = best_rows(rows, ["src", "dst_t"], [F.col("dst")], spare)
+    by_time = F.dense_rank().over(Window.partitionBy("src").orderBy(F.col("dst_t").desc()))
+    return rows.withColumn("_time", by_time).where(F.col("_time") <= spare + 1).drop("_time")
+
+
+def _offers_of_two(steps: DataFrame, ending: DataFrame, spare: int) -> DataFrame:
+    """(node, dst, dst_t, _low, _high): events two steps from the nodes that ``steps`` start from, with the lowest and highest edge of the first step.
+
+    A second step back along the first leads to the node itself, which it is no event of its own to; a second step along the edge that led to
+    the node leads to the core or the node. So only the first step has to differ from the edge used before.
+    """
+    steps = steps.select(F.col("src").alias("node"), F.col("dst").alias("_via"), "_edge")
+    via = _offers(ending, steps.select(F.col("_via").alias("src")).distinct(), spare).withColumnRenamed("src", "_via")
+    met = steps.join(via, "_via").where("dst <> node").groupBy("node", "dst", "dst_t").agg(F.min("_edge").alias("_low"), F.max("_edge").alias("_high"))
+    met = best_rows(met, ["node", "dst_t"], [F.col("dst")], 2 * spare)
+    by_time = F.dense_rank().over(Window.partitionBy("node").orderBy(F.col("dst_t").desc()))
+    return met.withColumn("_time", by_time).where(F.col("_time") <= 2 * (spare + 1)).drop("_time")
+
+
 def node_by_id(nodes: DataFrame, node_id: str) -> DataFrame:
     """One node."""
     return nodes.where(F.col("id") == node_id)

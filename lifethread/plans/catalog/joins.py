@@ -322,6 +322,25 @@ def _(t: Tables) -> DataFrame:
     return got.select("qid", "core", "neighbour", "relation_type", F.round("t_sec", 2).alias("t_sec"), "rank")
 
 
+@query("G4_expand_three", """
+    WITH ev AS (SELECT concat('e', CAST(event_id AS VARCHAR)) AS id, t_sec FROM m_event),
+    core AS (SELECT concat('e', CAST(v.event_id AS VARCHAR)) AS core, e.t_sec AS core_t, e.participant AS qid FROM m_vec v JOIN m_event e ON e.event_id = v.event_id),
+    ed AS (SELECT src, dst, type, row_number() OVER (ORDER BY src, dst, type) AS e FROM m_edge),
+    adj AS MATERIALIZED (SELECT src AS a, dst AS b, type, e FROM ed UNION ALL SELECT dst, src, type, e FROM ed),
+    one AS (SELECT c.*, a.b AS n, a.type AS relation_type, a.e AS e1 FROM core c JOIN adj a ON a.a = c.core),
+    two AS (SELECT DISTINCT o.qid, o.core, o.core_t, o.relation_type, o.e1, a.e AS e2, a.b AS n FROM one o JOIN adj a ON a.a = o.n WHERE a.e <> o.e1),
+    three AS (SELECT DISTINCT o.qid, o.core, o.core_t, o.relation_type, a.b AS n FROM two o JOIN adj a ON a.a = o.n WHERE a.e <> o.e1 AND a.e <> o.e2),
+    reach AS (SELECT qid, core, core_t, relation_type, n FROM one UNION SELECT qid, core, core_t, relation_type, n FROM two UNION SELECT * FROM three),
+    hits AS (SELECT r.*, e.t_sec FROM reach r JOIN ev e ON e.id = r.n WHERE e.t_sec <> r.core_t),
+    ranked AS (SELECT qid, core, n AS neighbour, relation_type, t_sec, row_number() OVER (PARTITION BY qid, core ORDER BY t_sec DESC, n, relation_type) AS rank FROM hits)
+    SELECT qid, core, neighbour, relation_type, round(t_sec, 2) AS t_sec, rank FROM ranked WHERE rank <= 10""")
+def _(t: Tables) -> DataFrame:
+    """Three steps from every event with a vector; entities have a twentieth to a tenth of all events each."""
+    named = t.event.join(t.vec.select("event_id"), "event_id", "left_semi").select(F.col("participant").alias("qid"), t.eid("event_id").alias("event_id"))
+    got = graph.expand(named, graph_events(t), t.edge, hops=3, limit=10)
+    return got.select("qid", "core", "neighbour", "relation_type", F.round("t_sec", 2).alias("t_sec"), "rank")
+
+
 @query("G5_lookups", """
     SELECT v.label AS cluster_id, e.event_id, round(e.t_sec, 2) AS t_sec, 'member' AS kind FROM m_vec v JOIN m_event e ON e.event_id = v.event_id WHERE e.t_sec <= 1500000
     UNION ALL SELECT NULL, e.event_id, round(e.t_sec, 2), 'embedded' FROM m_vec v JOIN m_event e ON e.event_id = v.event_id

@@ -137,3 +137,38 @@ def test_three_hops_use_no_edge_twice(spark):
     assert got(1) == [] and got(2) == [("b", "INVOLVES")] and got(3) == [("b", "INVOLVES"), ("c", "INVOLVES")]
     core = spark.createDataFrame([("q", "b")], "qid string, event_id string")
     assert got(3) == [("a", "INVOLVES"), ("c", "NEXT_EVENT"), ("d", "NEXT_EVENT")]
+
+
+@pytest.mark.parametrize("scope", ["per_core", "global"])
+def test_three_hops_against_walking(spark, scope):
+    """Many small graphs with hubs, parallel edges, loops and equal times: bounded offers give what all trails give."""
+    rng = np.random.default_rng(11)
+    events, edges, cores = [], [], []
+    for g in range(25):
+        n = int(rng.integers(4, 14))
+        t = {f"g{g}e{i}": float(rng.integers(0, 6)) for i in range(n)}
+        names = [*t, f"g{g}x", f"g{g}y"]
+        events += t.items()
+        cores += [(g, e) for e in list(t)[: 1 + g % 3]]
+        for _ in range(int(rng.integers(n, 4 * n))):
+            a, b = rng.integers(0, len(names), 2)
+            edges.append((names[a] if rng.random() < 0.6 else f"g{g}x", names[b], f"T{rng.integers(0, 3)}"))
+    near = {}
+    for i, (a, b, kind) in enumerate(edges):
+        near.setdefault(a, []).append((b, kind, i))
+        near.setdefault(b, []).append((a, kind, i))
+    time, want = dict(events), {}
+    for q, c in cores:
+        seen = set()
+        for b, kind, e1 in near.get(c, []):
+            seen.add((b, kind))
+            for d, _, e2 in near[b]:
+                if e2 != e1:
+                    seen.add((d, kind))
+                    seen |= {(z, kind) for z, _, e3 in near[d] if e3 not in (e1, e2)}
+        rows = [(-time[z], z, kind, c) for z, kind in seen if z in time and time[z] != time[c]]
+        want.setdefault((q, c) if scope == "per_core" else q, []).extend(rows)
+    expected = sorted((z, kind, c) for rows in want.values() for _, z, kind, c in sorted(set(rows))[:3])
+    frame = lambda rows, ddl: spark.createDataFrame(rows, ddl).repartition(3)
+    got = graph.expand(frame(cores, "qid int, event_id string"), frame(events, "event_id string, t_sec double"), frame(edges, "src string, dst string, type string"), 3, 3, scope)
+    assert sorted((r["neighbour"], r["relation_type"], r["core"]) for r in got.collect()) == expected
