@@ -26,8 +26,8 @@ INTENT_RULES = {
     "person": rf"(?i){_EDGE[0]}(who|whom|whose|person|people|someone|anyone|everyone|name[ds]?|speak\p{{L}}*|said){_EDGE[1]}",
 }
 
-FENCE_JSON = r"(?s)```json\s*(.*?)\s*```"
-FENCE_ANY = r"(?s)```\s*(.*?)\s*```"
+FENCE_JSON = r"(?s)```json\s*(.*?)\s*(?:```|$)"
+FENCE_ANY = r"(?s)```\s*(.*?)\s*(?:```|$)"
 
 
 def edge_type(relation: Column) -> Column:
@@ -46,7 +46,8 @@ def valid_judgments(df: DataFrame, col: str = "type") -> DataFrame:
 
 
 def _json_text(raw: Column) -> Column:
-    """The JSON inside a model response: the text itself, a json fence, or any fence."""
+    """The JSON inside a model response: the text itself, a json fence, or any fence; an unclosed fence runs to the end. Later ones are
+    looked at only where the one before is no JSON."""
     tries = [F.trim(raw), F.regexp_extract(raw, FENCE_JSON, 1), F.regexp_extract(raw, FENCE_ANY, 1)]
     return F.coalesce(*[F.when(F.try_parse_json(t).isNotNull() & (t != ""), t) for t in tries])
 

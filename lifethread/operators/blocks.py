@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lifethread.runtime import ship
+
 # A side may be sent to all tasks when it has at most this many vector elements (64 MB as doubles).
 SENT_ELEMENTS = 8_000_000
 SENT_ROWS = 200_000
@@ -106,6 +108,7 @@ def block_apply(
     Rows of one ``unit`` value of the corpus (default: its id) stay in one block. With ``by`` only rows of
     equal ``by`` meet. The result holds each query once per corpus block; the caller picks the best.
     """
+    ship(queries.sparkSession)
     schema = to_arrow_schema(T.StructType.fromDDL(out_schema))
     names = schema.names
     q = queries.select(*dict.fromkeys([qid, vec, *q_extra, *by]))

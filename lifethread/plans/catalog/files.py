@@ -141,6 +141,22 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+@query("S7_read_lists", """
+    SELECT 'key_value' AS kind, CAST(event_id AS VARCHAR) AS a, concat(caption, ' ', event_type) AS b FROM m_event
+    UNION ALL SELECT 'utt_spk', concat('utt', CAST(event_id AS VARCHAR)), CAST(participant AS VARCHAR) FROM m_event WHERE k % 4 <> 3
+    UNION ALL SELECT 'reject', NULL, CAST(count(*) AS VARCHAR) FROM m_event WHERE k % 4 = 3""")
+def _(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "s7")
+    t.event.select(F.concat_ws("  ", F.col("event_id").cast("string"), F.concat_ws(" ", "caption", "event_type")).alias("value")).write.text(f"{path}/wav")
+    speaker = F.concat_ws(" ", F.col("participant").cast("string"), F.when(F.col("k") % 4 == 3, "more"))
+    t.event.select(F.concat_ws("\t", F.concat(F.lit("utt"), F.col("event_id").cast("string")), speaker).alias("value")).write.text(f"{path}/utt")
+    pairs, _ = readers.read_manifest(t.spark, f"{path}/wav", "key_value")
+    spoken, bad = readers.read_manifest(t.spark, f"{path}/utt", "utt_spk")
+    named = lambda df, kind: df.toDF("a", "b").select(F.lit(kind).alias("kind"), "a", "b")
+    lost = bad.agg(F.count(F.lit(1)).cast("string").alias("b")).select(F.lit("reject").alias("kind"), F.lit(None).cast("string").alias("a"), "b")
+    return named(pairs, "key_value").unionByName(named(spoken, "utt_spk")).unionByName(lost)
+
+
 @query("S8_read_id_csv", "SELECT CAST(o_orderkey AS VARCHAR) AS ID, o_orderpriority AS priority, round(o_totalprice, 2) AS price FROM orders")
 def _(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "s8")
@@ -195,10 +211,16 @@ def _(t: Tables) -> DataFrame:
     return writers.read_edges(t.spark, path).where("type IN ('BELONGS_TO', 'CONTAINS')").select("src", "dst", "type")
 
 
-@query("S13_reset_graph", "SELECT label AS kind, count(*) AS n FROM m_entity GROUP BY 1")
+@query("S13_reset_graph", """
+    SELECT label AS kind, count(*) AS n FROM m_entity GROUP BY 1
+    UNION ALL SELECT CASE WHEN label = 'Person' THEN 'INVOLVES' ELSE 'NEAR' END, count(*) FROM m_entity GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
+    """Edges between entities stay, also those of a type that events have."""
     path = scratch_path(t.spark, "s13")
     _graph(t, path)
+    kind = F.when(F.col("label") == "Person", "INVOLVES").otherwise("NEAR")
+    tied = t.entity.select(F.col("global_name").alias("src"), F.lit("object_001").alias("dst"), kind.alias("type"), F.create_map().cast("map<string, string>").alias("props"))
+    writers.write_graph(writers.read_nodes(t.spark, path).limit(0), tied, path)
     writers.reset_graph(t.spark, path, "events")
     nodes, edges = writers.read_nodes(t.spark, path), writers.read_edges(t.spark, path)
     both = nodes.select(F.col("label").alias("kind")).unionByName(edges.select(F.col("type").alias("kind")))
@@ -228,6 +250,17 @@ def _(t: Tables) -> DataFrame:
     return t.spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("S15_write_segments_json", """
+    SELECT concat(CAST(recording_id AS VARCHAR), '/', CAST(pos AS VARCHAR)) AS id, round(start, 6) AS start, round("end", 6) AS stop, label AS speaker, true AS named FROM m_turn""")
+def _(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "s15")
+    turns = t.turn.withColumn("name", F.concat_ws("/", F.col("recording_id").cast("string"), F.col("pos").cast("string")))
+    writers.write_segments_json(turns, path, recording="name")
+    back = t.spark.read.json(path)
+    name = F.regexp_extract("id", r"^(.*)_[^_]*_[^_]*$", 1)
+    return back.select(name.alias("id"), F.round("start", 6).alias("start"), F.round("stop", 6).alias("stop"), "speaker", F.col("id").rlike(r"_-?\d+\.\d+_\d+\.\d+$").alias("named"))
+
+
 @query("S16_write_scores", "SELECT concat(enrol, ' ', test, ' ', target, ' ', printf('%.5f', score)) AS line FROM m_scored")
 def _(t: Tables) -> DataFrame:
     from lifethread.plans.catalog.groups import scored

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lifethread.functions import boxes, vectors
-from lifethread.operators import graph, intervals, links, similarity, speech
+from lifethread.operators import graph, intervals, links, ordered, similarity, speech
 from lifethread.plans.bindings import Tables
 from lifethread.plans.catalog.registry import query, r6
 from lifethread.plans.catalog.scalar import IOU_SQL
@@ -285,6 +285,21 @@ def _(t: Tables) -> DataFrame:
     return graph.all_chains(t.event.select("event_id"), t.next)
 
 
+@query("G3_all_paths", """
+    WITH RECURSIVE n AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS r FROM m_event),
+    up AS (SELECT r AS leaf, r FROM n WHERE 2 * r > (SELECT count(*) FROM n) UNION ALL SELECT leaf, r // 2 FROM up WHERE r > 1)
+    SELECT leaf, CAST(row_number() OVER (PARTITION BY leaf ORDER BY up.r) - 1 AS INT) AS pos, n.event_id FROM up JOIN n ON n.r = up.r""")
+def _(t: Tables) -> DataFrame:
+    """Every event is followed by two others: all ways from the first event to those nothing follows."""
+    numbered = t.event.select("event_id").withColumn("event_id", F.col("event_id"))
+    ranked = ordered.number_rows(numbered, ["event_id"], "r")
+    above = ranked.select(F.col("event_id").alias("src"), F.col("r").alias("_up"))
+    edges = ranked.withColumn("_up", F.floor(F.col("r") / 2)).join(above, "_up").select("src", F.col("event_id").alias("dst"), F.lit("NEXT_EVENT").alias("type"))
+    paths = graph.all_paths(t.event.select("event_id"), edges)
+    leaf = ranked.select(F.col("event_id").alias("_last"), F.col("r").alias("leaf"))
+    return paths.join(leaf, F.element_at("path", -1) == F.col("_last")).select("leaf", "pos", "event_id")
+
+
 @query("A21_chain_summary", f"""
     WITH {_CHAINS} SELECT chain, count(*) AS length, arg_min(event_id, pos) AS head, arg_max(event_id, pos) AS tail FROM chains GROUP BY 1""")
 def _(t: Tables) -> DataFrame:

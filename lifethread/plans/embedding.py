@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lifethread.runtime import spread
+from lifethread.runtime import ship, spread
 
 BATCH_TEXTS = 32
 DIMENSIONS = 256
@@ -29,9 +29,10 @@ def _grams(text: Column) -> Column:
 
 def embed(
     df: DataFrame, id_col: str, text: str, embedder: Embedder | None = None, batch: int = BATCH_TEXTS,
-    dimensions: int = DIMENSIONS, out: str = "vec",
+    dimensions: int = DIMENSIONS, out: str = "vec", failed: str = "zero",
 ) -> DataFrame:
-    """Unit vectors of texts, as (id, vec). Empty text, and text whose batch fails, is the zero vector.
+    """Unit vectors of texts, as (id, vec). Empty text, and text whose batch fails, is the zero vector; with ``failed="null"`` the latter
+    has none. An embedder must give ``dimensions`` numbers, so that all vectors have one width; the job fails if it gives others.
 
     Without an embedder a hashed word and word-pair count is used, which stays inside the JVM. An embedder
     maps a list of texts to vectors; it is called in batches inside the tasks and may build its model once
@@ -54,20 +55,26 @@ def embed(
                 vectors.extend(_embed_batch(texts[lo : lo + batch], embedder, dimensions))
             yield pd.DataFrame({id_col: page[id_col], out: vectors})
 
-    return rows.mapInPandas(run, f"{id_col} {kind}, {out} array<float>")
+    ship(df.sparkSession)
+    made = rows.mapInPandas(run, f"{id_col} {kind}, {out} array<float>")
+    zero = F.array_repeat(F.lit(0.0).cast("float"), dimensions)
+    return made if failed == "null" else made.withColumn(out, F.coalesce(out, zero))
 
 
-def _embed_batch(texts: list[str], embedder: Embedder, dimensions: int) -> list[np.ndarray]:
+def _embed_batch(texts: list[str], embedder: Embedder, dimensions: int) -> list[np.ndarray | None]:
+    """Unit vectors; zeros for blank texts, nothing for the others of a failed batch."""
     full = [i for i, t in enumerate(texts) if t.strip()]
     rows = [np.zeros(dimensions, dtype=np.float32) for _ in texts]
     if not full:
         return rows
     try:
         made = np.asarray(embedder([texts[i] for i in full]), dtype=np.float64)
-    except Exception:  # a failed batch is zero vectors, the job goes on
-        return rows
+    except Exception:  # the job goes on without the batch
+        return [None if t.strip() else r for t, r in zip(texts, rows)]
+    if made.shape != (len(full), dimensions):
+        raise ValueError(f"the embedder gave {made.shape} for {len(full)} texts of {dimensions} dimensions")
     length = np.linalg.norm(made, axis=1, keepdims=True)
     made = (made / np.where(length > 0, length, 1.0)).astype(np.float32)
     for i, v in zip(full, made):
         rows[i] = v
-    return [r if len(r) == made.shape[1] else np.zeros(made.shape[1], dtype=np.float32) for r in rows]
+    return rows

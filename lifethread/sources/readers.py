@@ -146,7 +146,8 @@ def read_manifest(spark: SparkSession, path: str | list[str], kind: str) -> tupl
         raise ValueError(f"unknown manifest: {kind}")
     ddl, width = _MANIFESTS[kind]
     open_end = kind in ("key_value", "timed_text")
-    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("_f", F.split(F.trim("value"), r"\s+", width if open_end else -1))
+    lines = spark.read.text(path).where(F.trim("value") != "").withColumnRenamed("value", "_line")
+    lines = lines.withColumn("_f", F.split(F.trim("_line"), r"\s+", width if open_end else -1))
     names = [f for f in T.StructType.fromDDL(ddl)]
     values = []
     for i, f in enumerate(names):
@@ -156,13 +157,13 @@ def read_manifest(spark: SparkSession, path: str | list[str], kind: str) -> tupl
             values.append(raw.alias(f.name))
         else:
             values.append((raw if f.dataType == T.StringType() else raw.try_cast(f.dataType)).alias(f.name))
-    parsed = lines.select("value", F.size("_f").alias("_n"), *values)
+    parsed = lines.select("_line", F.size("_f").alias("_n"), *values)
     fits = F.col("_n") == width
     if kind == "key_value" or kind == "timed_text":
         fits = F.col("_n") >= width
     for f in names:
         fits = fits & F.col(f.name).isNotNull()
-    return parsed.where(fits).drop("value", "_n"), parsed.where(~fits).select("value")
+    return parsed.where(fits).drop("_line", "_n"), parsed.where(~fits).select(F.col("_line").alias("value"))
 
 
 def read_id_csv(spark: SparkSession, path: str | list[str], schema: str | None = None) -> DataFrame:

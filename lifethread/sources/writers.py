@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lifethread import schemas
+from lifethread.runtime import materialize
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, mode: str = "append") -> None:
-    """Nodes by label and edges by type, so that readers prune what they do not walk."""
-    nodes.repartition("label", F.pmod(F.xxhash64("id"), F.lit(64))).write.mode(mode).partitionBy("label").parquet(f"{path}/nodes")
-    edges.repartition("type", F.pmod(F.xxhash64("src"), F.lit(64))).write.mode(mode).partitionBy("type").parquet(f"{path}/edges")
+    """Nodes by label and edges by type, so that readers prune what they do not walk.
+
+    Rows are dealt by ranges of (label, id) and (type, src), cut from a sample and joined by size: a large label gets as many files as its rows need,
+    small ones share a task, and files hold neighbouring keys.
+    """
+    nodes.repartitionByRange("label", "id").write.mode(mode).partitionBy("label").parquet(f"{path}/nodes")
+    edges.repartitionByRange("type", "src").write.mode(mode).partitionBy("type").parquet(f"{path}/edges")
 
 
 def read_nodes(spark: SparkSession, path: str) -> DataFrame:
@@ -45,7 +50,8 @@ _CLUSTER_EDGES = ("BELONGS_TO", "CONTAINS")
 def reset_graph(spark: SparkSession, path: str, scope: str = "all") -> None:
     """Empty the graph: everything, only events, or only clusters, with the edges that hang on them.
 
-    The partitions of the scope are overwritten with nothing; the others are not touched.
+    Edges without an end among the nodes that go stay, whatever their type. The folders of types that lose edges are replaced by what
+    stays, from a stored table; the others are not touched.
     """
     if scope not in ("all", "events", "clusters"):
         raise ValueError("scope is 'all', 'events' or 'clusters'")
@@ -53,12 +59,18 @@ def reset_graph(spark: SparkSession, path: str, scope: str = "all") -> None:
         for schema, part in ((schemas.NODE, "nodes"), (schemas.EDGE, "edges")):
             spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/{part}")
         return
-    edges = read_edges(spark, path)
     label = "Event" if scope == "events" else "Cluster"
-    keep_types = F.col("type").isin(*_CLUSTER_EDGES) if scope == "clusters" else F.lit(True)
-    types = [r["type"] for r in edges.where(keep_types).select("type").distinct().toLocalIterator()]  # one per folder
+    gone = materialize(read_nodes(spark, path).where(F.col("label") == label).select(F.col("id").alias("_gone")), "gone")
+    edges = read_edges(spark, path)
+    edges = edges.where(F.col("type").isin(*_CLUSTER_EDGES)) if scope == "clusters" else edges
+    stay = edges if scope == "events" else edges.limit(0)
+    for end in ("src", "dst"):
+        stay = stay.join(gone, F.col(end) == F.col("_gone"), "left_anti")
+    stay = materialize(stay, "staying")
+    types = [r["type"] for r in edges.select("type").distinct().toLocalIterator()]  # one per folder
     _empty_partitions(spark, f"{path}/nodes", "label", [label])
     _empty_partitions(spark, f"{path}/edges", "type", types)
+    write_graph(read_nodes(spark, path).limit(0), stay, path)
 
 
 def _empty_partitions(spark: SparkSession, path: str, column: str, values: Sequence[str]) -> None:

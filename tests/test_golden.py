@@ -2,6 +2,10 @@
 
 import datetime
 import json
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,6 +16,7 @@ from lifethread.operators import clustering, contracts, density, graph, history,
 from lifethread.plans.embedding import embed
 from lifethread.runtime import scratch_path
 from lifethread.sources import readers, writers
+from lifethread.sources.cache import cached_vectors, embed_with_cache
 
 
 def rows(df, *cols):
@@ -196,3 +201,48 @@ def test_relations_of_events_stay_when_none_are_new(spark):
     new = spark.createDataFrame([("b", "a", "temporal_after", "x", 3.0)], "event_id string, related_event_id string, type string, reason string, time_diff_seconds double")
     got = {r["event_id"]: [x["related_event_id"] for x in r["relations"]] for r in writers.enrich_events(events, relations=new).collect()}
     assert got == {"a": ["z"], "b": ["a"]}
+
+
+def test_failed_batches_are_tried_again(spark, tmp_path):
+    """The cache holds what an embedder gave, not the zeros that stand for its failures; all vectors have one width."""
+    docs = spark.createDataFrame([(1, "aa"), (2, "bad"), (3, " "), (4, "cccc")], "id int, text string")
+
+    def once(texts):
+        if "bad" in texts:
+            raise RuntimeError("no answer")
+        return [[float(len(t)), 0.0, 0.0] for t in texts]
+
+    path = str(tmp_path / "cache")
+    first = {r["id"]: list(r["vec"]) for r in embed_with_cache(docs, "id", "text", path, once, batch=1, dimensions=3).collect()}
+    assert first == {1: [1, 0, 0], 2: [0, 0, 0], 3: [0, 0, 0], 4: [1, 0, 0]}
+    assert sorted(r["id"] for r in cached_vectors(spark, path, "int").collect()) == [1, 3, 4]
+    again = {r["id"]: list(r["vec"]) for r in embed_with_cache(docs, "id", "text", path, lambda ts: [[0.0, 2.0, 0.0] for _ in ts], batch=1, dimensions=3).collect()}
+    assert again == {**first, 2: [0, 1, 0]}
+    with pytest.raises(Exception, match="dimensions"):
+        embed(docs, "id", "text", lambda ts: [[1.0] for _ in ts], dimensions=3).collect()
+
+
+def test_unclosed_fences(spark):
+    fence = "`" * 3
+    rows = [(1, f'{fence}json\n{{"k": 1}}'), (2, f'so: {fence}\n{{"k": 2}}\n'), (3, f'{fence}json\n{{"k": 3}}\n{fence} more'), (4, f"{fence}json\n{{"), (5, '{"k": 5}'), (6, None)]
+    good, bad = text.parse_responses(spark.createDataFrame(rows, "id int, response string"), "k INT")
+    assert {r["id"]: r["parsed"]["k"] for r in good.collect()} == {1: 1, 2: 2, 3: 3, 5: 5} and sorted(r["id"] for r in bad.collect()) == [4, 6]
+
+
+def test_library_call_from_another_folder(tmp_path):
+    """Workers know the package although neither their folder nor their path has it."""
+    code = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+from lifethread.operators import clustering, density, similarity
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+rows = spark.createDataFrame([(0, i, [float(i % 3 == k) + i / 100 for k in range(3)]) for i in range(30)], "g int, id bigint, vec array<double>")
+print(density.hdbscan(rows, by=["g"]).count(), clustering.ahc(rows, ["g"], 0.5).count(), similarity.cosine_topk(rows.withColumnRenamed("id", "qid"), rows, 2).count())
+"""
+    script = tmp_path / "call.py"
+    script.write_text(code)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script), str(Path(__file__).resolve().parents[1])], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert done.stdout.split()[-3:] == ["30", "30", "60"]
