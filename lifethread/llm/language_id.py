@@ -6,7 +6,7 @@ linkage, until ``families`` are left). One machine per family tells it from the
 machine per pair of languages votes; equal votes are decided by the sum of margins. All are linear in the shares, so a text of any length is read once, in
 blocks, and a model is a table of weights, bounded by the numbers of languages and buckets.
 
-Machines are fitted on at most ``max_rows`` rows, dealt alike to the languages (the first by a hash of the id, each with its whole text); a text counts
+Machines are fitted on at most ``max_rows`` rows, dealt alike to the languages (the first by a hash of id and text, each with its whole text); a text counts
 once as a whole and once by its first words, so that short texts have their like in the training. The score is the probability of the family
 times the mean probability of the winning pairs, both calibrated on rows kept out of the fit.
 
@@ -114,17 +114,25 @@ def _margins(data: np.ndarray, offsets: np.ndarray, model: LanguageModel) -> np.
 
 
 def sample_languages(docs: DataFrame, max_rows: int, held: tuple[int, int]) -> tuple[list[str], DataFrame]:
-    """The languages of the rows to learn from, and (text, lang, same) of at most ``max_rows`` of them, alike from all languages, as a stored table."""
+    """The languages of the rows to learn from, and (text, lang, same) of at most ``max_rows`` of them, alike from all languages, as a stored table.
+
+    Rows are drawn by ``same``, a hash of id and text: of a language with n rows first those below a share of all hashes that holds about three
+    times as many as are wanted, so that what is ranked per language is bounded, whatever n.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter(remainder("doc_id", held[0]) != held[1]).filter("lang IS NOT NULL").filter(F.col("text").rlike("\\p{L}"))
-    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
-    each = min(max(max_rows // max(len(languages), 1), 1), 1_000)  # beyond 1,000 Spark would not limit the rows before their shuffle
-    rows = rows.withColumns({"draw": F.xxhash64("doc_id"), "same": F.xxhash64("text")})
-    keys = rows.select("lang", "draw", "same")
-    first = Window.partitionBy("lang").orderBy("draw", "same")
-    last = keys.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= each)  # limited per task before the shuffle
-    picked = last.select("lang", "draw", "same").distinct()
-    return languages, materialize(rows.join(F.broadcast(picked), ["lang", "draw", "same"]).dropDuplicates(["lang", "draw", "same"]).select("text", "lang", "same"), "languages")
+    rows = rows.withColumn("same", F.xxhash64("doc_id", "text"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    each = max(max_rows // max(len(counts), 1), 1)
+    shares = [(lang, min(1.0, (3 * each + 30) / n)) for lang, n in sorted(counts.items())]
+    shares = rows.sparkSession.createDataFrame(shares, "lang string, share double")  # a row per language
+    drawn = rows.join(F.broadcast(shares), "lang").filter(F.col("same") / 2.0**64 + 0.5 <= F.col("share")).select("lang", "same").distinct()
+    first = Window.partitionBy("lang").orderBy("same")
+    picked = materialize(drawn.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= each).select("lang", "same"), "languages-drawn")
+    none = sorted(set(counts) - {r["lang"] for r in picked.select("lang").distinct().collect()})
+    if none:  # few different rows, all of them beyond the share
+        picked = picked.unionByName(rows.filter(F.col("lang").isin(none)).groupBy("lang").agg(F.min("same").alias("same")))
+    return sorted(counts), materialize(rows.join(F.broadcast(picked), ["lang", "same"]).dropDuplicates(["lang", "same"]).select("text", "lang", "same"), "languages")
 
 
 def _profiles(sample: DataFrame, bits: int, short: int) -> DataFrame:

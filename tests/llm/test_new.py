@@ -113,6 +113,14 @@ def test_language_id_learns_from_the_named_rows_only(spark):
     assert {r.lang_pred for r in out if r.held_out} == {"de"} and sum(r.lang_pred == "und" and r.score == 0 for r in out) == 2
 
 
+def test_language_sample_is_bounded_and_misses_no_language(spark):
+    kept = [k for k in range(9000) if __import__("zlib").crc32(str(k).encode()) % 4 != 2]
+    rows = [(k, f"word{k} text", "big") for k in kept[:5000]] + [(kept[5000], "one text many times", f"copy{c}") for c in range(3) for _ in range(900)] + [(kept[6000], "alone", "small")]
+    names, sample = language_id.sample_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6), 100, (4, 2))
+    found = Counter(r.lang for r in sample.collect())
+    assert names == ["big", "copy0", "copy1", "copy2", "small"] and found == {"big": 20, "copy0": 1, "copy1": 1, "copy2": 1, "small": 1}
+
+
 def test_language_id_odd_rows(spark, odd, empty):  # noqa: F811
     model = language_id.train(odd)
     assert model.languages == ["en"]
