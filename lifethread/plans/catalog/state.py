@@ -205,10 +205,11 @@ def _(t: Tables) -> DataFrame:
 
 def _stream(t: Tables):
     """The driver's event file as a stream, by its own schema."""
-    raw = streams.stream_events(
-        t.spark, t.dir, schema=t.read("events").schema, fmt="parquet", pathGlobFilter="events.parquet",
-        event_time=F.col("ts").cast("timestamp"),
-    )
+    return _live(t, t.dir, t.read("events").schema, pathGlobFilter="events.parquet")
+
+
+def _live(t: Tables, path: str, schema, **options: str) -> DataFrame:
+    raw = streams.stream_events(t.spark, path, schema=schema, fmt="parquet", event_time=F.col("ts").cast("timestamp"), **options)
     ts = F.col("ts")
     day = (F.datediff(ts.cast("date"), F.lit("2024-01-01").cast("date")) + 1).cast("int")
     second = F.expr("CAST(floor(extract(SECOND FROM ts) * 100) / 100.0 AS DOUBLE)")
@@ -230,6 +231,80 @@ def _(t: Tables) -> DataFrame:
     return _run(t, _stream(t), "st1").select("event_id", "participant", "day", F.round("t_sec", 2).alias("t_sec"))
 
 
+ARRIVALS = 4
+# When a file brings an event: quarters of the days; every tenth event comes two quarters after its own.
+_DAY_SQL = "CAST(date_diff('day', TIMESTAMP '2024-01-01', ts) AS BIGINT)"
+ARRIVAL_SQL = f"(SELECT *, least(3, {_DAY_SQL} * 4 // (max({_DAY_SQL}) OVER () + 1) + CASE WHEN event_id % 10 = 0 THEN 2 ELSE 0 END) AS file FROM events)"
+
+
+def _arrivals(t: Tables, tag: str, late: bool, job) -> tuple[DataFrame, DataFrame]:
+    """The events come in four lots; each is a run of its own that goes on from the checkpoint of the run before.
+
+    Returns the table written and the account of all micro-batches with the number of their ``run``.
+    """
+    streams.use_rocksdb(t.spark)
+    path = scratch_path(t.spark, tag)
+    raw = t.read("events")
+    days = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long")
+    last = raw.select(days.alias("d")).agg(F.max("d").alias("last")).first()["last"] or 0
+    file = F.floor(days * ARRIVALS / (last + 1)) + (F.when(F.col("event_id") % 10 == 0, 2).otherwise(0) if late else 0)
+    dealt = raw.withColumn("file", F.least(F.lit(ARRIVALS - 1), file).cast("int"))
+    runs = None
+    for run in range(ARRIVALS):
+        dealt.where(F.col("file") == run).drop("file").write.mode("append").parquet(f"{path}/in")
+        df = job(_live(t, f"{path}/in", raw.schema))
+        seen = streams.run_to_table(df, f"{path}/table", f"{path}/checkpoint").withColumn("run", F.lit(run))
+        runs = seen if runs is None else runs.unionByName(seen)
+    return t.spark.read.schema(df.schema).parquet(f"{path}/table"), runs
+
+
+@query("ST1_stream_late", f"""
+    WITH e AS {ARRIVAL_SQL}, f AS (SELECT file, count(*) AS n, epoch_ms(max(ts)) AS top FROM e GROUP BY 1),
+    w AS (SELECT file, n, max(top) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 86400000 AS mark FROM f),
+    m AS (SELECT e.event_id, e.file, w.mark IS NOT NULL AND epoch_us(e.ts) <= w.mark * 1000 AS late FROM e JOIN w ON w.file = e.file),
+    c AS (SELECT file, count(*) AS came, count(*) FILTER (late) AS late FROM m GROUP BY 1)
+    SELECT m.event_id, CAST(m.file AS INT) AS run, c.came AS rows_in, c.late AS rows_late FROM m JOIN c ON c.file = m.file WHERE NOT m.late""")
+def _(t: Tables) -> DataFrame:
+    """Four lots with a restart after each: the events kept, and how many of their lot came behind the watermark."""
+    table, runs = _arrivals(t, "st1l", True, lambda df: df.select("event_id", F.lit(0).alias("one")))
+    account = runs.groupBy("run").agg(F.sum("rows_in").alias("rows_in"), F.sum("rows_late").alias("rows_late"))
+    raw = t.read("events").select("event_id", F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long").alias("d"))
+    last = raw.agg(F.max("d").alias("last")).first()["last"] or 0
+    lot = F.floor(F.col("d") * ARRIVALS / (last + 1)) + F.when(F.col("event_id") % 10 == 0, 2).otherwise(0)
+    came = raw.select("event_id", F.least(F.lit(ARRIVALS - 1), lot).cast("int").alias("run"))
+    return table.select("event_id").join(came, "event_id").join(account, "run").select("event_id", "run", "rows_in", "rows_late")
+
+
+def near_value(new: dict, tail: dict) -> bool:
+    """An event goes on from one of the same half of the values, up to twenty days before."""
+    return (new["value"] < 50) == (tail["value"] < 50) and (new["at"] - tail["at"]).total_seconds() <= 20 * 86400
+
+
+def _chain_events(df: DataFrame) -> DataFrame:
+    return df.select("participant", "event_id", "t_sec", "value", F.col("t_sec").cast("timestamp").alias("at"))
+
+
+_HALVES = """
+    WITH h AS (SELECT participant, event_id, t_sec, lag(event_id) OVER w AS src, lag(t_sec) OVER w AS before FROM m_event
+      WINDOW w AS (PARTITION BY participant, value < 50 ORDER BY t_sec, event_id))
+    SELECT participant, src, event_id AS dst, 'NEXT_EVENT' AS type FROM h WHERE t_sec - before <= 20 * 86400"""
+
+
+@query("ST2_stream_chains_restarts", _HALVES)
+def _(t: Tables) -> DataFrame:
+    """Four lots with a restart after each; the predicate reads a time and a number of the stored chain ends."""
+    return _arrivals(t, "st2r", False, lambda df: streams.stream_chains(_chain_events(df), near_value))[0]
+
+
+@query("ST4_stream_temporal_restarts", f"""
+    WITH {HISTORY_SQL} SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(past_event_id AS VARCHAR) AS related_event_id, round(t_sec - past_t_sec, 2) AS time_diff_seconds FROM h5 WHERE round(t_sec - past_t_sec, 6) BETWEEN 0.000001 AND 3600""")
+def _(t: Tables) -> DataFrame:
+    """Four lots with a restart after each."""
+    job = lambda df: streams.stream_temporal_edges(df.select("participant", "day", "event_id", "t_sec"), max_s=3600.0)
+    got = _arrivals(t, "st4r", False, job)[0]
+    return got.select("event_id", "related_event_id", F.round("time_diff_seconds", 2).alias("time_diff_seconds"))
+
+
 @query("ST2_stream_chains", "SELECT e.participant, n.src, n.dst, n.type FROM m_next n JOIN m_event e ON e.event_id = n.dst")
 def _(t: Tables) -> DataFrame:
     return _run(t, streams.stream_chains(_stream(t).select("participant", "event_id", "t_sec")), "st2")

@@ -6,20 +6,22 @@ processed does not change them: what was decided stays decided.
 
 from __future__ import annotations
 
-import json
-import pickle
+import datetime
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lifethread import schemas
 from lifethread.runtime import ship
 from lifethread.operators.graph import ChainTails
-from lifethread.operators.resolve import VoiceLibrary, VoiceRules, hear_rows, voice_schema
+from lifethread.operators.resolve import (
+    ENTITY_STATE, VOICE_STATE, EntityLibrary, EntityRules, VoiceLibrary, VoiceRules, entity_schema, hear_rows, see_rows, voice_schema,
+)
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -45,13 +47,32 @@ def stream_events(
     return rows.withColumn("event_time", at).withWatermark("event_time", delay).dropDuplicatesWithinWatermark([key])
 
 
-def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what is there and stop; the result is a Parquet table."""
+BATCHES = "batch_id long, rows_in long, rows_late long, watermark timestamp"
+
+
+def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Process what is there and stop; the result is a Parquet table.
+
+    Returns one row per micro-batch of this run (batch_id, rows_in, rows_late, watermark). ``rows_late`` are those
+    that came behind the watermark and were dropped by a stateful step. Batch ids and the watermark go on over restarts
+    with the same checkpoint, so the rows of all runs together are the whole account.
+    """
     query = (
         df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
         .outputMode(mode).trigger(availableNow=True).start()
     )
-    query.awaitTermination()
+    seen: dict[int, dict] = {}
+    done = False
+    while not done:  # the query keeps its last hundred reports only
+        done = query.awaitTermination(1)
+        seen.update((p["batchId"], p) for p in query.recentProgress)
+    rows = []
+    for number, report in sorted(seen.items()):
+        late = sum(op["numRowsDroppedByWatermark"] for op in report["stateOperators"])
+        mark = report["eventTime"].get("watermark")
+        at = datetime.datetime.fromisoformat(mark.replace("Z", "+00:00")) if mark else None
+        rows.append((number, report["numInputRows"], late, at))
+    return df.sparkSession.createDataFrame(rows, BATCHES)
 
 
 def only_new(batch: DataFrame, done: DataFrame, key: str = "event_id") -> DataFrame:
@@ -60,7 +81,10 @@ def only_new(batch: DataFrame, done: DataFrame, key: str = "event_id") -> DataFr
 
 
 class _Ordered(StatefulProcessor):
-    """Collects the rows a key has in one micro-batch and handles them in time order."""
+    """Collects the rows a key has in one micro-batch and handles them in time order.
+
+    A key's rows of one micro-batch are held together; bound them by ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``.
+    """
 
     order: list[str]
 
@@ -73,41 +97,93 @@ class _Ordered(StatefulProcessor):
         if len(out):
             yield out
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.begin(key, initialState)
+
+    def begin(self, key, stored: pd.DataFrame) -> None:
+        raise ValueError("this job has no stored state to begin with")
+
     def close(self) -> None:
         pass
 
 
+class _Rows:
+    """Whole rows as typed columns of a state; times are kept as microseconds, days as numbers."""
+
+    def __init__(self, schema: T.StructType):
+        self.names = schema.names
+        self.times = [f.name for f in schema if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
+        self.days = [f.name for f in schema if isinstance(f.dataType, T.DateType)]
+        kind = lambda f: T.LongType() if f.name in self.times or f.name in self.days else f.dataType
+        self.schema = T.StructType([T.StructField(f.name, kind(f)) for f in schema])
+
+    def put(self, row: dict) -> tuple:
+        return tuple(self._stored(n, row[n]) for n in self.names)
+
+    def _stored(self, name: str, value):
+        if isinstance(value, np.ndarray):
+            return value.tolist()
+        if value is None or (np.isscalar(value) and pd.isna(value)) or value is pd.NaT:
+            return None
+        if name in self.times:
+            return pd.Timestamp(value).value // 1000
+        if name in self.days:
+            return value.toordinal()
+        return value.item() if isinstance(value, np.generic) else value
+
+    def get(self, stored: tuple) -> dict:
+        row = dict(zip(self.names, stored))
+        for n in self.times:
+            row[n] = pd.NaT if row[n] is None else pd.Timestamp(row[n], unit="us")
+        for n in self.days:
+            row[n] = None if row[n] is None else datetime.date.fromordinal(row[n])
+        return row
+
+
 class _Chains(_Ordered):
-    def __init__(self, predicate, participant: str, event: str, t: str):
-        self.predicate, self.participant, self.event, self.t = predicate, participant, event, t
+    def __init__(self, predicate, participant: str, event: str, t: str, rows: _Rows):
+        self.predicate, self.participant, self.event, self.t, self.rows = predicate, participant, event, t, rows
         self.order = [t, event]
 
     def open(self, handle: StatefulProcessorHandle) -> None:
-        self.tails = handle.getListState("tails", "tail string")
+        self.tails = handle.getListState("tails", self.rows.schema)
 
     def step(self, key, batch: pd.DataFrame) -> pd.DataFrame:
         chains = ChainTails(self.predicate)
         if self.tails.exists():
-            chains.tails = [json.loads(x[0]) for x in self.tails.get()]
+            chains.tails = [self.rows.get(x) for x in self.tails.get()]
         out = []
-        for row in json.loads(batch.to_json(orient="records")):
+        for row in batch[self.rows.names].to_dict("records"):
             tail = chains.add(row)
             if tail is not None:
                 out.append((key[0], tail[self.event], row[self.event], "NEXT_EVENT"))
-        self.tails.put([(json.dumps(x),) for x in chains.tails])
+        self.tails.put([self.rows.put(x) for x in chains.tails])
         return pd.DataFrame(out, columns=["participant", "src", "dst", "type"])
 
+    def begin(self, key, stored: pd.DataFrame) -> None:
+        tails = stored.sort_values(self.order, kind="stable")[self.rows.names].to_dict("records")
+        self.tails.put([self.rows.put(x) for x in tails])
+
+
+def _begun(stored: DataFrame | None, *keys: str):
+    return None if stored is None else stored.groupBy(*keys)
+
 
 def stream_chains(
     df: DataFrame, predicate: Callable[[dict, dict], bool] | None = None, participant: str = "participant",
-    event: str = "event_id", t: str = "t_sec",
+    event: str = "event_id", t: str = "t_sec", begin: DataFrame | None = None,
 ) -> DataFrame:
-    """ST2: NEXT_EVENT edges as events arrive; the state is the open chain ends of a participant."""
+    """ST2: NEXT_EVENT edges as events arrive; the state is the open chain ends of a participant.
+
+    Chain ends are kept as typed columns, so a predicate sees the values that it sees in ``build_chains``. ``begin``: open
+    ends to start with, rows of the columns of ``df``.
+    """
     kind = lambda c: df.schema[c].dataType.simpleString()
     schema = f"participant {kind(participant)}, src {kind(event)}, dst {kind(event)}, type string"
     ship(df.sparkSession)
+    begin = None if begin is None else begin.select(*df.columns)
     return df.groupBy(participant).transformWithStateInPandas(
-        _Chains(predicate, participant, event, t), schema, "Append", "None"
+        _Chains(predicate, participant, event, t, _Rows(df.schema)), schema, "Append", "None", _begun(begin, participant)
     )
 
 
@@ -117,56 +193,71 @@ class _Voices(_Ordered):
         self.order = ["t_sec", "event_id", "pos"]
 
     def open(self, handle: StatefulProcessorHandle) -> None:
-        self.voices = handle.getMapState("voices", "number int", "voice binary")
+        self.voices = handle.getMapState("voices", "number int", VOICE_STATE)
 
     def step(self, key, batch: pd.DataFrame) -> pd.DataFrame:
         library = VoiceLibrary(self.rules)
-        stored = sorted((k[0], v[0]) for k, v in self.voices.iterator()) if self.voices.exists() else []
-        for number, voice in stored:
-            library.restore(number, *pickle.loads(bytes(voice)))
+        for (number,), voice in sorted(self.voices.iterator(), key=lambda x: x[0][0]) if self.voices.exists() else []:
+            library.load(number, *voice)
         batch = batch.assign(participant=key[0])
         out = list(hear_rows(library, batch))
         for number in sorted(library.touched):
-            value = (np.asarray(library.means[number]), library.history[number])
-            self.voices.updateValue((number,), (pickle.dumps(value),))
+            self.voices.updateValue((number,), library.dump(number))
         names = ["participant", "event_id", "speaker", "voice_id", "is_new", "match_score", "mean_updated", "register_score"]
         return pd.DataFrame(out, columns=names)
 
+    def begin(self, key, stored: pd.DataFrame) -> None:
+        for row in stored.to_dict("records"):
+            library = VoiceLibrary(self.rules)
+            library.load(0, row["mean"], row["score"], row["duration"], row["unit"])
+            self.voices.updateValue((int(row["number"]),), library.dump(0))
+
+
+def stream_resolve(df: DataFrame, rules: VoiceRules = VoiceRules(), begin: DataFrame | None = None) -> DataFrame:
+    """ST3: voices of speakers as segments arrive; the state is one entry per voice, only touched ones are rewritten.
 
-def stream_resolve(df: DataFrame, rules: VoiceRules = VoiceRules()) -> DataFrame:
-    """ST3: voices of speakers as segments arrive; the state is one entry per voice, only touched ones are rewritten."""
+    ``begin``: a stored library (``resolve.voice_library``) that the first batch goes on from.
+    """
     ship(df.sparkSession)
-    return df.groupBy("participant").transformWithStateInPandas(_Voices(rules), voice_schema(df), "Append", "None")
+    return df.groupBy("participant").transformWithStateInPandas(
+        _Voices(rules), voice_schema(df), "Append", "None", _begun(begin, "participant")
+    )
 
 
 class _Entities(_Ordered):
-    def __init__(self, rules):
+    def __init__(self, rules: EntityRules):
         self.rules = rules
         self.order = ["t_sec", "event_id", "pos"]
 
     def open(self, handle: StatefulProcessorHandle) -> None:
-        self.entities = handle.getMapState("entities", "number int", "entity binary")
+        self.entities = handle.getMapState("entities", "number int", ENTITY_STATE)
 
     def step(self, key, batch: pd.DataFrame) -> pd.DataFrame:
-        from lifethread.operators.resolve import EntityLibrary, see_rows
-
         library = EntityLibrary(self.rules)
-        stored = sorted((k[0], v[0]) for k, v in self.entities.iterator()) if self.entities.exists() else []
-        for _, entity in stored:
-            library.restore(*pickle.loads(bytes(entity)))
+        for _, entity in sorted(self.entities.iterator(), key=lambda x: x[0][0]) if self.entities.exists() else []:
+            library.load(*entity)
         out = list(see_rows(library, batch.assign(participant=key[0])))
         for i in sorted(library.touched):
-            self.entities.updateValue((i,), (pickle.dumps((library.names[i], library.texts[i], library.vectors[i])),))
+            self.entities.updateValue((i,), library.dump(i))
         names = ["participant", "event_id", "pos", "global_name", "is_new", "text_similarity", "vision_similarity", "final_score", "error"]
         return pd.DataFrame(out, columns=names)
 
+    def begin(self, key, stored: pd.DataFrame) -> None:
+        for row in stored.to_dict("records"):
+            library = EntityLibrary(self.rules)
+            library.load(row["name"], row["text"], row["vectors"])
+            self.entities.updateValue((int(row["number"]),), library.dump(0))
 
-def stream_entities(df: DataFrame, rules=None) -> DataFrame:
-    """ST3: global entities of objects as they arrive; the state is one entry per entity."""
-    from lifethread.operators.resolve import EntityRules, entity_schema
 
+def stream_entities(df: DataFrame, rules: EntityRules | None = None, begin: DataFrame | None = None) -> DataFrame:
+    """ST3: global entities of objects as they arrive; the state is one entry per entity.
+
+    ``begin``: a stored library (``resolve.entity_library``) that the first batch goes on from.
+    """
     ship(df.sparkSession)
-    return df.groupBy("participant").transformWithStateInPandas(_Entities(rules or EntityRules()), entity_schema(df), "Append", "None")
+    return df.groupBy("participant").transformWithStateInPandas(
+        _Entities(rules or EntityRules()), entity_schema(df), "Append", "None", _begun(begin, "participant")
+    )
 
 
 class _Temporal(_Ordered):

@@ -128,6 +128,71 @@ def test_stream_equals_batch(spark, tables):
     assert resolve.VoiceRules() != state.VOICE_RULES
 
 
+def lots(tables, path, given, job):
+    """``job`` over a folder that gets one of ``given`` before each run; every run goes on from the run before."""
+    from lifethread.streaming import streams
+
+    streams.use_rocksdb(tables.spark)
+    accounts = []
+    for rows in given:
+        rows.write.mode("append").parquet(f"{path}/in")
+        out = job(tables.spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+        accounts.append(streams.run_to_table(out, f"{path}/table", f"{path}/checkpoint").collect())
+    return tables.spark.read.schema(out.schema).parquet(f"{path}/table"), accounts
+
+
+def test_stream_begins_with_a_library(spark, tables, tmp_path):
+    """Early rows by the batch, its library stored, later rows by the stream in two runs: the decisions of one batch over all rows."""
+    from lifethread.streaming import streams
+
+    spoken = state.spoken(tables)
+    a, b = spoken.approxQuantile("t_sec", [0.35, 0.7], 0.0)
+    segments = spoken.withColumn("lot", F.when(F.col("t_sec") < a, 0).when(F.col("t_sec") < b, 1).otherwise(2)).cache()
+    parts = [segments.where(F.col("lot") == i).drop("lot") for i in range(3)]
+    assert all(p.count() > 5 for p in parts)
+    library = resolve.voice_library(parts[0], state.VOICE_RULES).cache()
+    got, _ = lots(tables, f"{tmp_path}/v", parts[1:], lambda df: streams.stream_resolve(df, state.VOICE_RULES, begin=library))
+    late = segments.where("lot > 0").select("event_id")
+    same(got.drop("match_score"), resolve.resolve_voices(segments, state.VOICE_RULES).join(late, "event_id", "left_semi").drop("match_score"))
+
+    seen = state.seen_objects(tables)
+    half = seen.approxQuantile("t_sec", [0.5], 0.0)[0]
+    objects = seen.withColumn("lot", (F.col("t_sec") >= half).cast("int")).cache()
+    known = resolve.entity_library(objects.where("lot = 0"), state.ENTITY_RULES).cache()
+    given = [objects.where("lot = 1").drop("lot")]
+    assert known.count() > 0 and given[0].count() > 5
+    got, _ = lots(tables, f"{tmp_path}/e", given, lambda df: streams.stream_entities(df, state.ENTITY_RULES, begin=known))
+    late = objects.where("lot = 1").select("event_id").distinct()
+    whole = resolve.resolve_entities(objects, state.ENTITY_RULES).join(late, "event_id", "left_semi")
+    keep = ["participant", "event_id", "pos", "global_name", "is_new", "error"]
+    same(got.select(*keep), whole.select(*keep))
+
+
+def test_chain_predicate_sees_batch_values(spark, tables, tmp_path):
+    """Times, days, nulls, arrays and decimals of stored chain ends are what the batch fold shows."""
+    from lifethread.streaming import streams
+
+    events = tables.event.select(
+        (F.col("participant") % 5).alias("participant"), "event_id", "t_sec", F.col("t_sec").cast("timestamp").alias("at"),
+        F.col("t_sec").cast("timestamp").cast("date").alias("day"), F.when(F.col("k") % 3 == 0, F.col("value")).alias("maybe"),
+        F.array(F.col("k"), F.col("k") % 2).alias("pair"), F.col("value").cast("decimal(12,2)").alias("exact"), F.when(F.col("k") % 4 == 0, F.col("event_type")).alias("kind"),
+    )
+
+    def fits(new, tail):
+        import pandas as pd
+
+        apart = (new["at"] - tail["at"]).total_seconds() <= 15 * 86400 and (new["day"] - tail["day"]).days <= 14
+        alike = pd.isna(new["maybe"]) == pd.isna(tail["maybe"]) and int(new["pair"][1]) == int(tail["pair"][1])
+        return apart and alike and (new["exact"] < 90 or tail["exact"] < 90) and (tail["kind"] is None or tail["kind"] != "error")
+
+    edge = events.agg((F.max("t_sec") / 4).alias("q")).first()["q"]
+    given = [events.where((F.col("t_sec") >= i * edge) & ((F.col("t_sec") < (i + 1) * edge) | F.lit(i == 3))) for i in range(4)]
+    got, _ = lots(tables, f"{tmp_path}/c", given, lambda df: streams.stream_chains(df, fits))
+    whole = graph.build_chains(events, fits)
+    assert whole.count() > 20
+    same(got, whole)
+
+
 def test_three_hops_use_no_edge_twice(spark):
     nodes = [("a", 1.0), ("b", 2.0), ("c", 3.0), ("d", 4.0)]
     events = spark.createDataFrame(nodes, "event_id string, t_sec double")
