@@ -15,18 +15,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lifethread.runtime import ship
+from lifethread.operators.history import best_rows
+from lifethread.runtime import materialize_seen, ship
 
 # A side may be sent to all tasks when it has at most this many vector elements (64 MB as doubles).
 SENT_ELEMENTS = 8_000_000
 SENT_ROWS = 200_000
 BLOCK_ROWS = 8192
 RANK_DIGITS = 9
+# So many partial lists of one question are merged at once.
+FAN = 32
 
 
 @dataclass
@@ -108,6 +111,45 @@ def block_apply(
     Rows of one ``unit`` value of the corpus (default: its id) stay in one block. With ``by`` only rows of
     equal ``by`` meet. The result holds each query once per corpus block; the caller picks the best.
     """
+    return _apply(queries, corpus, kernel, out_schema, qid, cid, vec, q_extra, c_extra, by, unit, combine, block_rows, way)[0]
+
+
+def block_best(
+    queries: DataFrame, corpus: DataFrame, kernel: Kernel, out_schema: str, keys: Sequence[str], order: Sequence[Column], k: int, *,
+    qid: str, cid: str, vec: str, q_extra: Sequence[str] = (), c_extra: Sequence[str] = (), by: Sequence[str] = (), unit: str | None = None,
+    combine: Kernel | None = None, block_rows: int = BLOCK_ROWS, way: str | None = None, rank: str | None = None, fan: int = FAN,
+) -> DataFrame:
+    """The first ``k`` rows per ``keys`` of ``block_apply``, the partial lists merged as a tree.
+
+    A task that reads the corpus hands on at most ``k`` rows per question. ``fan`` lists of a question are merged at a time, so a
+    merging task meets at most ``fan * k`` rows of one question however many tasks read the corpus, and rounds grow by their logarithm.
+    """
+    found, way, blocks = _apply(queries, corpus, kernel, out_schema, qid, cid, vec, q_extra, c_extra, by, unit, combine, block_rows, way)
+    if way == "corpus":  # a question met the whole corpus in one task
+        return best_rows(found, keys, order, k, rank=rank)
+    tagged = found.withColumn("_list", F.spark_partition_id())
+    if way == "queries":  # how many tasks read the corpus is known once they ran
+        tagged, lists = materialize_seen(tagged, "partial-lists", F.max("_list") + 1)
+    else:
+        lists = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        if lists > fan and (blocks.agg(F.max("_blocks")).first()[0] or 0) <= fan:  # a question has at most one list per corpus block
+            lists = 1
+    return merged_lists(tagged, keys, order, k, lists, fan, rank)
+
+
+def merged_lists(tagged: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, lists: int, fan: int = FAN, rank: str | None = None) -> DataFrame:
+    """The first ``k`` rows per ``keys`` of at most ``lists`` lists, numbered from 0 in ``_list``."""
+    while lists > fan:
+        lists = -(-lists // fan)
+        tagged = best_rows(tagged.withColumn("_list", F.floor(F.col("_list") / fan).cast("int")), [*keys, "_list"], order, k)
+    return best_rows(tagged.drop("_list"), keys, order, k, rank=rank)
+
+
+def _apply(
+    queries: DataFrame, corpus: DataFrame, kernel: Kernel, out_schema: str, qid: str, cid: str, vec: str, q_extra: Sequence[str],
+    c_extra: Sequence[str], by: Sequence[str], unit: str | None, combine: Kernel | None, block_rows: int, way: str | None,
+) -> tuple[DataFrame, str, DataFrame | None]:
+    """The rows of ``block_apply``, the way that was taken, and the number of corpus blocks per ``by`` if it was cut."""
     ship(queries.sparkSession)
     schema = to_arrow_schema(T.StructType.fromDDL(out_schema))
     names = schema.names
@@ -138,7 +180,7 @@ def block_apply(
                     part = here.take(np.arange(lo, min(lo + block_rows, len(here.ids))))
                     yield from rows(meet(part, sent.value)).to_batches()
 
-        return q.mapInArrow(past_corpus, out_schema)
+        return q.mapInArrow(past_corpus, out_schema), way, None
     if way == "queries" and not by and unit is None:
         sent = q.sparkSession.sparkContext.broadcast(side(q.toArrow(), qid, vec, q_more))
 
@@ -151,7 +193,7 @@ def block_apply(
             if held:
                 yield from _recombine(held, combine, names).to_batches()
 
-        return c.mapInArrow(past_queries, out_schema)
+        return c.mapInArrow(past_queries, out_schema), way, None
 
     q_sized, c_sized = _blocked(q, qid, by, block_rows), _blocked(c, unit or cid, by, block_rows)
     keys = [*by, "_qb", "_cb"]
@@ -166,7 +208,7 @@ def block_apply(
             return schema.empty_table()
         return rows(meet(side(left, qid, vec, q_more), side(right, cid, vec, c_more)))
 
-    return q_cells.groupBy(*keys).cogroup(c_cells.groupBy(*keys)).applyInArrow(cell, out_schema)
+    return q_cells.groupBy(*keys).cogroup(c_cells.groupBy(*keys)).applyInArrow(cell, out_schema), "blocks", c_sized["sizes"]
 
 
 def _recombine(held: list[pa.Table], combine: Kernel | None, names: list[str]) -> pa.Table:

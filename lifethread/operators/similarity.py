@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lifethread.functions.boxes import iou, to_xyxy
 from lifethread.functions.vectors import cosine
-from lifethread.operators.blocks import RANK_DIGITS, Side, best_per_row, block_apply, similarity, tie_codes
+from lifethread.operators.blocks import RANK_DIGITS, Side, best_per_row, block_apply, block_best, similarity, tie_codes
 from lifethread.operators.history import best_rows, last_n, sample_uniform
 
 TEXT_THRESHOLD = 0.4
@@ -55,11 +55,10 @@ def cosine_topk(
         place = np.arange(len(group)) - np.maximum.accumulate(np.where(first, np.arange(len(group)), 0))
         return found.take(pa.array(order[place < k]))
 
-    found = block_apply(
-        queries, corpus, kernel, f"qid {q_type}, id {c_type}, sim double", qid=qid, cid=cid, vec=vec, by=by,
-        q_extra=[query_t] if timed else [], c_extra=[corpus_t] if timed else [], combine=combine, way=way, **sizes,
+    return block_best(
+        queries, corpus, kernel, f"qid {q_type}, id {c_type}, sim double", ["qid"], [F.col("sim").desc(), F.col("id")], k, qid=qid, cid=cid,
+        vec=vec, by=by, q_extra=[query_t] if timed else [], c_extra=[corpus_t] if timed else [], combine=combine, way=way, rank="rank", **sizes,
     )
-    return best_rows(found, ["qid"], [F.col("sim").desc(), F.col("id")], k, rank="rank")
 
 
 def assign_nearest(points: DataFrame, centers: DataFrame, **how) -> DataFrame:

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lifethread.operators import clustering, density, graph, intervals, ordered, resolve, similarity, vector_index
+from lifethread.operators import blocks, clustering, density, graph, intervals, ordered, resolve, similarity, vector_index
+from lifethread.operators.history import best_rows
 from lifethread.plans import retrieval
 from lifethread.plans.catalog import state
 
@@ -49,6 +50,33 @@ def test_topk_ways(spark, tables, by):
             assert [one[(q, i + 1)][0] for i in range(4)] == best.tolist()
 
 
+@pytest.mark.parametrize("way", ["queries", "blocks"])
+def test_topk_lists_merge_as_a_tree(spark, tables, way):
+    """With a dozen reading tasks and lists merged three at a time, ties included, the rows are those of one task."""
+    corpus = tables.vectors.select("id", F.transform("vec", lambda v: F.round(v, 0)).alias("vec"))
+    corpus = corpus.unionByName(corpus.withColumn("id", F.col("id") + 100_000)).repartition(12)
+    queries = corpus.where("id % 3 = 0").withColumnRenamed("id", "qid")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        got = similarity.cosine_topk(queries, corpus, 5, way=way, block_rows=200, fan=3)
+        assert got.where("rank <= 5").count() == 5 * queries.where("vec IS NOT NULL").count()
+        same(got, similarity.cosine_topk(queries, corpus, 5, way="corpus"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_merged_lists_meet_few_rows(spark, monkeypatch):
+    """However many lists: a merge of one question is over at most ``fan * k`` rows."""
+    rows = spark.range(3 * 1000 * 4).selectExpr("id % 3 AS qid", "CAST(id DIV 12 AS INT) AS _list", "(id * 7919) % 997 AS sim", "id")
+    order = [F.col("sim").desc(), F.col("id")]
+    same(blocks.merged_lists(rows, ["qid"], order, 4, 1000, 10), best_rows(rows.drop("_list"), ["qid"], order, 4))
+    steps = []
+    for_step = lambda df, keys, *rest, **how: steps.append((keys, df.groupBy(*keys).count().agg(F.max("count")).first()[0])) or best_rows(df, keys, *rest, **how)
+    monkeypatch.setattr(blocks, "best_rows", for_step)
+    blocks.merged_lists(rows, ["qid"], order, 4, 1000, 10)
+    assert [k for k, _ in steps] == [["qid", "_list"], ["qid", "_list"], ["qid"]] and all(n <= 40 for _, n in steps)
+
+
 def test_density_ways(spark, tables):
     given = tables.vectors.select("id", "vec", (F.col("id") % 2).alias("g"))
     same(
