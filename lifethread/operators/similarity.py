@@ -25,13 +25,16 @@ SAMPLE_FRAMES = 5
 def cosine_topk(
     queries: DataFrame, corpus: DataFrame, k: int, min_sim: float | None = None, *, qid: str = "qid", cid: str = "id",
     vec: str = "vec", by: Sequence[str] = (), exclude_self: bool = False, query_t: str | None = None,
-    corpus_t: str | None = None, way: str | None = None, **sizes: int,
+    corpus_t: str | None = None, way: str | None = None, within: bool = False, **sizes: int,
 ) -> DataFrame:
     """Exact cosine top-k for a batch of queries: (qid, id, sim, rank); equal scores go by lowest id.
 
     With ``query_t`` and ``corpus_t`` rows after the query's time are left out before the top-k; with ``by``
-    only rows of equal ``by`` are compared.
+    only rows of equal ``by`` are compared. ``within``: an id names a row only together with ``by``; each
+    (by, qid) has its own top-k, and the result has the columns ``by`` too.
     """
+    carried = list(by) if within else []
+    named = "".join(f"{b} {queries.schema[b].dataType.simpleString()}, " for b in carried)
     q_type, c_type = queries.schema[qid].dataType.simpleString(), corpus.schema[cid].dataType.simpleString()
     timed = query_t is not None and corpus_t is not None
 
@@ -44,7 +47,7 @@ def cosine_topk(
         if timed:
             scores = np.where(c.cols[corpus_t][None, :] > q.cols[query_t][:, None], -np.inf, scores)
         row, col = best_per_row(scores, tie_codes(c.ids), k)
-        return {"qid": q.ids[row], "id": c.ids[col], "sim": scores[row, col]}
+        return {"qid": q.ids[row], "id": c.ids[col], "sim": scores[row, col], **{b: q.cols[b][row] for b in carried}}
 
     def combine(found: pa.Table) -> pa.Table:
         qids, ids, sims = (np.asarray(found.column(n).to_pandas()) for n in ("qid", "id", "sim"))
@@ -56,7 +59,7 @@ def cosine_topk(
         return found.take(pa.array(order[place < k]))
 
     return block_best(
-        queries, corpus, kernel, f"qid {q_type}, id {c_type}, sim double", ["qid"], [F.col("sim").desc(), F.col("id")], k, qid=qid, cid=cid,
+        queries, corpus, kernel, f"{named}qid {q_type}, id {c_type}, sim double", [*carried, "qid"], [F.col("sim").desc(), F.col("id")], k, qid=qid, cid=cid,
         vec=vec, by=by, q_extra=[query_t] if timed else [], c_extra=[corpus_t] if timed else [], combine=combine, way=way, rank="rank", **sizes,
     )
 
@@ -79,9 +82,8 @@ def knn_prune(
     keep = (n - F.least(F.floor(F.lit(1.0 - p) * n), n - min_neighbours)).cast("int")
     quota = points.groupBy(*by).agg(keep.alias("_keep"))
     most = quota.agg(F.max("_keep")).first()[0] or 0
-    best = cosine_topk(points, points, most, qid=id_col, cid=id_col, vec=vec, by=by, way=way, **sizes)
-    owner = points.select(F.col(id_col).alias("qid"), *by)
-    kept = best.join(owner, "qid").join(quota, list(by)).where(F.col("rank") <= F.col("_keep"))
+    best = cosine_topk(points, points, most, qid=id_col, cid=id_col, vec=vec, by=by, way=way, within=True, **sizes)
+    kept = best.join(quota, list(by)).where(F.col("rank") <= F.col("_keep"))
     kept = kept.where(F.col("qid") != F.col("id"))
     half = kept.select(*by, F.col("qid").alias("i"), F.col("id").alias("j"), (F.col("sim") / 2).alias("affinity"))
     flipped = half.select(*by, F.col("j").alias("i"), F.col("i").alias("j"), "affinity")

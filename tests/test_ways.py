@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lifethread.operators import blocks, clustering, density, graph, intervals, ordered, resolve, similarity, vector_index
+from lifethread.operators import blocks, clustering, density, graph, intervals, ordered, resolve, similarity, spectral, vector_index
 from lifethread.operators.history import best_rows
 from lifethread.plans import retrieval
 from lifethread.plans.catalog import state
@@ -85,6 +85,48 @@ def test_density_ways(spark, tables):
     )
 
 
+def test_spectral_ways(spark, monkeypatch):
+    """Both ways give the same labels, also with copies, equal distances and ids that come again in other recordings."""
+    monkeypatch.setattr(spectral, "SETTLED", 1e-5)
+    rng = np.random.default_rng(4)
+    rows = []
+    for rec, many in enumerate((2, 3)):
+        centres = np.linalg.qr(rng.normal(size=(6, 6)))[0][:many]
+        for i in range(18 * many):
+            v = centres[i % many] + (rng.normal(size=6) * 0.15 if i % 3 else 0.0)  # every third is a copy of its centre
+            rows.append((rec, i, v.tolist()))
+    points = spark.createDataFrame(rows, "rec int, id long, vec array<double>").repartition(3)
+    small = clustering.spectral(points, ["rec"], p=0.3, max_speakers=4)
+    large = clustering.spectral(points, ["rec"], p=0.3, max_speakers=4, task_rows=4)
+    same(small, large)
+    truth = {(r, i): i % (2 + r) for r, i, _ in rows}
+    assert len({(x.rec, x.label, truth[(x.rec, x.id)]) for x in small.collect()}) == 5
+    one = np.array([[0.0, 0.0], [1.0, 0.0], [0.0, 1.0], [1.0, 1.0]] * 3)  # equal distances everywhere
+    flat = spark.createDataFrame([(0, i, v.tolist(), 2) for i, v in enumerate(one)], "rec int, id long, x array<double>, k int")
+    got = {r.id: r.label for r in spectral.kmeans_rounds(flat, ["rec"], 2).collect()}
+    assert [got[i] for i in range(12)] == clustering.kmeans(one, 2).tolist()
+
+
+def test_ids_of_a_recording_only(spark):
+    """The same ids in two recordings: linkage by joins and small clusters find only neighbours of their own recording."""
+    rng = np.random.default_rng(6)
+    centres = np.eye(4)
+    rows = [(rec, i, (centres[(i + rec) % 3] + rng.normal(size=4) * 0.05).tolist()) for rec in range(2) for i in range(13 + 8 * rec)]
+    points = spark.createDataFrame(rows, "rec int, id long, vec array<double>").repartition(3)
+    same(clustering.ahc(points, ["rec"]), clustering.ahc(points, ["rec"], task_rows=4))
+    marked = points.withColumn("label", F.when((F.col("id") < 2) & (F.col("rec") == 0), 9).otherwise((F.col("id") + F.col("rec")) % 3).cast("int"))
+    got = {(r.rec, r.id): r.label for r in clustering.absorb_minor(marked, ["rec"], 2).collect()}
+    assert got == {(rec, i): (i + rec) % 3 for rec, i, _ in rows}
+
+
+def test_unsettled_vectors_are_an_error(spark, monkeypatch):
+    points = spark.createDataFrame([(0, i, [float(i % 5 == j) + i / 40 for j in range(5)]) for i in range(20)], "rec int, id long, vec array<double>")
+    monkeypatch.setattr(spectral, "SETTLED", -1.0)
+    monkeypatch.setattr(spectral, "PATIENCE", 2)
+    with pytest.raises(RuntimeError, match="did not settle"):
+        clustering.spectral(points, ["rec"], p=0.3, max_speakers=2, task_rows=4)
+
+
 def test_stored_index(spark, tables, tmp_path):
     """A few probes find nine of ten of the exact best rows, over all rows; with the second pass all of them, also under a time bound."""
     rng = np.random.default_rng(1)
