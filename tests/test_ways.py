@@ -121,8 +121,8 @@ def test_ids_of_a_recording_only(spark):
 
 def test_unsettled_vectors_are_an_error(spark, monkeypatch):
     points = spark.createDataFrame([(0, i, [float(i % 5 == j) + i / 40 for j in range(5)]) for i in range(20)], "rec int, id long, vec array<double>")
-    monkeypatch.setattr(spectral, "SETTLED", -1.0)
-    monkeypatch.setattr(spectral, "PATIENCE", 2)
+    monkeypatch.setattr(spectral, "_residual", lambda *_: 1.0)
+    monkeypatch.setattr(spectral, "PATIENCE", 1)
     with pytest.raises(RuntimeError, match="did not settle"):
         clustering.spectral(points, ["rec"], p=0.3, max_speakers=2, task_rows=4)
 
