@@ -133,12 +133,47 @@ def spoken(t: Tables) -> DataFrame:
     return t.vec.select("event_id", "vec").join(e, "event_id").select("*", F.lit("person1").alias("speaker"), F.lit(0).alias("pos"))
 
 
-@query("C12_resolve_voices")
-def _(t: Tables) -> DataFrame:
-    got = resolve.resolve_voices(spoken(t), VOICE_RULES)
+def voice_sql(participant: str) -> str:
+    """The voice fold as SQL, one row of every participant a step: ``h`` holds a voice's vectors, ``mean`` its running mean."""
+    unit = lambda v: f"list_transform({v}, lambda q: q / sqrt(list_dot_product({v}, {v})))"
+    return f"""
+    WITH RECURSIVE src AS MATERIALIZED (
+      SELECT p, row_number() OVER (PARTITION BY p ORDER BY t_sec, event_id) AS k, event_id, d, vec, {unit("vec")} AS u
+      FROM (SELECT {participant} AS p, e.t_sec, e.event_id, e.value / 10.0 AS d, v.vec FROM m_vec v JOIN m_event e ON e.event_id = v.event_id)),
+    fold AS (
+      SELECT p, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, CAST([] AS STRUCT(mean DOUBLE[], h STRUCT(s DOUBLE, d DOUBLE, u DOUBLE[])[])[]) AS voices,
+        CAST(NULL AS BIGINT) AS number, CAST(NULL AS DOUBLE) AS best, 0 AS known FROM src WHERE k = 1
+      UNION ALL
+      SELECT p, k, event_id, CASE WHEN best IS NULL THEN list_append(voices, {{'mean': vec, 'h': [{{'s': CAST(1.0 AS DOUBLE), 'd': d, 'u': u}}]}})
+        ELSE list_transform(voices, lambda v, i: CASE WHEN i <> number THEN v ELSE {{
+          'mean': CASE WHEN best >= 0.3 THEN {unit("list_transform(list_zip(vec, v.mean), lambda z: 0.7 * z[1] + (1 - 0.7) * z[2])")} ELSE v.mean END,
+          'h': CASE WHEN len(v.h) < 20 THEN list_append(v.h, {{'s': best, 'd': d, 'u': u}})
+            ELSE list_reverse_sort(list_filter(list_append(v.h, {{'s': best, 'd': d, 'u': u}}), lambda x: x.d >= 1.5 AND x.s >= 0.5))[1:20] END}} END) END,
+        CASE WHEN best IS NULL THEN len(voices) + 1 ELSE number END, best, CASE WHEN best IS NULL THEN len(voices) ELSE 0 END
+      FROM (SELECT *, list_max(fit) AS best, list_position(fit, list_max(fit)) AS number FROM (SELECT *, list_transform(sc, lambda x: CASE WHEN x >= 0.25 THEN x END) AS fit FROM (
+        SELECT f.voices, s.*, list_transform(f.voices, lambda v: CASE WHEN len(v.h) = 0 THEN list_dot_product({unit("v.mean")}, s.u)
+          ELSE list_avg(list_reverse_sort(list_transform(v.h, lambda x: list_dot_product(x.u, s.u)))[1:5]) END) AS sc
+        FROM fold f JOIN src s ON s.p = f.p AND s.k = f.k + 1))))
+    SELECT p AS participant, event_id, concat('voice_', number) AS voice_id, best IS NULL AS is_new, round(coalesce(best, 1.0), 6) AS match_score,
+      coalesce(best >= 0.3, false) AS mean_updated, known FROM fold WHERE k > 0"""
+
+
+def _voices(got: DataFrame) -> DataFrame:
     return got.select("participant", "event_id", "voice_id", "is_new", r6("match_score").alias("match_score"), "mean_updated", F.size("register_score").alias("known"))
 
 
+@query("C12_resolve_voices", voice_sql("e.participant % 12"))
+def _(t: Tables) -> DataFrame:
+    return _voices(resolve.resolve_voices(spoken(t), VOICE_RULES))
+
+
+@query("C12_hot_participant", voice_sql("CASE WHEN e.event_id % 3 = 0 THEN 0 ELSE e.participant % 12 + 1 END"))
+def _(t: Tables) -> DataFrame:
+    """A third of the rows are one participant's, folded by ranges of 64."""
+    who = F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("participant") + 1)
+    return _voices(resolve.resolve_voices(spoken(t).withColumn("participant", who.cast("bigint")), VOICE_RULES, range_rows=64))
+
+
 @query("C13_joint_labels")
 def _(t: Tables) -> DataFrame:
     audio = voiced_turns(t).select("recording_id", "id", "start", "end", "vec", "label")
@@ -310,14 +345,14 @@ def _(t: Tables) -> DataFrame:
     return _run(t, streams.stream_chains(_stream(t).select("participant", "event_id", "t_sec")), "st2")
 
 
-@query("ST3_stream_resolve")
+@query("ST3_stream_resolve", voice_sql("e.participant % 12"))
 def _(t: Tables) -> DataFrame:
     live = _stream(t).join(t.read("embeddings").select(F.col("vec_id").alias("event_id"), F.col("embedding").alias("vec")), "event_id").select(
         (F.col("participant") % 12).alias("participant"), "event_id", F.lit("person1").alias("speaker"), "t_sec", F.lit(0).alias("pos"),
         (F.col("value") / F.lit(10.0)).alias("duration"), "vec",
     )
     got = _run(t, streams.stream_resolve(live, VOICE_RULES), "st3")
-    return got.select("participant", "event_id", "voice_id", "is_new", r6("match_score").alias("match_score"), "mean_updated", F.size("register_score").alias("known"))
+    return _voices(got)
 
 
 @query("ST3_stream_entities")

@@ -195,12 +195,12 @@ def test_hot_participant_in_ranges(spark, tables, who):
     """One participant with all or a third of the rows: ranges folded apart give the rows of one fold."""
     segments = state.spoken(tables).withColumn("participant", F.expr(who)).cache()
     whole = resolve.resolve_voices(segments, state.VOICE_RULES).cache()
-    got = resolve.resolve_voices(segments, state.VOICE_RULES, range_rows=12).cache()
+    got = resolve.resolve_voices(segments, state.VOICE_RULES, range_rows=60).cache()
     same(got, whole)
     assert whole.where("not is_new").count() > 5 and whole.where("is_new").count() > 5
     objects = state.seen_objects(tables).withColumn("participant", F.expr(who)).cache()
     whole = resolve.resolve_entities(objects, state.ENTITY_RULES).cache()
-    same(resolve.resolve_entities(objects, state.ENTITY_RULES, range_rows=30), whole)
+    same(resolve.resolve_entities(objects, state.ENTITY_RULES, range_rows=100), whole)
     assert whole.where("not is_new").count() > 5 and whole.where("error is not null").count() > 0
 
 
@@ -209,12 +209,12 @@ def test_ranges_of_few_voices(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(6, 16))
     data = []
-    for i in range(400):
-        v = centres[int(rng.integers(0, 3 if i < 150 else 6))] + rng.normal(size=16) * 0.3
+    for i in range(240):
+        v = centres[int(rng.integers(0, 3 if i < 100 else 6))] + rng.normal(size=16) * 0.3
         data.append((7, i, "s", float(i // 2), i % 2, float(rng.uniform(0.5, 4)), v.tolist()))
     given = spark.createDataFrame(data, "participant int, event_id int, speaker string, t_sec double, pos int, duration double, vec array<double>")
     whole = resolve.resolve_voices(given).cache()
-    same(resolve.resolve_voices(given, range_rows=25), whole)
+    same(resolve.resolve_voices(given, range_rows=50), whole)
     assert whole.select("voice_id").distinct().count() == 6
 
 
