@@ -118,7 +118,19 @@ def _(t: Tables) -> DataFrame:
     return clustering.absorb_minor(given, ["rec"]).select("id", "rec", "label")
 
 
-@query("C7_merge_close")
+@query("C7_merge_close", """
+    WITH RECURSIVE src AS (SELECT label AS rec, vec_id AS id, CAST(vec_id % 7 AS INT) AS label, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+    sums AS (SELECT rec, label, list(s ORDER BY i) AS total FROM (SELECT rec, label, i, sum(vec[i]) AS s FROM (SELECT *, unnest(range(1, len(vec) + 1)) AS i FROM src) GROUP BY ALL) GROUP BY ALL),
+    merge AS (
+      SELECT rec, list({'label': label, 'now': label, 'total': total} ORDER BY label) AS cs FROM sums GROUP BY rec
+      UNION ALL
+      SELECT rec, list_transform(cs, lambda c: {'label': c.label, 'now': CASE WHEN c.now = best.b THEN best.a ELSE c.now END,
+        'total': CASE WHEN c.now IN (best.a, best.b) THEN list_transform(list_zip(list_filter(cs, lambda d: d.now = best.a)[1].total, list_filter(cs, lambda d: d.now = best.b)[1].total), lambda z: z[1] + z[2]) ELSE c.total END})
+      FROM (SELECT rec, cs, list_reverse_sort(flatten(list_transform(cs, lambda x: list_transform(list_filter(cs, lambda y: x.now < y.now),
+          lambda y: {'sim': list_cosine_similarity(x.total, y.total), 'oa': -x.now, 'ob': -y.now, 'a': x.now, 'b': y.now}))))[1] AS best FROM merge)
+      WHERE best.sim >= 0.85),
+    done AS (SELECT rec, unnest(cs) AS c FROM (SELECT rec, arg_min(cs, list_unique(list_transform(cs, lambda c: c.now))) AS cs FROM merge GROUP BY rec))
+    SELECT src.id, src.rec, done.c.now AS label FROM src JOIN done ON done.rec = src.rec AND done.c.label = src.label""")
 def _(t: Tables) -> DataFrame:
     given = t.vectors.select("id", F.col("label").alias("rec"), (F.col("id") % 7).cast("int").alias("label"), "vec")
     return clustering.merge_close(given, ["rec"], 0.85).select("id", "rec", "label")

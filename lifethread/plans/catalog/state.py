@@ -121,12 +121,52 @@ ENTITY_RULES = resolve.EntityRules(text_threshold=0.05)
 VOICE_RULES = resolve.VoiceRules(threshold=0.25, ema_from=0.3)
 
 
-@query("C10_resolve_entities")
-def _(t: Tables) -> DataFrame:
-    got = resolve.resolve_entities(seen_objects(t), ENTITY_RULES)
+def entity_sql(participant: str) -> str:
+    """The entity fold as SQL, one row of every participant a step; ``vis`` is how well an event's boxes fit those found for a text."""
+    return f"""
+    WITH RECURSIVE li AS (
+      SELECT l_orderkey AS event_id, l_linenumber AS t, CAST(l_quantity AS DOUBLE) AS x, CAST(l_discount * 100 AS DOUBLE) AS y, CAST(10 + l_tax * 100 AS DOUBLE) AS w, CAST(l_quantity + l_suppkey % 5 AS DOUBLE) AS dx,
+        list_extract(['click', 'view', 'signup', 'error', 'purchase'], CAST(l_partkey % 5 + 1 AS INT)) AS word, row_number() OVER () AS n FROM lineitem),
+    lap AS (SELECT f.event_id, f.n, d.word, d.w * 12 AS a, f.w * 12 AS b, least(d.dx + d.w, f.x + f.w) - greatest(d.dx, f.x) AS across, least(d.y, f.y) + 12 - greatest(d.y, f.y) AS down
+      FROM li f JOIN li d ON d.event_id = f.event_id AND d.t = f.t),
+    fit AS (SELECT event_id, n, word, max(CASE WHEN across < 0 OR down < 0 THEN 0 ELSE across * down / (a + b - across * down) END) AS best FROM lap GROUP BY ALL),
+    vis AS (SELECT event_id, map(list(word), list(v)) AS vis FROM (SELECT event_id, word, avg(best) AS v FROM fit WHERE best > 0 GROUP BY ALL) GROUP BY 1),
+    all_rows AS MATERIALIZED (
+      SELECT {participant} AS p, e.event_id, o.pos, e.t_sec, CASE WHEN lower(o.name) LIKE '%human%' OR lower(o.name) LIKE '%person%' THEN 'person' ELSE 'object' END AS kind,
+        e.event_type AS word, list_transform(v.vec, lambda q: q / sqrt(list_dot_product(v.vec, v.vec))) AS u, vis.vis, e.k % 9 <> 8 AS crops
+      FROM m_object o JOIN m_event e ON e.event_id = o.event_id JOIN m_vec v ON v.event_id = o.event_id LEFT JOIN vis ON vis.event_id = o.event_id),
+    src AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY p ORDER BY t_sec, event_id, pos) AS k FROM all_rows WHERE crops),
+    fold AS (
+      SELECT p, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS INT) AS pos, CAST([] AS STRUCT(name VARCHAR, kind VARCHAR, word VARCHAR, us DOUBLE[][])[]) AS known,
+        CAST(NULL AS VARCHAR) AS name, CAST(NULL AS BOOLEAN) AS fresh, CAST(NULL AS DOUBLE) AS score FROM src WHERE k = 1
+      UNION ALL
+      SELECT p, k, event_id, pos, CASE WHEN fresh THEN list_append(known, {{'name': name, 'kind': kind, 'word': word, 'us': [u]}})
+        ELSE list_transform(known, lambda e: CASE WHEN e.name <> name THEN e ELSE {{'name': e.name, 'kind': e.kind, 'word': word, 'us': list_append(e.us, u)[-5:]}} END) END, name, fresh, score
+      FROM (SELECT *, CASE WHEN fresh THEN concat(kind, '_', CASE WHEN num < 100 THEN lpad(CAST(num AS VARCHAR), 3, '0') ELSE CAST(num AS VARCHAR) END) ELSE known[near[list_position(seen, score)].i].name END AS name
+      FROM (SELECT *, coalesce(list_max(seen), 0) AS score, coalesce(list_max(seen), 0) < 0.5 AS fresh, len(list_filter(known, lambda e: e.kind = kind)) + 1 AS num
+      FROM (SELECT *, list_transform(near, lambda c: coalesce(vis[known[c.i].word], 0)) AS seen
+      FROM (SELECT f.known, s.*, list_reverse_sort(list_filter(list_transform(f.known, lambda e, i: {{'sim': round(list_max(list_transform(e.us, lambda q: list_dot_product(q, s.u))), 9), 'o': -i, 'i': i}}), lambda c: c.sim > 0.05))[1:3] AS near
+      FROM fold f JOIN src s ON s.p = f.p AND s.k = f.k + 1)))))
+    SELECT p AS participant, event_id, pos, name AS global_name, fresh AS is_new, round(score, 6) AS final_score, CAST(NULL AS VARCHAR) AS error FROM fold WHERE k > 0
+    UNION ALL SELECT p, event_id, pos, NULL, NULL, NULL, 'no_crops' FROM all_rows WHERE NOT crops"""
+
+
+def _entities(got: DataFrame) -> DataFrame:
     return got.select("participant", "event_id", "pos", "global_name", "is_new", r6("final_score").alias("final_score"), "error")
 
 
+@query("C10_resolve_entities", entity_sql("e.participant % 12"))
+def _(t: Tables) -> DataFrame:
+    return _entities(resolve.resolve_entities(seen_objects(t), ENTITY_RULES))
+
+
+@query("C10_hot_participant", entity_sql("CASE WHEN e.event_id % 3 = 0 THEN 0 ELSE e.participant % 12 + 1 END"))
+def _(t: Tables) -> DataFrame:
+    """A third of the rows are one participant's, folded by ranges of 128."""
+    who = F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("participant") + 1)
+    return _entities(resolve.resolve_entities(seen_objects(t).withColumn("participant", who.cast("bigint")), ENTITY_RULES, range_rows=128))
+
+
 def spoken(t: Tables) -> DataFrame:
     """Speaker segments with a voice vector each, a dozen participants."""
     e = t.event.select("event_id", (F.col("participant") % 12).alias("participant"), "t_sec", (F.col("value") / F.lit(10.0)).alias("duration"))
@@ -355,12 +395,12 @@ def _(t: Tables) -> DataFrame:
     return _voices(got)
 
 
-@query("ST3_stream_entities")
+@query("ST3_stream_entities", entity_sql("e.participant % 12"))
 def _(t: Tables) -> DataFrame:
     static = seen_objects(t).drop("participant", "t_sec")
     live = _stream(t).select("event_id", (F.col("participant") % 12).alias("participant"), "t_sec").join(static, "event_id")
     got = _run(t, streams.stream_entities(live, ENTITY_RULES), "st3e")
-    return got.select("participant", "event_id", "pos", "global_name", "is_new", r6("final_score").alias("final_score"), "error")
+    return _entities(got)
 
 
 @query("ST4_stream_temporal_edges", f"""
