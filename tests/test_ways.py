@@ -195,12 +195,12 @@ def test_hot_participant_in_ranges(spark, tables, who):
     """One participant with all or a third of the rows: ranges folded apart give the rows of one fold."""
     segments = state.spoken(tables).withColumn("participant", F.expr(who)).cache()
     whole = resolve.resolve_voices(segments, state.VOICE_RULES).cache()
-    got = resolve.resolve_voices(segments, state.VOICE_RULES, range_rows=60).cache()
+    got = resolve.resolve_voices(segments, state.VOICE_RULES, range_rows=150).cache()
     same(got, whole)
     assert whole.where("not is_new").count() > 5 and whole.where("is_new").count() > 5
     objects = state.seen_objects(tables).withColumn("participant", F.expr(who)).cache()
     whole = resolve.resolve_entities(objects, state.ENTITY_RULES).cache()
-    same(resolve.resolve_entities(objects, state.ENTITY_RULES, range_rows=100), whole)
+    same(resolve.resolve_entities(objects, state.ENTITY_RULES, range_rows=300), whole)
     assert whole.where("not is_new").count() > 5 and whole.where("error is not null").count() > 0
 
 
