@@ -335,3 +335,28 @@ def test_three_hops_against_walking(spark, scope):
     frame = lambda rows, ddl: spark.createDataFrame(rows, ddl).repartition(3)
     got = graph.expand(frame(cores, "qid int, event_id string"), frame(events, "event_id string, t_sec double"), frame(edges, "src string, dst string, type string"), 3, 3, scope)
     assert sorted((r["neighbour"], r["relation_type"], r["core"]) for r in got.collect()) == expected
+
+
+@pytest.mark.parametrize("way", ["corpus", "queries", "blocks"])
+def test_a_kernel_sees_bounded_tiles(spark, way):
+    """However many questions and rows meet in a task, a kernel is given at most ``TILE_CELLS`` pairs at a time, and every pair once."""
+    side = lambda n, name: spark.range(n).selectExpr(f"id AS {name}", "array(CAST(id % 7 AS DOUBLE), 1.0D) AS vec").coalesce(1)
+
+    def kernel(q, c):
+        return {"qid": q.ids, "n": np.full(len(q.ids), len(q.ids) * len(c.ids))}
+
+    how = {"qid": "qid", "cid": "id", "vec": "vec", "way": way, "block_rows": 20_000}
+    got = blocks.block_apply(side(3000, "qid"), side(4000, "id"), kernel, "qid long, n long", combine=lambda found: found, **how)
+    assert got.agg(F.max("n")).first()[0] <= 1 << 21
+    assert got.select("qid").distinct().count() == 3000
+
+
+def test_long_lists_come_from_few_questions(spark):
+    """Where every question may have very many rows, a block holds few questions."""
+    rows = spark.range(500).selectExpr("id AS qid", "id", "array(CAST(id % 7 AS DOUBLE), 1.0D) AS vec", "0 AS g")
+
+    def kernel(q, c):
+        return {"g": np.zeros(len(q.ids), int), "qid": q.ids, "n": np.full(len(q.ids), len(q.ids))}
+
+    got = blocks.block_best(rows, rows, kernel, "g int, qid long, n long", ["qid"], [F.col("n")], (1 << 20) // 50, qid="qid", cid="id", vec="vec", by=["g"])
+    assert got.count() == 500 and got.agg(F.max("n")).first()[0] < 150
