@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lifethread.operators import blocks, clustering, density, graph, intervals, ordered, resolve, similarity, spectral, vector_index
+from lifethread.operators import blocks, clustering, density, fold_ranges, graph, intervals, ordered, resolve, similarity, spectral, vector_index
 from lifethread.operators.history import best_rows
 from lifethread.plans import retrieval
 from lifethread.plans.catalog import state
@@ -218,6 +218,18 @@ def test_ranges_of_few_voices(spark):
     assert whole.select("voice_id").distinct().count() == 6
 
 
+def test_a_long_key_has_few_ranges(spark, monkeypatch):
+    """However many rows a key has, rounds are over at most ``MOST_RANGES`` ranges; rows are those of one fold."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(5, 8))
+    data = [(7, i, "s", float(i), 0, 2.0, (centres[int(rng.integers(0, 5))] + rng.normal(size=8) * 0.2).tolist()) for i in range(300)]
+    given = spark.createDataFrame(data, "participant int, event_id int, speaker string, t_sec double, pos int, duration double, vec array<double>")
+    folded, seen = fold_ranges._judged, []
+    monkeypatch.setattr(fold_ranges, "_judged", lambda rows, *rest: (seen.append(rows.agg(F.max("_range")).first()[0]), folded(rows, *rest))[1])
+    same(resolve.resolve_voices(given, range_rows=4), resolve.resolve_voices(given))
+    assert 0 < max(seen) < 8
+
+
 def test_stream_equals_batch(spark, tables):
     from lifethread.plans.catalog.registry import _QUERIES
 
