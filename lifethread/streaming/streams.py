@@ -7,11 +7,12 @@ processed does not change them: what was decided stays decided.
 from __future__ import annotations
 
 import datetime
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -260,28 +261,33 @@ def stream_entities(df: DataFrame, rules: EntityRules | None = None, begin: Data
     )
 
 
-class _Temporal(_Ordered):
+class _Temporal(StatefulProcessor):
+    """Keys are many and have few rows each, so rows are handled as they are, without a frame per key."""
+
     def __init__(self, n: int, max_s: float, event: str, t: str):
         self.n, self.max_s, self.event, self.t = n, max_s, event, t
-        self.order = [t, event]
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
+    def init(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getListState("recent", "event string, t double")
 
-    def step(self, key, batch: pd.DataFrame) -> pd.DataFrame:
-        past = [(e, t) for e, t in self.recent.get()] if self.recent.exists() else []
-        out = []
-        for event, t in zip(batch[self.event], batch[self.t]):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = lambda v, none: (v is None, none if v is None else v)  # nulls come last
+        batch = sorted(((row[self.t], row[self.event]) for row in rows), key=lambda r: (*known(r[0], 0.0), *known(r[1], 0)))
+        past = [(e, t) for e, t in self.recent.get()]
+        for t, event in batch:
+            t, event = math.nan if t is None else float(t), str(math.nan if event is None else event)
             earlier = [p for p in past if p[1] < t][-self.n :]
             for e, at in earlier:
                 gap = round(t - at, 6)
                 if 0 < gap <= self.max_s:
-                    out.append((str(event), e, "temporal_after", gap))
-            past = sorted([*past, (str(event), float(t))], key=lambda p: p[1])
+                    yield Row(event_id=event, related_event_id=e, type="temporal_after", time_diff_seconds=gap)
+            past = sorted([*past, (event, t)], key=lambda p: p[1])
             newest = past[-1][1]  # n strictly earlier ones and all of the newest time can still count
             past = [p for p in past if p[1] < newest][-self.n :] + [p for p in past if p[1] == newest]
         self.recent.put(past)
-        return pd.DataFrame(out, columns=["event_id", "related_event_id", "type", "time_diff_seconds"])
+
+    def close(self) -> None:
+        pass
 
 
 def stream_temporal_edges(
@@ -289,6 +295,6 @@ def stream_temporal_edges(
 ) -> DataFrame:
     """ST4: ``temporal_after`` relations as events arrive; the state is the last ``n`` events of a day."""
     ship(df.sparkSession)
-    return df.groupBy(*keys).transformWithStateInPandas(
+    return df.select(*keys, event, t).groupBy(*keys).transformWithState(
         _Temporal(n, max_s, event, t), "event_id string, related_event_id string, type string, time_diff_seconds double", "Append", "None"
     )

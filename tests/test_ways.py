@@ -1,13 +1,17 @@
 """The distributed ways give what the small ways give, and streams give what batches give."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lifethread.operators import blocks, clustering, density, fold_ranges, graph, intervals, ordered, resolve, similarity, spectral, vector_index
 from lifethread.operators.history import best_rows
 from lifethread.plans import retrieval
 from lifethread.plans.catalog import state
+from lifethread.streaming import streams
 
 
 def same(a, b):
@@ -372,3 +376,14 @@ def test_long_lists_come_from_few_questions(spark):
 
     got = blocks.block_best(rows, rows, kernel, "g int, qid long, n long", ["qid"], [F.col("n")], (1 << 20) // 50, qid="qid", cid="id", vec="vec", by=["g"])
     assert got.count() == 500 and got.agg(F.max("n")).first()[0] < 150
+
+
+def test_temporal_rows_are_handled_as_they_are():
+    """A key of few rows costs no frame; times in any order, an equal time sees none of its own."""
+    kept = []
+    job = streams._Temporal(2, 60.0, "event_id", "t_sec")
+    job.recent = SimpleNamespace(get=lambda: iter([("1", 5.0)]), put=kept.extend)
+    rows = [Row(event_id=4, t_sec=20.0), Row(event_id=3, t_sec=10.0), Row(event_id=2, t_sec=10.0)]
+    got = [(r.event_id, r.related_event_id, r.time_diff_seconds) for r in job.handleInputRows((1, 1), iter(rows), None)]
+    assert got == [("2", "1", 5.0), ("3", "1", 5.0), ("4", "2", 10.0), ("4", "3", 10.0)]
+    assert kept == [("2", 10.0), ("3", 10.0), ("4", 20.0)]
