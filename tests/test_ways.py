@@ -111,6 +111,24 @@ def test_spectral_ways(spark, monkeypatch):
     assert [got[i] for i in range(12)] == clustering.kmeans(one, 2).tolist()
 
 
+def test_multiplication_by_tiles(spark):
+    """The Laplacian from tiles of edges that cut recordings and pieces that cut rows is that of the whole matrix."""
+    rng = np.random.default_rng(9)
+    want, edges, rows = {}, [], []
+    for rec, n in (("a", 7), ("b", 10)):
+        a, x = np.triu(np.round(rng.random((n, n)), 3) * (rng.random((n, n)) < 0.6), 1), rng.random((n, 3))
+        a += a.T
+        edges += [(rec, int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))]
+        rows += [(rec, i, x[i].tolist()) for i in range(n)]
+        y = np.diag(a.sum(axis=1)) @ x - a @ x
+        want |= {(rec, i): y[i] for i in range(n)}
+    block = spark.createDataFrame(rows, "rec string, id long, x array<double>")
+    laplacian = spectral._Laplacian(spark.createDataFrame(edges, "rec string, i long, j long, affinity double"), block, ["rec"], 3, tile=4, piece=5)
+    assert laplacian.tiles.agg(F.max(F.length("cols"))).first()[0] <= 5 * 4
+    got = {(r.rec, r.id): r.y for r in laplacian.times(block, "x", "y").collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
 def test_ids_of_a_recording_only(spark):
     """The same ids in two recordings: linkage by joins and small clusters find only neighbours of their own recording."""
     rng = np.random.default_rng(6)
