@@ -6,9 +6,9 @@ per word. A window whose representative stands at one place only stands there on
 once per document. A window goes if an equal one is in a document of smaller id or starts earlier in its own; windows that overlap or touch
 merge to maximal removal intervals. A document whose whole text a smaller id has goes as a whole, so its windows are not counted again.
 
-The text is shuffled once: the joins that need it have the same exchange. So are the windows, whose groups are bounded: those of representatives with
-about ``1 / FREQUENT`` of all places or more (at most ``FREQUENT`` of them) are combined before a shuffle of their own instead, and joined in
-a form that adaptive execution can split.
+The text is shuffled once: the joins that need it have the same exchange. So are the windows, whose groups are bounded: under representatives with
+about ``1 / FREQUENT`` of all places or more (at most ``FREQUENT`` of them) windows are first counted, combined before their shuffle, and the
+hot ones, with such a share of them, go to all tasks with their smallest place (at most ``FREQUENT``) and are no rows at all.
 
 Defined results: null and empty texts have no words; ids that are null come before all others and count as one document; rows that repeat an id have
 the same place in the order, so they do not remove each other's windows; an empty table gives an empty result; extra columns are not read.
@@ -64,14 +64,14 @@ def representatives(words: Words, size: int, gram: int) -> tuple[np.ndarray, np.
     return slices[at], np.searchsorted(words.bounds, at, side="right") - 1, first, least[first]
 
 
-def _removed(words: Words, size: int, doomed: list[np.ndarray], copy: np.ndarray) -> np.ndarray:
+def _removed(words: Words, size: int, hot: Hot, doomed: list[np.ndarray], copy: np.ndarray, place: np.ndarray) -> np.ndarray:
     """True for every word inside a window that goes. ``doomed``: window hashes that smaller ids hold, by document; ``copy``: a smaller id has the text."""
-    _, first, value, doc = _windows(words, size)
+    h, first, value, doc = _windows(words, size)
     marks = np.zeros(len(words.start) + 1, np.int64)
     if len(first):
         key = mix(value + mix(doc.astype(np.uint64)))
         order = np.argsort(key, kind="stable")
-        gone = copy[doc]
+        gone = copy[doc] | (place[doc] > _hot_places(h, first, value, size, hot))
         gone[order[1:]] |= key[order[1:]] == key[order[:-1]]
         edge = np.searchsorted(doc, np.arange(len(words.counts) + 1))
         for d, list_of in enumerate(doomed):
@@ -82,22 +82,42 @@ def _removed(words: Words, size: int, doomed: list[np.ndarray], copy: np.ndarray
     return np.cumsum(marks)[:-1] > 0
 
 
-def _doomed_lists(batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
+def _doomed_lists(batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     copy = np.array([bool(x) for x in batch.column("copy").to_pylist()], bool)
-    return [np.array(x, np.int64).view(np.uint64) if x else np.zeros(0, np.uint64) for x in batch.column("doomed").to_pylist()], copy
+    return [np.array(x, np.int64).view(np.uint64) if x else np.zeros(0, np.uint64) for x in batch.column("doomed").to_pylist()], copy, batch.column("place").to_numpy()
 
 
-def _later_by_join(windows: DataFrame) -> DataFrame:
-    """(place, h, copy) of the windows that a smaller place has, for windows that very many places may have."""
-    first = windows.groupBy("h", "g").agg(F.min("place").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    # The key is written differently from the grouping, so that both sides get an exchange that Spark can split.
-    key = [F.expr("h ^ 1").alias("k"), F.col("g").alias("k2")]
-    later = windows.select(*key, "place").join(first.select(*key, "least"), ["k", "k2"]).filter("place > least")
-    return later.select("place", F.expr("k ^ 1").alias("h"), F.lit(False).alias("copy"))
+Hot = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def mark_repeats(docs: DataFrame, size: int = 20, gram: int = 6) -> DataFrame:
-    """The rows of ``docs`` with ``place`` (their id in the order), ``doomed`` (hashes of the windows that a smaller id holds) and ``copy``."""
+def _hot_windows(windows: DataFrame) -> Hot:
+    """Sorted hashes, second hashes and smallest places of the windows that make about ``1 / FREQUENT`` of ``windows`` or more (at most FREQUENT)."""
+    counts = materialize(windows.groupBy("h", "g").agg(F.min("place").alias("least"), F.count("*").alias("n")).filter("n > 1"), "substring-hot")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.filter(F.col("n") * FREQUENT >= total).orderBy("h", "g").toPandas()
+    h = found["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h, kind="stable")
+    return h[order], found["g"].to_numpy(np.int32)[order], found["least"].to_numpy(np.int64)[order]
+
+
+def _hot_places(words: np.ndarray, first: np.ndarray, value: np.ndarray, size: int, hot: Hot) -> np.ndarray:
+    """The smallest place of every window that is hot; the highest number for others."""
+    least = np.full(len(value), np.iinfo(np.int64).max)
+    known = np.flatnonzero(np.isin(value, hot[0])) if len(hot[0]) else np.zeros(0, np.int64)
+    if len(known):
+        at = np.searchsorted(hot[0], value[known])
+        same = _second(words, first[known], size) == hot[1][at]
+        least[known[same]] = hot[2][at[same]]
+    return least
+
+
+def _second(words: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    return (Rolling(mix(words))(first, first + size) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def mark_repeats(docs: DataFrame, size: int = 20, gram: int = 6) -> tuple[DataFrame, Hot]:
+    """The rows of ``docs`` with ``place`` (their id in the order), ``doomed`` (hashes of the windows that a smaller id holds, but for the hot
+    ones) and ``copy``; and the hot windows with their smallest places."""
     rows = docs.withColumn("place", F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)))
     texts = rows.select("place", F.col("text").cast("string").alias("text"))
 
@@ -122,40 +142,47 @@ def mark_repeats(docs: DataFrame, size: int = 20, gram: int = 6) -> DataFrame:
     held = map_pieces(texts, stand_for, "slice long, place long").join(shared, "slice").groupBy("place").agg(F.collect_set("slice").alias("slices"))
     held = held.join(copies, "place", "left_anti")
 
-    def hashes(batch: pa.RecordBatch, words: Words) -> dict:
-        _, _, first, least = representatives(words, size, gram)
-        h = words.hashes()
-        doc = np.searchsorted(words.bounds, first, side="right") - 1
-        edge = np.searchsorted(doc, np.arange(len(words.counts) + 1))
-        keep = np.zeros(len(first), bool)
-        for d, slices in enumerate(batch.column("slices")):
-            keep[edge[d]: edge[d + 1]] = np.isin(least[edge[d]: edge[d + 1]], slices.values.to_numpy().view(np.uint64))
-        often = np.isin(least[keep], frequent)
-        first, doc = first[keep], doc[keep]
-        value = Rolling(h)(first, first + size)
-        second = Rolling(mix(h))(first, first + size)
-        order = np.lexsort((value, doc))
-        value, second, doc, often = value[order], second[order], doc[order], often[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
-        return {"h": value[new].view(np.int64), "g": (second[new] >> np.uint64(32)).astype(np.uint32).view(np.int32),
-                "place": batch.column("place").take(pa.array(doc[new])), "often": often[new]}
-
-    windows = map_pieces(texts.join(held, "place"), hashes, "h long, g int, place long, often boolean")
+    def hashes(often: bool, hot: Hot):
+        """Window hashes, once per document: of those with frequent representatives only, or of all that are not ``hot``."""
+
+        def found(batch: pa.RecordBatch, words: Words) -> dict:
+            _, _, first, least = representatives(words, size, gram)
+            h = words.hashes()
+            doc = np.searchsorted(words.bounds, first, side="right") - 1
+            edge = np.searchsorted(doc, np.arange(len(words.counts) + 1))
+            keep = np.zeros(len(first), bool)
+            for d, slices in enumerate(batch.column("slices")):
+                keep[edge[d]: edge[d + 1]] = np.isin(least[edge[d]: edge[d + 1]], slices.values.to_numpy().view(np.uint64))
+            if often:
+                keep &= np.isin(least, frequent)
+            first, doc = first[keep], doc[keep]
+            value = Rolling(h)(first, first + size)
+            cool = _hot_places(h, first, value, size, hot) == np.iinfo(np.int64).max
+            first, doc, value = first[cool], doc[cool], value[cool]
+            order = np.lexsort((value, doc))
+            value, second, doc = value[order], _second(h, first, size)[order], doc[order]
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
+            return {"h": value[new].view(np.int64), "g": second[new], "place": batch.column("place").take(pa.array(doc[new]))}
+
+        return found
+
+    told, none = "h long, g int, place long", (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64))
+    texts_held = texts.join(held, "place")
+    hot = _hot_windows(map_pieces(texts_held, hashes(True, none), told)) if len(frequent) else none
+    windows = map_pieces(texts_held, hashes(False, hot), told)
     least_place = F.min("place").over(Window.partitionBy("h", "g"))
-    later = windows.filter("NOT often").select("h", "g", "place").withColumn("least", least_place).filter("place > least").select("place", "h", F.lit(False).alias("copy"))
-    if len(frequent):
-        later = later.unionByName(_later_by_join(windows.filter("often").drop("often")))
+    later = windows.withColumn("least", least_place).filter("place > least").select("place", "h", F.lit(False).alias("copy"))
     marks = later.unionByName(copies.select("place", F.lit(None).cast("long").alias("h"), F.lit(True).alias("copy")))
     doomed = marks.groupBy("place").agg(F.collect_list("h").alias("doomed"), F.max("copy").alias("copy"))
-    return rows.join(doomed, "place", "left")
+    return rows.join(doomed, "place", "left"), hot
 
 
 def substring_digest(docs: DataFrame, size: int = 20, gram: int = 6) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space)."""
 
     def digest(batch: pa.RecordBatch, words: Words) -> dict:
-        kept = ~_removed(words, size, *_doomed_lists(batch))
+        kept = ~_removed(words, size, hot, *_doomed_lists(batch))
         data, offsets = _joined(words, kept)
         sums = np.concatenate(([0], np.cumsum(~kept)))
         return {
@@ -163,7 +190,8 @@ def substring_digest(docs: DataFrame, size: int = 20, gram: int = 6) -> DataFram
             "kept_sha256": [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())],
         }
 
-    rows = mark_repeats(docs.select("doc_id", "text"), size, gram).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "doomed", "copy")
+    rows, hot = mark_repeats(docs.select("doc_id", "text"), size, gram)
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "place", "doomed", "copy")
     return map_pieces(rows, digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -186,7 +214,7 @@ def removal_spans(docs: DataFrame, size: int = 20, gram: int = 6) -> DataFrame:
     """(doc_id, first_word, last_word): the maximal removal intervals, words counted from 0."""
 
     def spans(batch: pa.RecordBatch, words: Words) -> dict:
-        gone = _removed(words, size, *_doomed_lists(batch))
+        gone = _removed(words, size, hot, *_doomed_lists(batch))
         state = gone * (words.doc + 1)
         edge = runs(state)
         lo, hi = edge[:-1], edge[1:]
@@ -194,5 +222,6 @@ def removal_spans(docs: DataFrame, size: int = 20, gram: int = 6) -> DataFrame:
         doc = words.doc[lo[take]] if len(state) else take
         return {"doc_id": batch.column("doc_id").take(pa.array(doc)), "first_word": lo[take] - words.bounds[doc], "last_word": hi[take] - 1 - words.bounds[doc]}
 
-    rows = mark_repeats(docs.select("doc_id", "text"), size, gram).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "doomed", "copy")
+    rows, hot = mark_repeats(docs.select("doc_id", "text"), size, gram)
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "place", "doomed", "copy")
     return map_pieces(rows, spans, "doc_id long, first_word long, last_word long")

@@ -6,6 +6,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lifethread.llm import decontaminate, jaccard, language_model, line_dedup, mixing, pii, quality, queries, substring, token_counts, toxicity
 from tests.llm import brute
@@ -148,6 +149,20 @@ def test_substring_spans_cover_what_is_removed(unique):
     assert spans == Counter({r.doc_id: r.n_removed for r in substring.substring_digest(unique).collect() if r.n_removed})
 
 
+@pytest.mark.parametrize("frequent", [4096, 40, 1])
+def test_substring_hot_windows_are_no_rows(spark, monkeypatch, frequent):
+    """Windows of very many documents go to all tasks instead of making a row for each document; results are those of plain Python."""
+    monkeypatch.setattr(substring, "FREQUENT", frequent)
+    common, rare = " ".join(f"c{i}" for i in range(40)), " ".join(f"r{i}" for i in range(25))
+    rows = [(i, f"a{i} b{i} {common} z{i}" + (f" {rare} {common}" if i % 10 == 3 else "")) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: tuple(r[c] for c in SUBSTRING) for r in substring.substring_digest(df).collect()} == brute.substring(rows)
+    marked, hot = substring.mark_repeats(df)
+    listed = marked.agg(F.sum(F.coalesce(F.size("doomed"), F.lit(0)))).first()[0]
+    every = 59 * 21 + 5 * 6  # windows of the passages that a smaller id holds
+    assert (len(hot[0]), listed >= every) == (0, True) if frequent == 1 else len(hot[0]) >= 21 and listed < every
+
+
 def test_substring_same_id_is_one_place(odd):
     assert substring.substring_digest(odd).count() == odd.count()
 
