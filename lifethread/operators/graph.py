@@ -108,12 +108,12 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return whole
 
 
-def all_paths(nodes: DataFrame, edges: DataFrame, event: str = "event_id") -> DataFrame:
-    """G3 on branching input: every head-to-tail path as (path, pos, event).
+def all_paths(nodes: DataFrame, edges: DataFrame, event: str = "event_id", explode: bool = True) -> DataFrame:
+    """G3 on branching input: every head-to-tail path as (path, pos, event); without ``explode`` one row per path, to be joined before its events are.
 
     Paths of any length are followed, one job per hop; a path that comes back to one of its own events raises an error.
     """
-    nxt = edges.where(F.col("type") == "NEXT_EVENT").select(F.col("src").alias("_at"), F.col("dst").alias("_to"))
+    nxt = materialize(edges.where(F.col("type") == "NEXT_EVENT").select(F.col("src").alias("_at"), F.col("dst").alias("_to")), "paths")
     front = nodes.select(event).join(nxt.select(F.col("_to").alias(event)), event, "left_anti").select(
         F.array(event).alias("path"), F.col(event).alias("_at")
     )
@@ -126,7 +126,8 @@ def all_paths(nodes: DataFrame, edges: DataFrame, event: str = "event_id") -> Da
         front = front.where("_to IS NOT NULL").select(F.concat("path", F.array("_to")).alias("path"), F.col("_to").alias("_at"))
         if front.isEmpty():
             break
-    return _union(closed).select(F.col("path"), F.posexplode("path").alias("pos", event))
+    paths = _union(closed)
+    return paths.select(F.col("path"), F.posexplode("path").alias("pos", event)) if explode else paths
 
 
 def chain_summary(chains: DataFrame, event: str = "event_id") -> DataFrame:

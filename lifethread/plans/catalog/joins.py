@@ -295,9 +295,9 @@ def _(t: Tables) -> DataFrame:
     ranked = ordered.number_rows(numbered, ["event_id"], "r")
     above = ranked.select(F.col("event_id").alias("src"), F.col("r").alias("_up"))
     edges = ranked.withColumn("_up", F.floor(F.col("r") / 2)).join(above, "_up").select("src", F.col("event_id").alias("dst"), F.lit("NEXT_EVENT").alias("type"))
-    paths = graph.all_paths(t.event.select("event_id"), edges)
+    paths = graph.all_paths(t.event.select("event_id"), edges, explode=False)
     leaf = ranked.select(F.col("event_id").alias("_last"), F.col("r").alias("leaf"))
-    return paths.join(leaf, F.element_at("path", -1) == F.col("_last")).select("leaf", "pos", "event_id")
+    return paths.join(leaf, F.element_at("path", -1) == F.col("_last")).select("leaf", F.posexplode("path").alias("pos", "event_id"))
 
 
 @query("A21_chain_summary", f"""

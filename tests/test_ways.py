@@ -170,6 +170,17 @@ def test_stored_index(spark, tables, tmp_path):
     assert vector_index.index_topk(queries, none, 5).count() == 0 == vector_index.index_topk(queries, none, 5, exact=True).count()
 
 
+def test_paths_are_joined_before_their_events_are_rows(spark, tables):
+    """A path of n events is one row in the join with its last event, not n rows that each carry the path."""
+    from lifethread.plans.catalog.registry import _QUERIES
+
+    plan = _QUERIES["G3_all_paths"](tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find("posexplode") < plan.find("Join")
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "event_id string")
+    edges = spark.createDataFrame([("a", "b", "NEXT_EVENT"), ("a", "c", "NEXT_EVENT")], "src string, dst string, type string")
+    assert sorted(r.path for r in graph.all_paths(nodes, edges, explode=False).collect()) == [["a", "b"], ["a", "c"]]
+
+
 def test_retrieval_with_a_stored_index(spark, tables, tmp_path):
     graph_, asked = tables.graph, tables.question.where("k % 4 = 0")
     index = vector_index.build_index(graph_.events, str(tmp_path / "events"), cid="event_id", keep=["t_sec"])
