@@ -11,6 +11,7 @@ from lifethread.operators import blocks, clustering, density, fold_ranges, graph
 from lifethread.operators.history import best_rows
 from lifethread.plans import retrieval
 from lifethread.plans.catalog import state
+from lifethread.runtime import materialize
 from lifethread.streaming import streams
 
 
@@ -170,6 +171,27 @@ def test_stored_index(spark, tables, tmp_path):
     assert vector_index.index_topk(queries, none, 5).count() == 0 == vector_index.index_topk(queries, none, 5, exact=True).count()
 
 
+def test_index_pairs_are_bounded_by_probes(spark, tmp_path, monkeypatch):
+    """Vectors without clusters, so that most cells stay open: only the probed cells become rows, and the rows found are the exact ones."""
+    rng = np.random.default_rng(11)
+    corpus = spark.createDataFrame([(i, rng.normal(size=12).tolist()) for i in range(400)], "id long, vec array<double>").repartition(3)
+    index = vector_index.build_index(corpus, str(tmp_path / "index"))
+    queries = corpus.where("id % 4 = 0").withColumnRenamed("id", "qid")
+    sizes = []
+
+    def counted(df, tag):
+        out = materialize(df, tag)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(vector_index, "materialize", counted)
+    want = similarity.cosine_topk(queries, corpus, 5)
+    for sent in (blocks.may_be_sent, lambda df, _: df.count() == 100, lambda *_: False):
+        monkeypatch.setattr(blocks, "may_be_sent", sent)
+        same(vector_index.index_topk(queries, index, 5, probes=2, exact=True, block_rows=64), want)
+    assert index.centres.count() > 10 and max(sizes) <= 100 * 5
+
+
 def test_paths_are_joined_before_their_events_are_rows(spark, tables):
     """A path of n events is one row in the join with its last event, not n rows that each carry the path."""
     from lifethread.plans.catalog.registry import _QUERIES
