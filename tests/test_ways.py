@@ -192,6 +192,24 @@ def test_index_pairs_are_bounded_by_probes(spark, tmp_path, monkeypatch):
     assert index.centres.count() > 10 and max(sizes) <= 100 * 5
 
 
+def test_rotations_have_plans_of_one_size(spark):
+    """Products and rotations are those of the matrices, and their plans, which the driver keeps, do not grow with the number of vectors."""
+    rng, plans = np.random.default_rng(5), []
+    for width in (3, 12):
+        x, lx, turn = rng.random((20, width)), rng.random((20, width)), rng.random((2, width, width))
+        rows = [(i % 2, i, x[i].tolist(), lx[i].tolist()) for i in range(20)]
+        block = spark.createDataFrame(rows, "rec int, id long, x array<double>, lx array<double>").repartition(3)
+        for r in spectral._products(block, ["rec"], width).collect():
+            own = x[r.rec::2]
+            assert np.allclose(r.g, (own.T @ own).ravel()) and np.allclose(r.h, (own.T @ lx[r.rec::2]).ravel())
+        turns = spark.createDataFrame([(k, turn[k].ravel().tolist()) for k in range(2)], "rec int, turn array<double>")
+        turned = spectral._rotated(block, ["rec"], turns, width)
+        for r in turned.collect():
+            assert np.allclose(r.x, x[r.id] @ turn[r.rec]) and np.allclose(r.lx, lx[r.id] @ turn[r.rec])
+        plans.append(len(turned._jdf.queryExecution().optimizedPlan().toString()))
+    assert plans[1] < 1.2 * plans[0]
+
+
 def test_paths_are_joined_before_their_events_are_rows(spark, tables):
     """A path of n events is one row in the join with its last event, not n rows that each carry the path."""
     from lifethread.plans.catalog.registry import _QUERIES
