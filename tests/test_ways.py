@@ -456,3 +456,39 @@ def test_temporal_rows_are_handled_as_they_are():
     got = [(r.event_id, r.related_event_id, r.time_diff_seconds) for r in job.handleInputRows((1, 1), iter(rows), None)]
     assert got == [("2", "1", 5.0), ("3", "1", 5.0), ("4", "2", 10.0), ("4", "3", 10.0)]
     assert kept == [("2", 10.0), ("3", 10.0), ("4", 20.0)]
+
+
+@pytest.mark.parametrize("scope", ["per_core", "global"])
+def test_two_hops_against_walking(spark, scope, monkeypatch):
+    """Hubs, equal times, twice-named events, null times and types: few offers a node give what all walks give."""
+    rng = np.random.default_rng(5)
+    events, edges, cores = [], [], []
+    for g in range(20):
+        n = int(rng.integers(6, 40))
+        names = [f"g{g}e{i}" for i in range(n)]
+        events += [(e, None if rng.random() < 0.05 else float(rng.integers(0, 2 + g % 5))) for e in names]
+        events += [(e, 1.0 + g) for e in names[::9]]
+        cores += [(None if g == 3 else g, e) for e in names[: 1 + 6 * (g % 4)]]
+        for _ in range(3 * n):
+            a = f"g{g}x" if rng.random() < 0.6 else names[rng.integers(0, n)]
+            edges.append((a, [*names, f"g{g}y"][rng.integers(0, n + 1)], None if rng.random() < 0.1 else f"T{rng.integers(0, 2)}"))
+    near, time = {}, {}
+    for a, b, kind in edges:
+        near.setdefault(a, set()).add((b, kind))
+        near.setdefault(b, set()).add((a, kind))
+    for e, t in events:
+        time.setdefault(e, set()).add(t)
+    want = {}
+    for q, c in set(cores):
+        for at in time[c] - {None}:
+            reach = {(z, kind) for b, kind in near.get(c, ()) for z in [b, *(d for d, _ in near[b])]}
+            rows = {(-t, z, kind or "", c, at) for z, kind in reach for t in time.get(z, ()) if t is not None and t != at}
+            want.setdefault((q, c) if scope == "per_core" else q, []).extend(rows)
+    expected = sorted((z, kind, c) for rows in want.values() for _, z, kind, c, _ in sorted(rows)[:4])
+    seen = []
+    taken = graph._offers
+    monkeypatch.setattr(graph, "_offers", lambda *a: seen.append(taken(*a)) or seen[-1])
+    frame = lambda rows, ddl: spark.createDataFrame(rows, ddl).repartition(3)
+    got = graph.expand(frame(cores, "qid int, event_id string"), frame(events, "event_id string, t_sec double"), frame(edges, "src string, dst string, type string"), 2, 4, scope)
+    assert sorted((r["neighbour"], r["relation_type"] or "", r["core"]) for r in got.collect()) == expected
+    assert seen[0].groupBy("src").count().agg(F.max("count")).first()[0] <= 2 * (4 + 2)
