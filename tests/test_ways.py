@@ -492,3 +492,18 @@ def test_two_hops_against_walking(spark, scope, monkeypatch):
     got = graph.expand(frame(cores, "qid int, event_id string"), frame(events, "event_id string, t_sec double"), frame(edges, "src string, dst string, type string"), 2, 4, scope)
     assert sorted((r["neighbour"], r["relation_type"] or "", r["core"]) for r in got.collect()) == expected
     assert seen[0].groupBy("src").count().agg(F.max("count")).first()[0] <= 2 * (4 + 2)
+
+
+def test_linkage_asks_again_only_where_something_changed(spark, monkeypatch):
+    """Tight pairs merge at once; groups that go on merging do not make the settled ones look for their nearest again."""
+    rng = np.random.default_rng(3)
+    settled = [(0, 1000 + i, (np.eye(64)[i // 2] + 0.001 * rng.normal(size=64)).tolist()) for i in range(80)]
+    line = [(0, i, np.eye(64)[40:48][i % 8].tolist()) for i in range(8)]
+    line = [(g, i, (np.array(v) + 3.0 ** (-i / 4) * np.eye(64)[50]).tolist()) for g, i, v in line]
+    points = spark.createDataFrame(settled + line, "rec int, id int, vec array<double>")
+    asked = []
+    search = clustering.nearest_mean
+    monkeypatch.setattr(clustering, "nearest_mean", lambda few, *rest: asked.append(few.count()) or search(few, *rest))
+    got = clustering.ahc(points, ["rec"], threshold=0.05, task_rows=10)
+    same(got, clustering.ahc(points, ["rec"], threshold=0.05))
+    assert len(asked) > 2 and asked[0] == 88 and max(asked[2:]) < 12
