@@ -169,7 +169,9 @@ def _(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "s9")
     # A clip file per participant stands for its clips; names carry the count.
     counts = t.event.groupBy("participant").agg(F.count(F.lit(1)).alias("clips"))
-    counts.select(F.lit("x").alias("value"), "participant", "clips").write.partitionBy("participant", "clips").text(path)
+    counts = counts.repartition(4 * t.spark.sparkContext.defaultParallelism, "participant")  # few bytes, but a file a row: all cores write
+    writer = counts.select(F.lit("x").alias("value"), "participant", "clips").write.partitionBy("participant", "clips")
+    writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)  # tasks put their files in place, not the driver
     found = readers.scan_clips(t.spark, path, endings=(".txt",))
     part = lambda name: F.regexp_extract("path", rf"{name}=(\d+)", 1).cast("long").alias(name)
     return found.select(part("participant"), part("clips"))

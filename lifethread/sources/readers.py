@@ -183,8 +183,10 @@ def scan_clips(
     wanted = F.lit(False)
     for e in endings:
         wanted = wanted | F.endswith("path", F.lit(e))
-    numbered = number_rows(found.where(wanted), ["path"], "_n")
-    keep = F.col("_n") > start
-    if count is not None:
-        keep = keep & (F.col("_n") <= start + count)
-    return numbered.where(keep).select("path", "length", F.regexp_extract("path", r"([^/]+)$", 1).alias("clip_name")).orderBy("path")
+    kept = found.where(wanted)
+    if start > 0 or count is not None:  # places are needed for a part of the files only
+        keep = F.col("_n") > start
+        if count is not None:
+            keep = keep & (F.col("_n") <= start + count)
+        kept = number_rows(kept, ["path"], "_n").where(keep)
+    return kept.select("path", "length", F.regexp_extract("path", r"([^/]+)$", 1).alias("clip_name")).orderBy("path")

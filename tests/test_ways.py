@@ -507,3 +507,17 @@ def test_linkage_asks_again_only_where_something_changed(spark, monkeypatch):
     got = clustering.ahc(points, ["rec"], threshold=0.05, task_rows=10)
     same(got, clustering.ahc(points, ["rec"], threshold=0.05))
     assert len(asked) > 2 and asked[0] == 88 and max(asked[2:]) < 12
+
+
+def test_clip_files_are_written_by_many_tasks_and_not_numbered(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+    from lifethread.plans.catalog import files
+    from lifethread.sources import readers
+
+    monkeypatch.setattr(files, "scratch_path", lambda *_: str(tmp_path / "clips"))
+    monkeypatch.delattr(readers, "number_rows")
+    events = spark.range(300).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "id % 60 AS user_id", "'click' AS event_type", "1.0D AS value", "'1' AS props")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = entry.queries()["S9_scan_clips"](spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == {(i, 5) for i in range(60)}
+    assert len({p.name.split("-")[1] for p in (tmp_path / "clips").rglob("part-*.txt")}) > 4
