@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import re
+from collections.abc import Iterator
+
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from lifethread.functions import clip_time
@@ -164,14 +169,34 @@ def _(t: Tables) -> DataFrame:
     return readers.read_id_csv(t.spark, path, "ID string, priority string, price double").withColumn("price", F.round("price", 2))
 
 
+def _write_clips(counts: DataFrame, path: str) -> None:
+    """A file ``participant=P/clips=N/part-*.txt`` a row, as a partitioned text table has them; in a mounted folder tasks open the files themselves,
+    since Hadoop's local file system starts a process for the rights of every file and folder."""
+    if re.match(r"(?!file:)\w+://", path):
+        writer = counts.select(F.lit("x").alias("value"), "participant", "clips").write.partitionBy("participant", "clips")
+        writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)  # tasks put their files in place, not the driver
+        return
+    folder = path.removeprefix("file:")
+
+    def write(rows: Iterator[Row]) -> None:
+        task = TaskContext.get().partitionId()
+        for row in rows:
+            who = "__HIVE_DEFAULT_PARTITION__" if row["participant"] is None else row["participant"]
+            at = f"{folder}/participant={who}/clips={row['clips']}"
+            os.makedirs(at, exist_ok=True)
+            with open(f"{at}/part-{task:05d}.txt", "w") as clip:
+                clip.write("x\n")
+
+    os.makedirs(folder)
+    counts.select("participant", "clips").foreachPartition(write)
+
+
 @query("S9_scan_clips", "SELECT participant, count(*) AS clips FROM m_event GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "s9")
     # A clip file per participant stands for its clips; names carry the count.
     counts = t.event.groupBy("participant").agg(F.count(F.lit(1)).alias("clips"))
-    counts = counts.repartition(4 * t.spark.sparkContext.defaultParallelism, "participant")  # few bytes, but a file a row: all cores write
-    writer = counts.select(F.lit("x").alias("value"), "participant", "clips").write.partitionBy("participant", "clips")
-    writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)  # tasks put their files in place, not the driver
+    _write_clips(counts.repartition(4 * t.spark.sparkContext.defaultParallelism, "participant"), path)  # few bytes, but a file a row: all cores write
     found = readers.scan_clips(t.spark, path, endings=(".txt",))
     part = lambda name: F.regexp_extract("path", rf"{name}=(\d+)", 1).cast("long").alias(name)
     return found.select(part("participant"), part("clips"))
