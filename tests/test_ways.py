@@ -142,6 +142,37 @@ def test_ids_of_a_recording_only(spark):
     assert got == {(rec, i): (i + rec) % 3 for rec, i, _ in rows}
 
 
+def _pruned(rows, p, least):
+    """Affinity of the rows (rec, id, vec) of one recording, entry by entry."""
+    n = len(rows)
+    keep = n - min(int(np.floor((1.0 - p) * n)), n - least)
+    rows = [(i, np.array(v, dtype=float)) for _, i, v in rows if v is not None]
+    rows = [(i, v / (np.linalg.norm(v) or 1.0)) for i, v in rows]
+    found = {}
+    for i in {i for i, _ in rows if i is not None}:
+        entries = [(round(float(x @ y), 9), j) for k, x in rows if k == i for j, y in rows]
+        entries.sort(key=lambda e: (-e[0], e[1] is None, e[1]))
+        for sim, j in entries[:keep]:
+            if j is not None and j != i:
+                for pair in ((i, j), (j, i)):
+                    found[pair] = found.get(pair, 0.0) + sim / 2
+    return found
+
+
+def test_pruned_affinity_leaves_a_block_final(spark):
+    """Ties, copies, repeated ids, rows without id, vector or recording; the kept entries are neither sorted nor grouped afterwards."""
+    rng = np.random.default_rng(2)
+    vecs = np.round(rng.normal(size=(90, 3)), 0).tolist()
+    rows = [("a", i, v) for i, v in enumerate(vecs[:40])] + [("b", i, v) for i, v in enumerate(vecs[40:])]
+    rows += [("a", 3, vecs[50]), ("a", 3, vecs[3]), ("b", 7, vecs[47]), ("a", None, vecs[8]), ("b", 99, None), (None, 5, vecs[5]), ("c", 1, vecs[0])]
+    got = similarity.knn_prune(spark.createDataFrame(rows, "rec string, id long, vec array<double>"), ["rec"], p=0.3, block_rows=16)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "sum(" not in plan
+    found = {(r["rec"], r["i"], r["j"]): round(r["affinity"], 6) for r in got.collect()}
+    want = {(rec, *pair): round(v, 6) for rec in "abc" for pair, v in _pruned([r for r in rows if r[0] == rec], 0.3, 6).items()}
+    assert len(want) > 1000 and found == want
+
+
 def test_unsettled_vectors_are_an_error(spark, monkeypatch):
     points = spark.createDataFrame([(0, i, [float(i % 5 == j) + i / 40 for j in range(5)]) for i in range(20)], "rec int, id long, vec array<double>")
     monkeypatch.setattr(spectral, "_residual", lambda *_: 1.0)
