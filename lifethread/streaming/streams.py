@@ -109,61 +109,72 @@ class _Ordered(StatefulProcessor):
 
 
 class _Rows:
-    """Whole rows as typed columns of a state; times are kept as microseconds, days as numbers."""
+    """Whole rows as typed columns of a state: times are microseconds and days numbers, in the stream (``plain``) and in the state."""
 
-    def __init__(self, schema: T.StructType):
+    def __init__(self, schema: T.StructType, ids: tuple[str, ...]):
+        of = lambda *kinds: [f.name for f in schema if isinstance(f.dataType, kinds) and f.name not in ids]
         self.names = schema.names
-        self.times = [f.name for f in schema if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
-        self.days = [f.name for f in schema if isinstance(f.dataType, T.DateType)]
+        self.times, self.days = of(T.TimestampType, T.TimestampNTZType), of(T.DateType)
+        self.numbers, self.lists = of(T.IntegralType, T.FractionalType), of(T.ArrayType)
+        self.numbers = [n for n in self.numbers if not isinstance(schema[n].dataType, T.DecimalType)]
         kind = lambda f: T.LongType() if f.name in self.times or f.name in self.days else f.dataType
         self.schema = T.StructType([T.StructField(f.name, kind(f)) for f in schema])
 
-    def put(self, row: dict) -> tuple:
-        return tuple(self._stored(n, row[n]) for n in self.names)
-
-    def _stored(self, name: str, value):
-        if isinstance(value, np.ndarray):
-            return value.tolist()
-        if value is None or (np.isscalar(value) and pd.isna(value)) or value is pd.NaT:
-            return None
-        if name in self.times:
-            return pd.Timestamp(value).value // 1000
-        if name in self.days:
-            return value.toordinal()
-        return value.item() if isinstance(value, np.generic) else value
+    def plain(self, df: DataFrame) -> DataFrame:
+        """``df`` as the state holds its rows; times as the session's clock shows them."""
+        clock = lambda n: F.timestamp_diff("MICROSECOND", F.lit(datetime.datetime(1970, 1, 1)).cast("timestamp_ntz"), F.col(n).cast("timestamp_ntz"))
+        now = {**{n: clock(n) for n in self.times}, **{n: F.unix_date(n).cast("long") for n in self.days}}
+        return df.select(*[now.get(n, F.col(n)).alias(n) for n in self.names])
 
     def get(self, stored: tuple) -> dict:
+        """A row as ``build_chains`` shows it to a predicate."""
         row = dict(zip(self.names, stored))
         for n in self.times:
             row[n] = pd.NaT if row[n] is None else pd.Timestamp(row[n], unit="us")
         for n in self.days:
-            row[n] = None if row[n] is None else datetime.date.fromordinal(row[n])
+            row[n] = None if row[n] is None else _FIRST_DAY + datetime.timedelta(row[n])
+        for n in self.numbers:
+            row[n] = math.nan if row[n] is None else row[n]
+        for n in self.lists:
+            row[n] = None if row[n] is None else np.asarray(row[n])
         return row
 
 
-class _Chains(_Ordered):
+_FIRST_DAY = datetime.date(1970, 1, 1)
+
+
+def _last_if_null(*values) -> tuple:
+    return tuple((v is None or v != v, 0 if v is None or v != v else v) for v in values)
+
+
+class _Chains(StatefulProcessor):
+    """Rows are handled as they are, without a frame per key; a chain end is a stored row beside what a predicate sees of it."""
+
     def __init__(self, predicate, participant: str, event: str, t: str, rows: _Rows):
-        self.predicate, self.participant, self.event, self.t, self.rows = predicate, participant, event, t, rows
-        self.order = [t, event]
+        self.predicate, self.rows = predicate, rows
+        self.participant, self.event, self.t = (rows.names.index(n) for n in (participant, event, t))
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
+    def init(self, handle: StatefulProcessorHandle) -> None:
         self.tails = handle.getListState("tails", self.rows.schema)
 
-    def step(self, key, batch: pd.DataFrame) -> pd.DataFrame:
-        chains = ChainTails(self.predicate)
-        if self.tails.exists():
-            chains.tails = [self.rows.get(x) for x in self.tails.get()]
-        out = []
-        for row in batch[self.rows.names].to_dict("records"):
-            tail = chains.add(row)
+    def _ordered(self, rows) -> list[tuple]:
+        return sorted(map(tuple, rows), key=lambda x: _last_if_null(x[self.t], x[self.event]))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        seen = (lambda x: None) if self.predicate is None else self.rows.get
+        chains = ChainTails(None if self.predicate is None else lambda new, tail: self.predicate(new[1], tail[1]))
+        chains.tails = [(tuple(x), seen(x)) for x in self.tails.get()]
+        for row in self._ordered(rows):
+            tail = chains.add((row, seen(row)))
             if tail is not None:
-                out.append((key[0], tail[self.event], row[self.event], "NEXT_EVENT"))
-        self.tails.put([self.rows.put(x) for x in chains.tails])
-        return pd.DataFrame(out, columns=["participant", "src", "dst", "type"])
+                yield Row(participant=row[self.participant], src=tail[0][self.event], dst=row[self.event], type="NEXT_EVENT")
+        self.tails.put([x for x, _ in chains.tails])
 
-    def begin(self, key, stored: pd.DataFrame) -> None:
-        tails = stored.sort_values(self.order, kind="stable")[self.rows.names].to_dict("records")
-        self.tails.put([self.rows.put(x) for x in tails])
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.tails.put(self._ordered([*self.tails.get(), initialState]))
+
+    def close(self) -> None:
+        pass
 
 
 def _begun(stored: DataFrame | None, *keys: str):
@@ -182,9 +193,10 @@ def stream_chains(
     kind = lambda c: df.schema[c].dataType.simpleString()
     schema = f"participant {kind(participant)}, src {kind(event)}, dst {kind(event)}, type string"
     ship(df.sparkSession)
-    begin = None if begin is None else begin.select(*df.columns)
-    return df.groupBy(participant).transformWithStateInPandas(
-        _Chains(predicate, participant, event, t, _Rows(df.schema)), schema, "Append", "None", _begun(begin, participant)
+    rows = _Rows(df.schema, (participant, event))
+    begin = None if begin is None else rows.plain(begin)
+    return rows.plain(df).groupBy(participant).transformWithState(
+        _Chains(predicate, participant, event, t, rows), schema, "Append", "None", _begun(begin, participant)
     )
 
 

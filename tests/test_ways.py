@@ -407,6 +407,41 @@ def test_chain_predicate_sees_batch_values(spark, tables, tmp_path):
     same(got, whole)
 
 
+def test_chains_of_a_stream_handle_plain_rows():
+    """No frame is made for a key; null times come last, and stored ends keep their values over batches."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType.fromDDL("who long, event_id long, t_sec double, at timestamp, value int")
+    rows = streams._Rows(schema, ("who", "event_id"))
+    held = []
+    state = SimpleNamespace(get=lambda: iter(list(held)), put=lambda x: held.__setitem__(slice(None), x))
+    near = lambda new, tail: new["value"] % 2 == tail["value"] % 2 and (new["at"] - tail["at"]).total_seconds() <= 10
+    chains = streams._Chains(near, "who", "event_id", "t_sec", rows)
+    chains.init(SimpleNamespace(getListState=lambda name, kind: state))
+    made = lambda *given: [Row(who=7, event_id=e, t_sec=t, at=None if t is None else int(t * 1_000_000), value=v) for e, t, v in given]
+    got = lambda given: [(r["participant"], r["src"], r["dst"]) for r in chains.handleInputRows((7,), iter(given), None)]
+    assert got(made((3, 3.0, 1), (9, None, 1), (1, 1.0, 1), (2, 2.0, 2))) == [(7, 1, 3)]
+    assert [x[1] for x in held] == [2, 3, 9]
+    assert got(made((5, 12.5, 1), (4, 4.0, 2), (6, 14.5, 2))) == [(7, 2, 4), (7, 3, 5)]
+    assert [x[1] for x in held] == [9, 4, 5, 6] and held[1] == (7, 4, 4.0, 4_000_000, 2)
+
+
+def test_best_above_sorts_few(monkeypatch):
+    rng = np.random.default_rng(4)
+    longest, argsort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, **how: longest.append(len(a)) or argsort(a, **how))
+    for size in (0, 1, 2, 3, 4, 400):
+        sims = np.r_[np.round(rng.normal(size=size), 1), np.full(int(size > 3), np.nan)]
+        want = [int(i) for i in argsort(-sims, kind="stable") if sims[i] > 0.3][:3]
+        assert resolve.best_above(sims, 0.3, 3) == want
+    library = resolve.EntityLibrary(resolve.EntityRules(text_threshold=-1.0))
+    longest.clear()
+    for vector in rng.normal(size=(300, 8)):
+        library.match(resolve._unit(vector), [], {})
+        library.create("object1", "view", vector)
+    assert max(longest) <= 3
+
+
 def test_three_hops_use_no_edge_twice(spark):
     nodes = [("a", 1.0), ("b", 2.0), ("c", 3.0), ("d", 4.0)]
     events = spark.createDataFrame(nodes, "event_id string, t_sec double")
