@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 
 from lifethread.llm.arrays import Rolling, Words, free_names, map_arrow, map_pieces, mix, runs
 from lifethread.llm.graph import components
-from lifethread.runtime import materialize
+from lifethread.runtime import forget, materialize
 
 SKETCH = 20
-BLOCK = 100
+BLOCK = 200
+#: Sets, and what is compared before them, are sent in rounds of so many bytes, or of half a set of every document if that is more.
+ROUND_BYTES = 1 << 28
 _PARTS = 128
 _STRIPES = 64
 
@@ -120,6 +122,17 @@ def _parts(s: np.ndarray) -> np.ndarray:
     return np.bincount((s >> np.uint64(20)).astype(np.int64) % _PARTS, minlength=_PARTS).astype(np.int32)
 
 
+def _packed(parts: np.ndarray) -> bytes:
+    """One byte for each part where that is enough."""
+    return parts.astype(np.uint8 if parts.max() < 256 else np.int32).tobytes()
+
+
+def _unpacked(raw: list[bytes]) -> np.ndarray:
+    if all(len(r) == _PARTS for r in raw):
+        return np.frombuffer(b"".join(raw), np.uint8).reshape(-1, _PARTS)
+    return np.stack([np.frombuffer(r, np.uint8 if len(r) == _PARTS else np.int32).astype(np.int32) for r in raw])
+
+
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
     """The smallest member of each one's component."""
     head = list(range(n))
@@ -148,7 +161,7 @@ def _candidates(sim: Similarity):
     def edges(t: pa.Table) -> dict:
         unit, node, n, at = (t.column(c).to_numpy() for c in ("unit", "node", "n", "at"))
         pair, side = t.column("pair").to_numpy(zero_copy_only=False), t.column("side").to_numpy(zero_copy_only=False)
-        parts = np.frombuffer(b"".join(t.column("parts").to_pylist()), np.int32).reshape(-1, _PARTS)
+        parts = _unpacked(t.column("parts").to_pylist())
         edge = runs(unit)
         lo, size = edge[:-1], np.diff(edge)
         two = lo[(size == 2)]
@@ -196,23 +209,23 @@ def _unit_links(sets: list[np.ndarray], counts: np.ndarray, sim: Similarity, cro
     by = np.argsort(token, kind="stable")
     token, who, at = token[by], who[by], at[by]
     edge = runs(token)
-    found: list[np.ndarray] = []
-    triangles: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    upper = np.triu(np.ones((len(sets), len(sets)), bool), 1)
+    found = np.zeros((len(sets), len(sets)), bool)
     for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
         if hi - lo < 2:
             continue
-        if hi - lo not in triangles:
-            triangles[hi - lo] = np.triu_indices(hi - lo, 1)
-        a, b = triangles[hi - lo]
-        i, j, pi, pj = who[lo + a], who[lo + b], at[lo + a], at[lo + b]
+        held = who[lo:hi]  # ascending
+        a, b = np.nonzero(upper[: hi - lo, : hi - lo] & ~found[np.ix_(held, held)])
+        if not len(a):
+            continue
+        i, j, pi, pj = held[a], held[b], at[lo + a], at[lo + b]
         n, m = size[i], size[j]
         keep = sim.fits(np.minimum(n, m), np.maximum(n, m))  # length
         keep &= np.minimum(np.minimum(pi, pj) + 1 + np.minimum(n - pi - 1, m - pj - 1), np.minimum(n, m)) >= sim.overlap(n, m)  # position
         if cross is not None:
             keep &= cross[i] != cross[j]
-        found.append((np.minimum(i, j) * len(sets) + np.maximum(i, j))[keep])
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    i, j = pairs // len(sets), pairs % len(sets)
+        found[i[keep], j[keep]] = True
+    i, j = np.nonzero(found)
     parts = np.stack([_parts(s) for s in sets])
     good = np.zeros(len(i), bool)
     for lo in range(0, len(i), 4096):
@@ -274,6 +287,14 @@ def _cut(rows: DataFrame, key: str, band: Column, many: Column, below: Column, o
     return rows.withColumn("units", F.when(many <= most, F.array(entry(F.col(key), no, no))).otherwise(F.concat(same, up, down)))
 
 
+def _rounds(rows: DataFrame, bytes_sent: Column, most: int) -> Iterator[DataFrame]:
+    """``rows`` with a part of their ``units`` at a time, so that about ``most`` bytes are sent at once; a unit is whole in its round."""
+    rounds = max(1, -(-int(rows.agg(F.sum(bytes_sent)).first()[0] or 0) // most))
+    for k in range(rounds):
+        some = rows if rounds == 1 else rows.withColumn("units", F.filter("units", lambda u: F.pmod(u["unit"], F.lit(rounds)) == k))
+        yield some if rounds == 1 else some.filter(F.size("units") > 0)
+
+
 def _classed(docs: DataFrame, size: int, least: Fraction, block: int) -> DataFrame:
     """doc_id, n, node (name of the set, null if empty), root (name of its component), links, and ``key`` (a hash of the text) of every row."""
     sim = Similarity(least)
@@ -282,7 +303,7 @@ def _classed(docs: DataFrame, size: int, least: Fraction, block: int) -> DataFra
     def name(batch: pa.RecordBatch, words: Words) -> dict:
         sets = shingle_sets(words, size)
         return {"doc_id": batch.column("doc_id"), "n": [len(s) for s in sets], "node": [_node(s) if len(s) else None for s in sets],
-                "parts": [_parts(s).tobytes() if len(s) else None for s in sets], "key": batch.column("key")}
+                "parts": [_packed(_parts(s)) if len(s) else None for s in sets], "key": batch.column("key")}
 
     stored = materialize(map_pieces(rows, name, "doc_id long, n long, node long, parts binary, key long"), "jaccard-named")
     named = stored.select("doc_id", "n", "node", "key")
@@ -303,9 +324,15 @@ def _classed(docs: DataFrame, size: int, least: Fraction, block: int) -> DataFra
     info = stored.filter("node IS NOT NULL").groupBy(F.col("node").alias("of_node")).agg(F.first("n").alias("n"), F.first("parts").alias("parts"))
     info = info.join(held.select(F.col("node").alias("of_node")).distinct(), "of_node", "left_semi")
     compared = _cut(held.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "shingle", F.lit(0), F.col("many"), F.lit(0), F.col("blocks"), F.lit(0), block)
-    compared = compared.join(info, F.col("node") == F.col("of_node")).select("node", "at", "n", "parts", F.explode("units").alias("u"))
-    compared = compared.select("u.unit", "u.pair", "u.side", "node", "at", "n", "parts").repartition(F.col("unit")).sortWithinPartitions("unit", "node")
-    edges = map_arrow(compared, _candidates(sim), "a long, b long").distinct()
+    compared = materialize(compared.join(info, F.col("node") == F.col("of_node")).select("node", "at", "n", "parts", "units"), "jaccard-compared")
+    half = max(ROUND_BYTES, 4 * (stored.agg(F.sum("n")).first()[0] or 0))
+    size_of = (F.octet_length("parts") + 48) * F.size("units")
+    edges = None
+    for some in _rounds(compared, size_of, half):
+        ready = some.select("node", "at", "n", "parts", F.explode("units").alias("u")).select("u.unit", "u.pair", "u.side", "node", "at", "n", "parts")
+        ready = ready.repartition(F.col("unit")).sortWithinPartitions("unit", "node")
+        found = materialize(map_arrow(ready, _candidates(sim), "a long, b long").distinct(), "jaccard-edges")
+        edges = found if edges is None else edges.unionByName(found)
     clusters = materialize(components(edges, "jaccard-clusters").withColumnRenamed("root", "cluster"), "jaccard-cluster")
 
     # One row of documents stands for each clustered set, found again by its id and text; if possible one that no other row equals in both.
@@ -317,13 +344,13 @@ def _classed(docs: DataFrame, size: int, least: Fraction, block: int) -> DataFra
     bands = chosen.groupBy("cluster", "band").agg(F.count("*").alias("in_band"))
     total = bands.groupBy("cluster").agg(F.sum("in_band").alias("in_cluster"), F.map_from_entries(F.collect_list(F.struct("band", "in_band"))).alias("bands"))
     total = materialize(total.withColumnRenamed("cluster", "at"), "jaccard-bands")
-    cut = chosen.join(total, F.col("cluster") == F.col("at")).select("of", "of_key", "again", "node", "cluster", "band", "in_cluster", *(
+    cut = chosen.join(total, F.col("cluster") == F.col("at")).select("of", "of_key", "again", "node", "cluster", "band", "in_cluster", "n", *(
         F.ceil(F.coalesce(F.try_element_at("bands", F.col("band") + k), F.lit(0)) / block).cast("int").alias(f"blocks{k + 1}") for k in (-1, 0, 1)))
     mine = F.pmod(F.xxhash64("node"), F.greatest("blocks1", F.lit(1))).cast("int")
-    cut = materialize(cut.withColumn("mine", mine), "jaccard-cut")
+    cut_rows = materialize(cut.withColumn("mine", mine), "jaccard-cut")
 
-    cut = _cut(cut, "cluster", F.col("band"), F.col("in_cluster"), F.col("blocks0"), F.col("blocks1"), F.col("blocks2"), 2 * block)
-    wanted = cut.select("of", "of_key", "again", F.col("node").alias("node_of"), "units")
+    cut = _cut(cut_rows, "cluster", F.col("band"), F.col("in_cluster"), F.col("blocks0"), F.col("blocks1"), F.col("blocks2"), 2 * block)
+    wanted = cut.select("of", "of_key", "again", F.col("node").alias("node_of"), F.col("n").alias("in_set"), "units")
 
     def resets(batch: pa.RecordBatch, words: Words) -> dict:
         sets, nodes = shingle_sets(words, size), batch.column("node_of").to_pylist()
@@ -332,23 +359,30 @@ def _classed(docs: DataFrame, size: int, least: Fraction, block: int) -> DataFra
 
     kind = "array<struct<unit:bigint,pair:boolean,side:boolean>>"
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key"))
-    found = rows.join(wanted.filter("NOT again"), same).select("text", "node_of", "units")
+    found = rows.join(wanted.filter("NOT again"), same).select("text", "node_of", "in_set", "units")
     repeated = wanted.filter("again").drop("again")
     if not repeated.isEmpty():  # equal rows: one of each
-        found = found.unionByName(rows.join(repeated, same).dropDuplicates(["node_of"]).select("text", "node_of", "units"))
-    full = map_pieces(found, resets, f"node long, shingles binary, units {kind}")
-    sent = full.select("node", "shingles", F.explode("units").alias("u")).select("node", "shingles", "u.unit", "u.pair", "u.side")
-    ready = sent.repartition(F.col("unit")).sortWithinPartitions("unit", "node")
+        found = found.unionByName(rows.join(repeated, same).dropDuplicates(["node_of"]).select("text", "node_of", "in_set", "units"))
+    texts = materialize(found, "jaccard-texts")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         return _units(counts.value, sim)(batches)
 
-    linked = materialize(map_arrow(ready, once, "node long, head long, links long"), "jaccard-linked")
+    linked = None
+    for some in _rounds(texts, 8 * F.col("in_set") * F.size("units"), half):
+        full = map_pieces(some, resets, f"node long, shingles binary, units {kind}")
+        sent = full.select("node", "shingles", F.explode("units").alias("u")).select("node", "shingles", "u.unit", "u.pair", "u.side")
+        ready = sent.repartition(F.col("unit")).sortWithinPartitions("unit", "node")
+        found = materialize(map_arrow(ready, once, "node long, head long, links long"), "jaccard-linked")
+        linked = found if linked is None else linked.unionByName(found)
     groups = components(linked.select(F.col("node").alias("a"), F.col("head").alias("b")), "jaccard-groups")
     degree = linked.groupBy("node").agg(F.sum("links").alias("links"))
     known = materialize(groups.join(degree, "node", "left").select(F.col("node").alias("node_of"), "root", "links"), "jaccard-known")
     classed = named.join(known, F.col("node") == F.col("node_of"), "left").select("doc_id", "n", "node", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), "key")
-    return materialize(classed, "jaccard-classed")
+    classed = materialize(classed, "jaccard-classed")
+    for table in (stored, shared, held, compared, edges, clusters, chosen, total, cut_rows, texts, linked, known):
+        forget(table)
+    return classed
 
 
 def jaccard_join(docs: DataFrame, size: int = 5, least: Fraction = Fraction(4, 5), block: int = BLOCK) -> DataFrame:
