@@ -196,7 +196,7 @@ def expand(
     if trail:
         first = materialize(first, "first")
     asked = first.select(F.col("node").alias("src")).distinct() if hops < 4 else None
-    offers = _offers(ending, asked, spare, ["_edge"] if trail else [], rank=None if trail else "_place")
+    offers = _offers(ending, asked, spare, ["_edge"] if trail else [])
 
     keep = ["qid", "core", "core_t", "relation_type"]
     near = first.join(time.select(F.col("dst").alias("node"), "dst_t"), "node").select(*keep, F.col("node").alias("neighbour"), "dst_t")
@@ -228,11 +228,11 @@ def expand(
     return best_rows(reached, scope, order, limit, rank="rank").drop("core_t").withColumnRenamed("dst_t", "t_sec")
 
 
-def _offers(ending: DataFrame, nodes: DataFrame | None, spare: int, more: Sequence[str] = (), rank: str | None = None) -> DataFrame:
-    """(src, dst, dst_t, ``rank`` of a node's offers if named): the events next to a node, ``spare`` of a time, the first ``2 * spare`` and of at most ``spare + 1`` times; ``nodes`` (src) are those asked for."""
+def _offers(ending: DataFrame, nodes: DataFrame | None, spare: int, more: Sequence[str] = ()) -> DataFrame:
+    """(src, dst, dst_t): the events next to a node, ``spare`` of a time, the first ``2 * spare`` and of at most ``spare + 1`` times; ``nodes`` (src) are those asked for."""
     rows = (ending if nodes is None else ending.join(nodes, "src", "left_semi")).select("src", "dst", "dst_t", *more).distinct()
     rows = best_rows(rows, ["src", "dst_t"], [F.col("dst")], spare)
-    rows = best_rows(rows, ["src"], [F.col("dst_t").desc(), F.col("dst")], 2 * spare, rank=rank)
+    rows = best_rows(rows, ["src"], [F.col("dst_t").desc(), F.col("dst")], 2 * spare)
     by_time = F.dense_rank().over(Window.partitionBy("src").orderBy(F.col("dst_t").desc()))
     return rows.withColumn("_time", by_time).where(F.col("_time") <= spare + 1).drop("_time")
 
@@ -242,7 +242,8 @@ def _first_offers(first: DataFrame, offers: DataFrame, limit: int) -> DataFrame:
 
     They are neighbours that differ, so the ones behind them cannot be among the first ``limit`` of the core; only these become rows.
     """
-    lists = offers.groupBy(F.col("src").alias("node")).agg(F.sort_array(F.collect_list(F.struct("_place", "dst", "dst_t"))).alias("_offers"))
+    place = F.row_number().over(Window.partitionBy("src").orderBy(F.col("dst_t").desc(), F.col("dst")))
+    lists = offers.withColumn("_place", place).groupBy(F.col("src").alias("node")).agg(F.sort_array(F.collect_list(F.struct("_place", "dst", "dst_t"))).alias("_offers"))
     other = F.filter("_offers", lambda o: o["dst_t"] != F.col("core_t"))
     met = first.join(lists, "node").select("qid", "core", "core_t", "relation_type", F.explode(F.slice(other, 1, limit)).alias("o"))
     return met.select("qid", "core", "core_t", "relation_type", "o.dst", "o.dst_t")
@@ -257,7 +258,7 @@ def _best_offers(first: DataFrame, offers: DataFrame, limit: int) -> DataFrame:
     ways = ["qid", "relation_type", "node"]
     cores = best_rows(first.where("core_t IS NOT NULL"), [*ways, "core_t"], [F.col("core")], limit)
     cores = best_rows(cores, ways, [F.col("core"), F.col("core_t")], 2 * limit)
-    met = cores.groupBy(*ways).agg(F.min("core_t").alias("_lo"), F.max("core_t").alias("_hi")).join(offers.drop("_place"), "node")
+    met = cores.groupBy(*ways).agg(F.min("core_t").alias("_lo"), F.max("core_t").alias("_hi")).join(offers, "node")
     met = met.where((F.col("_lo") != F.col("dst_t")) | (F.col("_hi") != F.col("dst_t"))).drop("_lo", "_hi")
     place = F.dense_rank().over(Window.partitionBy("qid").orderBy(F.col("dst_t").desc(), F.col("dst"), F.col("relation_type")))
     best = met.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
